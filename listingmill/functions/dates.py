@@ -6,7 +6,7 @@ depends on the current day.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingmill.functions.text import strip
@@ -79,52 +79,48 @@ def parse_date(raw: Column) -> Column:
     )
 
 
-def range_parts(raw: Column) -> Column:
-    return F.split(raw, RANGE_SEPARATOR, 2)
+def with_date_range(df: DataFrame, raw: Column, start: str = "start_date", end: str = "end_date") -> DataFrame:
+    """Add the start and end date of a listing's date text.
 
-
-def start_of_range(raw: Column) -> Column:
-    parts = range_parts(raw)
-    left, right = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    Done in staged projections: every half is parsed once and later stages refer to the result,
+    which keeps the generated code small. A year given only in the end half is lent to the
+    start; a yearless or monthless end borrows from the start and may roll over new year.
+    """
+    parts = F.split(raw, RANGE_SEPARATOR, 2)
+    halves = df.withColumns({"_left": F.get(parts, F.lit(0)), "_right": F.get(parts, F.lit(1))})
+    left, right = F.col("_left"), F.col("_right")
     year = _group(right, YEAR_TOKEN, 1)
-    borrowed = F.when(
-        year.isNotNull() & ~left.rlike(YEAR_TOKEN),
-        parse_date(F.concat(strip(left), F.lit(", "), year)),
+    lent = F.when(
+        year.isNotNull() & ~left.rlike(YEAR_TOKEN), F.concat(strip(left), F.lit(", "), year)
     )
-    return F.coalesce(borrowed, parse_date(left))
-
-
-def end_of_range(raw: Column, start: Column) -> Column:
-    """The end half; a yearless or monthless end borrows from ``start`` and may roll over new year."""
-    parts = range_parts(raw)
-    right = F.get(parts, F.lit(1))
-    whole = parse_date(right)
-    year = _group(right, YEAR_TOKEN, 1)
-
-    short = strip(right)
-    month = F.coalesce(_group(short, SHORT_END, 1), F.month(start).cast("string"))
-    day = _group(short, SHORT_END, 2)
-    same_year = _date(F.year(start), month, day)
-    rolled = F.when(same_year >= start, same_year).when(
-        same_year < start, _date(F.year(start) + 1, month, day)
+    staged = halves.withColumns({"_year": year, "_lent": lent})
+    staged = staged.withColumns(
+        {
+            "_first": F.coalesce(parse_date(F.coalesce("_lent", "_left")), F.when(F.col("_lent").isNotNull(), parse_date(left))),
+            "_whole": parse_date(right),
+            "_short": F.when(F.col("_year").isNull(), strip(right)).otherwise(
+                F.regexp_replace(F.regexp_replace(right, YEAR_TOKEN, ""), "^[ ,.]+|[ ,.]+$", "")
+            ),
+        }
     )
-
-    core = F.regexp_replace(F.regexp_replace(right, YEAR_TOKEN, ""), r"^[ ,.]+|[ ,.]+$", "")
-    core_month = F.coalesce(_group(core, SHORT_END, 1), F.month(start).cast("string"))
-    dated = _date(year, core_month, _group(core, SHORT_END, 2))
-
-    return (
-        F.when(F.size(parts) < 2, start)
-        .when(start.isNotNull() & year.isNull(), F.coalesce(rolled, whole))
-        .when(start.isNotNull() & whole.isNull(), dated)
+    staged = staged.withColumns(
+        {
+            "_month": F.coalesce(_group(F.col("_short"), SHORT_END, 1), F.month("_first").cast("string")),
+            "_day": _group(F.col("_short"), SHORT_END, 2),
+        }
+    )
+    first, whole, month, day = (F.col(c) for c in ("_first", "_whole", "_month", "_day"))
+    near = _date(F.year(first), month, day)
+    rolled = F.when(near >= first, near).otherwise(F.when(near < first, _date(F.year(first) + 1, month, day)))
+    last = (
+        F.when(right.isNull(), first)
+        .when(first.isNotNull() & F.col("_year").isNull(), F.coalesce(rolled, whole))
+        .when(first.isNotNull() & whole.isNull(), _date(F.col("_year"), month, day))
         .otherwise(whole)
     )
-
-
-def parse_date_range(raw: Column) -> Column:
-    """struct(start_date, end_date) of a listing's date text."""
-    start = start_of_range(raw)
-    return F.struct(start.alias("start_date"), end_of_range(raw, start).alias("end_date"))
+    return staged.withColumns({start: first, end: last}).drop(
+        "_left", "_right", "_year", "_lent", "_first", "_whole", "_short", "_month", "_day"
+    )
 
 
 def _span(text: Column, pattern: str) -> Column:

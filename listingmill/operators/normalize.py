@@ -12,8 +12,8 @@ def normalize_listings(raw: DataFrame, crawled_at: str) -> DataFrame:
     """Every raw row, normalised. ``error`` is set when the row has no title; nothing is dropped.
 
     Entity text is kept in ``artist_names``, ``venue_*`` and ``organizer_name`` for resolution.
-    The date range is parsed in its own projection first, so its start is evaluated once for the
-    end, the key and the warning.
+    The date range is parsed in projections of its own first, so its start is evaluated once for
+    the end, the key and the warning.
     """
 
     def opt(name: str):
@@ -26,7 +26,7 @@ def normalize_listings(raw: DataFrame, crawled_at: str) -> DataFrame:
             "_artists": F.coalesce(F.col("raw.artists"), F.array().cast("array<string>")),
         }
     )
-    staged = staged.withColumn("_start", dates.start_of_range(F.col("_range")))
+    staged = dates.with_date_range(staged, F.col("_range"), "_start", "_end")
     stamp = F.lit(crawled_at).cast("timestamp")
     no_strings = F.array().cast("array<string>")
     return staged.select(
@@ -52,7 +52,7 @@ def normalize_listings(raw: DataFrame, crawled_at: str) -> DataFrame:
         opt("price_notes").alias("price_notes"),
         F.coalesce(F.col("raw.activities"), no_strings).alias("activities"),
         F.col("_start").alias("start_date"),
-        dates.end_of_range(F.col("_range"), F.col("_start")).alias("end_date"),
+        F.col("_end").alias("end_date"),
         opt("open_hours").alias("open_hours"),
         F.col("_artists").alias("artist_names"),
         opt("venue_name").alias("venue_name"),

@@ -268,7 +268,7 @@ def rss_rows(items: DataFrame, host: str) -> DataFrame:
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
     schema = "title STRING, link STRING, category ARRAY<STRING>, description STRING"
-    return spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+    return spark.read.format("xml").option("rowTag", "item").option("multiLine", "false").schema(schema).load(path)
 
 
 # --- row rules --------------------------------------------------------------------
