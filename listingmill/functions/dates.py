@@ -52,10 +52,10 @@ def _group(c: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
 
 
-def _reordered(c: Column, pattern: str, template: str) -> Column:
-    """Rewrite the first match to ``y-m-d`` in one regex pass and parse it."""
+def _reordered(c: Column, pattern: str) -> Column:
+    """Rewrite text around the first match to ``y-m-d`` in one regex pass."""
     anchored = pattern if pattern.startswith("^") else f"^.*?{pattern}"
-    return F.try_to_date(F.regexp_replace(c, f"(?s){anchored}.*$", template), "yyyy-M-d")
+    return F.regexp_replace(c, f"(?s){anchored}.*$", "$1-$2-$3")
 
 
 def _month_number(name: Column) -> Column:
@@ -63,20 +63,19 @@ def _month_number(name: Column) -> Column:
 
 
 def parse_date(raw: Column) -> Column:
+    """Every notation is rewritten to ``y-m-d`` text and parsed once; an impossible date is NULL."""
     c = strip(raw)
-    return (
-        F.when(c.rlike(KOREAN), _reordered(c, KOREAN, "$1-$2-$3"))
-        .when(c.rlike(JAPANESE), _reordered(c, JAPANESE, "$1-$2-$3"))
-        .when(c.rlike(NUMERIC), _reordered(c, NUMERIC, "$1-$2-$3"))
-        .when(
-            c.rlike(MONTH_FIRST),
-            _date(_group(c, MONTH_FIRST, 3), _month_number(_group(c, MONTH_FIRST, 1)), _group(c, MONTH_FIRST, 2)),
-        )
-        .when(
-            c.rlike(DAY_FIRST),
-            _date(_group(c, DAY_FIRST, 3), _month_number(_group(c, DAY_FIRST, 2)), _group(c, DAY_FIRST, 1)),
-        )
+
+    def english(pattern: str, month: int, day: int) -> Column:
+        number = _month_number(_group(c, pattern, month)).cast("string")
+        return F.concat_ws("-", _group(c, pattern, 3), number, _group(c, pattern, day))
+
+    text = F.coalesce(
+        *[F.when(c.rlike(p), _reordered(c, p)) for p in (KOREAN, JAPANESE, NUMERIC)],
+        F.when(c.rlike(MONTH_FIRST), english(MONTH_FIRST, 1, 2)),
+        F.when(c.rlike(DAY_FIRST), english(DAY_FIRST, 2, 1)),
     )
+    return F.try_to_date(text, "yyyy-M-d")
 
 
 def with_date_range(df: DataFrame, raw: Column, start: str = "start_date", end: str = "end_date") -> DataFrame:
@@ -96,7 +95,7 @@ def with_date_range(df: DataFrame, raw: Column, start: str = "start_date", end:
     staged = halves.withColumns({"_year": year, "_lent": lent})
     staged = staged.withColumns(
         {
-            "_first": F.coalesce(parse_date(F.coalesce("_lent", "_left")), F.when(F.col("_lent").isNotNull(), parse_date(left))),
+            "_first": parse_date(F.coalesce("_lent", "_left")),
             "_whole": parse_date(right),
             "_short": F.when(F.col("_year").isNull(), strip(right)).otherwise(
                 F.regexp_replace(F.regexp_replace(right, YEAR_TOKEN, ""), "^[ ,.]+|[ ,.]+$", "")
@@ -109,17 +108,19 @@ def with_date_range(df: DataFrame, raw: Column, start: str = "start_date", end:
             "_day": _group(F.col("_short"), SHORT_END, 2),
         }
     )
-    first, whole, month, day = (F.col(c) for c in ("_first", "_whole", "_month", "_day"))
-    near = _date(F.year(first), month, day)
-    rolled = F.when(near >= first, near).otherwise(F.when(near < first, _date(F.year(first) + 1, month, day)))
+    first, whole = F.col("_first"), F.col("_whole")
+    staged = staged.withColumn("_short_date", _date(F.coalesce("_year", F.year(first).cast("string")), F.col("_month"), F.col("_day")))
+    near = F.col("_short_date")
+    next_year = F.add_months(near, 12)
+    rolled = F.when(near >= first, near).when(F.day(near) == F.day(next_year), next_year)
     last = (
         F.when(right.isNull(), first)
         .when(first.isNotNull() & F.col("_year").isNull(), F.coalesce(rolled, whole))
-        .when(first.isNotNull() & whole.isNull(), _date(F.col("_year"), month, day))
+        .when(first.isNotNull() & whole.isNull(), near)
         .otherwise(whole)
     )
     return staged.withColumns({start: first, end: last}).drop(
-        "_left", "_right", "_year", "_lent", "_first", "_whole", "_short", "_month", "_day"
+        "_left", "_right", "_year", "_lent", "_first", "_whole", "_short", "_month", "_day", "_short_date"
     )
 
 

@@ -8,70 +8,69 @@ from pyspark.sql import functions as F
 from listingmill.functions import classify, dates, keys, text
 
 
+TEXT_FIELDS = (
+    "title", "title_en", "description", "category", "exhibition_type_text", "date_range", "open_hours",
+    "poster_image_url", "venue_name", "venue_region", "venue_address", "organizer", "fee_text", "price_notes",
+)
+
+
 def normalize_listings(raw: DataFrame, crawled_at: str) -> DataFrame:
     """Every raw row, normalised. ``error`` is set when the row has no title; nothing is dropped.
 
     Entity text is kept in ``artist_names``, ``venue_*`` and ``organizer_name`` for resolution.
-    The date range is parsed in projections of its own first, so its start is evaluated once for
-    the end, the key and the warning.
+    Staged projections (trimmed cells, then dates, then the rest) evaluate each shared value
+    once; unused stages are pruned when a caller needs only some columns.
     """
-
-    def opt(name: str):
-        return text.blank_to_null(F.col(f"raw.{name}"))
-
-    staged = raw.withColumns(
-        {
-            "_title": text.clean_whitespace(opt("title")),
-            "_range": opt("date_range"),
-            "_artists": F.coalesce(F.col("raw.artists"), F.array().cast("array<string>")),
-        }
+    no_strings = F.array().cast("array<string>")
+    cells = raw.select(
+        "source", "source_url", "seq",
+        *[text.blank_to_null(F.col(f"raw.{name}")).alias(f"_{name}") for name in TEXT_FIELDS],
+        F.coalesce(F.col("raw.artists"), no_strings).alias("artist_names"),
+        F.coalesce(F.col("raw.genre_tags"), no_strings).alias("genre_tags"),
+        F.coalesce(F.col("raw.activities"), no_strings).alias("activities"),
+        F.col("raw.price_min").alias("price_min"), F.col("raw.price_max").alias("price_max"),
+        F.col("raw.price_breakdown").alias("_tiers"),
+        F.col("raw.venue_lat").alias("venue_lat"), F.col("raw.venue_lng").alias("venue_lng"),
     )
-    staged = dates.with_date_range(staged, F.col("_range"), "_start", "_end")
+    c = {name: F.col(f"_{name}") for name in TEXT_FIELDS}
+    staged = cells.withColumn("title", text.clean_whitespace(c["title"]))
+    staged = dates.with_date_range(staged, c["date_range"])
     stamp = F.lit(crawled_at).cast("timestamp")
-    no_strings = F.array().cast("array<string>")
     return staged.select(
-        keys.exhibition_id(F.col("source"), opt("venue_name"), F.col("_title"), F.col("_start")).alias("id"),
-        "source",
-        "source_url",
-        F.col("_title").alias("title"),
-        opt("title_en").alias("title_en"),
-        F.nullif(text.sanitize_description(opt("description")), F.lit("")).alias("description"),
-        classify.drop_placeholder_image(opt("poster_image_url")).alias("poster_image_url"),
-        classify.map_medium(F.concat_ws(" ", F.col("_title"), opt("description"), opt("category"))).alias("medium"),
+        keys.exhibition_id(F.col("source"), c["venue_name"], F.col("title"), F.col("start_date")).alias("id"),
+        "source", "source_url", "title",
+        c["title_en"].alias("title_en"),
+        F.nullif(text.sanitize_description(c["description"]), F.lit("")).alias("description"),
+        classify.drop_placeholder_image(c["poster_image_url"]).alias("poster_image_url"),
+        classify.map_medium(F.concat_ws(" ", F.col("title"), c["description"], c["category"])).alias("medium"),
         classify.map_exhibition_type(
-            opt("exhibition_type_text"), F.col("_title"), F.nullif(F.size("_artists"), F.lit(0))
+            c["exhibition_type_text"], F.col("title"), F.nullif(F.size("artist_names"), F.lit(0))
         ).alias("exhibition_type"),
-        F.coalesce(F.col("raw.genre_tags"), no_strings).alias("genre_tags"),
-        classify.map_fee_type(opt("fee_text"), F.col("raw.price_min"), F.col("raw.price_max")).alias("fee_type"),
-        F.col("raw.price_min").alias("price_min"),
-        F.col("raw.price_max").alias("price_max"),
+        "genre_tags",
+        classify.map_fee_type(c["fee_text"], F.col("price_min"), F.col("price_max")).alias("fee_type"),
+        "price_min", "price_max",
         F.filter(
-            F.coalesce(F.col("raw.price_breakdown"), F.array().cast("array<struct<label:string,amount:int>>")),
+            F.coalesce("_tiers", F.array().cast("array<struct<label:string,amount:int>>")),
             lambda t: (F.coalesce(t["label"], F.lit("")) != "") & t["amount"].isNotNull(),
         ).alias("price_breakdown"),
-        opt("price_notes").alias("price_notes"),
-        F.coalesce(F.col("raw.activities"), no_strings).alias("activities"),
-        F.col("_start").alias("start_date"),
-        F.col("_end").alias("end_date"),
-        opt("open_hours").alias("open_hours"),
-        F.col("_artists").alias("artist_names"),
-        opt("venue_name").alias("venue_name"),
-        opt("venue_region").alias("venue_region"),
-        opt("venue_address").alias("venue_address"),
-        F.col("raw.venue_lat").alias("venue_lat"),
-        F.col("raw.venue_lng").alias("venue_lng"),
-        opt("organizer").alias("organizer_name"),
+        c["price_notes"].alias("price_notes"),
+        "activities", "start_date", "end_date",
+        c["open_hours"].alias("open_hours"),
+        "artist_names",
+        *[c[name].alias(name) for name in ("venue_name", "venue_region", "venue_address")],
+        "venue_lat", "venue_lng",
+        c["organizer"].alias("organizer_name"),
         F.lit("unknown").alias("status"),
         # popularity and featured are never set here, so a merge writes these over curated values
         F.lit(None).cast("double").alias("popularity_score"),
         F.lit(False).alias("featured"),
         stamp.alias("crawled_at"),
         stamp.alias("updated_at"),
-        F.when(F.col("_range").isNotNull() & F.col("_start").isNull(), F.array(F.lit("date_range")))
+        F.when(c["date_range"].isNotNull() & F.col("start_date").isNull(), F.array(F.lit("date_range")))
         .otherwise(no_strings)
         .alias("_warnings"),
         "seq",
-        F.when(F.col("_title").isNull(), F.lit("title is required")).alias("error"),
+        F.when(F.col("title").isNull(), F.lit("title is required")).alias("error"),
     )
 
 

@@ -54,7 +54,7 @@ CTES: dict[str, tuple[str, str]] = {
              WHEN DATE '1998-07-01' > end_date THEN 'past' ELSE 'ongoing' END AS status,
         'https://' || CASE WHEN seq % 3 = 0 THEN 'www.' ELSE '' END || source || '.example.org/e/' || seq AS source_url,
         'Notes on <' || core || '> mail: a' || seq || '@example.org' || repeat(' lorem', CAST(seq % 5 AS INTEGER)) AS description,
-        'Notes on <' || core || '>' || CASE WHEN seq % 5 > 0 THEN repeat(' lorem', CAST(seq % 5 AS INTEGER)) ELSE '' END AS clean_description,
+        'Notes on <' || core || '> mail:' || CASE WHEN seq % 5 > 0 THEN repeat(' lorem', CAST(seq % 5 AS INTEGER)) ELSE '' END AS clean_description,
         CASE WHEN seq % 5 <> 0 THEN 'https://img.example.org/p' || (seq % 499) || '.jpg' END AS poster_image_url,
         CASE st WHEN 'F' THEN 'photo' WHEN 'O' THEN 'video' ELSE 'mixed' END AS medium,
         CASE seq % 4 WHEN 0 THEN 'solo' WHEN 1 THEN 'group' WHEN 2 THEN 'curated' END AS exhibition_type,
