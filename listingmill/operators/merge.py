@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,45 +63,58 @@ def upsert(
     * Rows without a key are ignored on the existing side; on the batch side the last row of a
       key wins. Maps are compared entry-wise because map equality is not defined.
     """
-    existing = drop_blank_ids(existing, keys)
-    batch = latest_by(drop_blank_ids(incoming, keys), keys, order)
-    batch = batch.select(*keys, *[F.col(c).alias(f"_in_{c}") for c in batch.columns if c not in keys], F.lit(True).alias("_in"))
-    current = existing.withColumn("_cur", F.lit(True))
+    types = dict(existing.dtypes)
+    fresh = [c for c in incoming.columns if c not in (*keys, order) and c in types]
+    batch = (
+        drop_blank_ids(incoming, keys)
+        .groupBy(*keys)
+        .agg(
+            F.max_by(F.struct(*[F.col(c).cast(types[c]).alias(c) for c in fresh]), F.col(order)).alias("_in"),
+            F.min(order).alias("_order"),
+        )
+    )
+    stored = [c for c in existing.columns if c not in keys]
+    current = drop_blank_ids(existing, keys).select(*keys, F.struct(*stored).alias("_cur"))
     joined = current.join(batch, keys, "full_outer")
 
-    incoming_cols = [c for c in incoming.columns if c not in keys]
-    shared = [c for c in incoming_cols if c in existing.columns and c != order]
-    types = dict(existing.dtypes)
-    compared = [c for c in shared if c not in VOLATILE]
-    differs = reduce(or_, [~_comparable(c, types).eqNullSafe(_comparable(f"_in_{c}", types, c)) for c in compared], F.lit(False))
+    # one null-safe struct comparison: a field-by-field OR would be repeated in every output column
+    facts = [c for c in fresh if c not in VOLATILE]
+    same = _facts("_cur", facts, types).eqNullSafe(_facts("_in", facts, types))
     action = (
         F.when(F.col("_in").isNull(), F.lit("kept"))
         .when(F.col("_cur").isNull(), F.lit("new"))
-        .when(differs, F.lit("updated"))
-        .otherwise(F.lit("unchanged"))
+        .when(same, F.lit("unchanged"))
+        .otherwise(F.lit("updated"))
     )
     joined = joined.withColumn("action", action)
     takes = F.col("action").isin("new", "updated")
 
-    out = []
-    for c in existing.columns:
+    def merged(c: str) -> Column:
         if c in keys:
-            out.append(F.col(c))
-        elif c == order:
-            out.append(F.coalesce(F.col(c), F.col(f"_in_{c}")).alias(c))
-        elif c in incoming_cols:
-            fresh = F.coalesce(F.col(c), F.col(f"_in_{c}")) if c in KEPT_FROM_EXISTING else F.col(f"_in_{c}")
-            out.append(F.when(takes, fresh).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return joined.select(*out, "action")
-
-
-def _comparable(column: str, types: dict[str, str], typed_as: str | None = None) -> Column:
-    c = F.col(column)
-    if types.get(typed_as or column, "").startswith("map"):
-        return F.array_sort(F.transform(F.map_entries(c), lambda e: e.cast("string")))
-    return c
+            return F.col(c)
+        old = F.col(f"_cur.{c}")
+        if c == order:
+            return F.coalesce(old, F.col("_order")).alias(c)
+        if c not in fresh:
+            return old.alias(c)
+        new = F.col(f"_in.{c}")
+        if c in KEPT_FROM_EXISTING:
+            new = F.coalesce(old, new)
+        return F.when(takes, new).otherwise(old).alias(c)
+
+    return joined.select(*[merged(c) for c in existing.columns], "action")
+
+
+def _facts(side: str, columns: list[str], types: dict[str, str]) -> Column:
+    """The compared columns as one struct; maps, which have no order, as sorted entry texts."""
+
+    def fact(c: str) -> Column:
+        value = F.col(f"{side}.{c}")
+        if types[c].startswith("map"):
+            value = F.array_sort(F.transform(F.map_entries(value), lambda e: e.cast("string")))
+        return value.alias(c)
+
+    return F.struct(*[fact(c) for c in columns])
 
 
 def action_counts(merged: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Batch ingest: normalise, resolve, geocode, merge, report. One lazy plan per output table."""
+"""Batch ingest: normalise, resolve, geocode, merge, report.
+
+The normalised listings feed four merges, so they are written once to the shared folder; from
+there each output table is one lazy plan. Without that cut the optimiser would also push key
+filters down through every parsing stage.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +18,7 @@ from listingmill.operators.enrich import geocode
 from listingmill.operators.merge import status_changes, upsert
 from listingmill.operators.normalize import normalize_listings, split_rejects
 from listingmill.schemas import SOFT_FAIL_SOURCES, source_registry
+from listingmill.session import materialize, shared_dir
 
 # Columns of a listing that a canonical exhibition stores.
 EXHIBITION_COLUMNS = (
@@ -49,8 +55,9 @@ class Ingest:
 
 def run_ingest(raw: DataFrame, state: State, today, stamp: str) -> Ingest:
     """One batch over all sources at once; the per-source loop of a crawler is just the ``source`` column."""
-    registry = source_registry(raw.sparkSession)
-    good, rejects = split_rejects(normalize_listings(raw, stamp))
+    spark = raw.sparkSession
+    registry = source_registry(spark)
+    good, rejects = split_rejects(materialize(normalize_listings(raw, stamp), shared_dir(spark, "normalized")))
     overrides = state.overrides
 
     fresh_venues = resolve.new_venues(good, state.venues, overrides, registry, stamp)
