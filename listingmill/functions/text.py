@@ -11,11 +11,15 @@ from pyspark.sql.types import StringType
 
 # --- fixed values -----------------------------------------------------------
 ZERO_WIDTH = "[​-‍﻿]"
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+# Unicode white space, spelled out: the (?U) classes look properties up per character
+SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NOT_PLAIN_SPACE = SPACE_CHARS.replace(r"\x20", r"\x1f")
+NOT_NEWLINE_SPACE = SPACE_CHARS.replace(r"\t-\r", r"\t\x0b-\r")
+TRIM_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 EMAIL = r"[\p{L}\p{N}_.%+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
 EMAIL_WITH_LABEL = r"(?iU)[\s]*(?:이메일|메일|e-?mail)[\s]*[:：]?[\s]*" + EMAIL
 CITY_RANKS = "특별시|광역시|특별자치시|특별자치도"
-TITLE_ORNAMENTS = r"(?U)[《》「」『』\"'“”‘’()\[\]\s]"
+TITLE_ORNAMENTS = r"[《》「」『』\"'“”‘’()\[\]" + SPACE_CHARS + "]"
 BRACKETED = "[「『《【](.+?)[」』》】]"
 MIN_DESCRIPTION_LEN = 60
 # HTML entities decoded by strip_markup; the ampersand goes last.
@@ -43,8 +47,13 @@ ENTITIES = {
 
 
 def strip(c: Column) -> Column:
-    """Trim Unicode whitespace on both ends (plain ``trim`` only drops U+0020)."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Trim Unicode whitespace on both ends (without the list, ``trim`` only drops U+0020)."""
+    return F.btrim(c, F.lit(TRIM_CHARS))
+
+
+def collapse_spaces(c: Column) -> Column:
+    """Every white-space run to one space. Lone plain spaces, nearly all of them, never match."""
+    return F.regexp_replace(c, f"[{NOT_PLAIN_SPACE}][{SPACE_CHARS}]*| [{SPACE_CHARS}]+", " ")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -52,7 +61,7 @@ def blank_to_null(c: Column) -> Column:
 
 
 def clean_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, ZERO_WIDTH, ""), SPACE, " "))
+    return F.trim(collapse_spaces(F.regexp_replace(c, ZERO_WIDTH, "")))
 
 
 def clean_cell_lines(c: Column) -> Column:
@@ -84,7 +93,7 @@ def sanitize_description(c: Column) -> Column:
         F.contains(out, F.lit("@")),
         F.regexp_replace(F.regexp_replace(out, EMAIL_WITH_LABEL, " "), EMAIL, " "),
     ).otherwise(out)
-    out = F.regexp_replace(out, r"(?U)[^\S\n]+", " ")
+    out = F.regexp_replace(out, f"[{NOT_NEWLINE_SPACE}]+", " ")
     out = F.regexp_replace(out, r" *\n *", "\n")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     return strip(out)
@@ -107,8 +116,8 @@ def normalize_name(c: Column) -> Column:
 
 def fold_name(c: Column) -> Column:
     """The JVM-only part of :func:`normalize_name`, for text already composed."""
-    bare = F.regexp_replace(clean_whitespace(c), r"(?U)[^\p{L}\p{N}_\s]", "")
-    return F.lower(F.trim(F.regexp_replace(bare, SPACE, " ")))
+    bare = F.regexp_replace(clean_whitespace(c), r"[^\p{L}\p{N}_ ]", "")
+    return F.lower(F.trim(F.regexp_replace(bare, "  +", " ")))
 
 
 def normalize_address(c: Column) -> Column:
@@ -126,9 +135,10 @@ def core_title_key(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
+    out = c
     for entity, char in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
 
 
 def strip_markup(c: Column) -> Column:

@@ -133,7 +133,7 @@ def featured_pick(df: DataFrame) -> DataFrame:
 def swipe_deck(df: DataFrame, seed: int, include_past: bool = False) -> DataFrame:
     """Deck without past shows in a seeded order (any seeded order is valid)."""
     deck = df if include_past else df.filter(F.coalesce(F.col("status") != "past", F.lit(True)))
-    return deck.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "seq")
+    return deck.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id"))), "seq")
 
 
 # --- aggregates -------------------------------------------------------------------

@@ -14,7 +14,7 @@ no links; a star over the mixed groups therefore gives the same components.
 
 A group may hold a third of all rows. It is split by ``seq % SPLITS``: rows link to the hub of
 their slice and slice hubs link to the group's hub, so no task or hub sees more than
-``1/SPLITS`` of it, and the hubs come from a map-side aggregated minimum.
+``1/SPLITS`` of it.
 """
 
 from __future__ import annotations
@@ -50,38 +50,36 @@ def signal_rows(exhibitions: DataFrame) -> DataFrame:
     matchable = exhibitions.filter((title_key != "") & F.col("start_date").isNotNull())
     dates = F.concat_ws("~", F.col("start_date").cast("string"), F.coalesce(F.col("end_date").cast("string"), F.lit("")))
 
-    def signal(number: int, value: Column) -> Column:
-        return F.struct(
-            F.lit(number).alias("signal"),
-            F.when(F.coalesce(value, F.lit("")) != "", F.concat_ws("\u001f", dates, value)).alias("key"),
-        )
-
     poster = F.nullif(F.col("poster_image_url"), F.lit(""))
-    signals = F.array(
-        signal(1, title_key),
-        signal(2, F.when(poster.isNotNull(), F.concat_ws("\u001f", F.coalesce(F.col("source"), F.lit("")), poster))),
-        signal(3, F.col("venue_id")),
-        signal(4, core_title_key(F.col("title"))),
+    keyed = matchable.select(
+        "seq",
+        is_aggregator(F.col("source")).cast("int").alias("kind"),
+        dates.alias("dates"),
+        title_key.alias("k1"),
+        F.when(poster.isNotNull(), F.concat_ws("\u001f", F.coalesce(F.col("source"), F.lit("")), poster)).alias("k2"),
+        F.nullif(F.col("venue_id"), F.lit("")).alias("k3"),
+        F.nullif(core_title_key(F.col("title")), F.lit("")).alias("k4"),
     )
+    signals = F.array(*[F.struct(F.lit(n).alias("signal"), F.col(f"k{n}").alias("value")) for n in (1, 2, 3, 4)])
     return (
-        matchable.select(
-            "seq",
-            is_aggregator(F.col("source")).cast("int").alias("kind"),
-            F.explode(F.filter(signals, lambda s: s["key"].isNotNull())).alias("s"),
-        )
-        .select("seq", "kind", "s.signal", "s.key")
+        keyed.select("seq", "kind", "dates", F.explode(signals).alias("s"))
+        .filter(F.col("s.value").isNotNull())
+        .select("seq", "kind", "s.signal", F.concat_ws("\u001f", "dates", "s.value").alias("key"))
     )
 
 
 def same_show_links(exhibitions: DataFrame, splits: int = SPLITS) -> DataFrame:
     """Star links (seq, hub) whose connected components are the duplicate groups."""
+    # One shuffle of the signal rows serves the slice minimum and the join back to it. The leading
+    # hash makes the sorts compare a long; the real key follows, so a collision changes nothing.
+    keys = ["h", "signal", "key", "slice"]
+    part = W.partitionBy(*keys)
     rows = signal_rows(exhibitions).withColumn("slice", F.pmod(F.col("seq"), F.lit(splits)))
-    slices = rows.groupBy("signal", "key", "slice").agg(
-        F.min("seq").alias("hub"),
-        F.min("kind").alias("k0"),
-        F.max("kind").alias("k1"),
-        F.count(F.lit(1)).alias("n"),
+    rows = rows.withColumn("h", F.xxhash64("signal", "key", "slice"))
+    rows = rows.withColumns(
+        {"hub": F.min("seq").over(part), "k0": F.min("kind").over(part), "k1": F.max("kind").over(part), "n": F.count(F.lit(1)).over(part)}
     )
+    slices = rows.filter(F.col("seq") == F.col("hub")).select(*keys, "hub", "k0", "k1", "n")
     group = W.partitionBy("signal", "key")  # at most `splits` rows
     hubs = (
         slices.withColumns(
@@ -92,56 +90,62 @@ def same_show_links(exhibitions: DataFrame, splits: int = SPLITS) -> DataFrame:
             }
         )
         .filter((F.col("total") > 1) & (F.col("mixed") | (F.col("signal") <= 2)))
-        .select("signal", "key", "slice", "hub", "root")
+        .select(*keys, "hub", "root")
     )
-    to_slice = rows.join(hubs, ["signal", "key", "slice"]).select("seq", "hub")
+    members = rows.filter(F.col("seq") != F.col("hub")).select(*keys, "seq", "hub")
+    to_slice = members.join(hubs.select(*keys), keys).select("seq", "hub")
     to_root = hubs.select(F.col("hub").alias("seq"), F.col("root").alias("hub"))
     return to_slice.unionByName(to_root).filter(F.col("seq") != F.col("hub")).distinct()
 
 
-def connected_components(
-    links: DataFrame, max_rounds: int = 200, salts: int = 16
-) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 200, salts: int = 16) -> DataFrame:
     """(seq, component): the smallest reachable ``seq`` of every linked row.
 
-    Each round takes the minimum label over the links (map-side combined), then jumps
-    label -> label of the label, which shortens chains geometrically. The jump table holds
-    only labels that moved and is replicated over ``salts`` so that a giant component's label
-    is no hot key. Every round is written to the shared folder; the loop ends when a round
-    changes nothing.
+    Minimum-label hooking with shortcuts: each round, a row takes the smallest label-of-a-label
+    among its neighbours, hands it to its own label too, and jumps to the label of its label.
+    Long chains halve per round, so the rounds grow with the logarithm of the diameter.
+
+    All minima combine on the map side. The jump reads only labels that moved, replicated over
+    ``salts``, so a giant component's label is no hot key. Every round is written to the shared
+    folder (two copies in turn), which cuts the lineage; the loop ends when nothing changes.
     """
     spark = links.sparkSession
     root = shared_dir(spark, "components")
     both = links.select(F.col("seq").alias("a"), F.col("hub").alias("b"))
     both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{root}/links")
     labels = materialize(
-        both.groupBy("a").agg(F.min("b").alias("b"))
-        .select(F.col("a").alias("seq"), F.least("a", "b").alias("label"), F.lit(True).alias("changed")),
+        both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("seq"), F.least("a", "b").alias("label")),
         f"{root}/labels-start",
     )
     for number in range(max_rounds):
-        pulled = both.join(labels.select(F.col("seq").alias("a"), "label"), "a").select(
-            F.col("b").alias("seq"), "label", F.lit(None).cast("long").alias("old")
-        )
-        own = labels.select("seq", "label", F.col("label").alias("old"))
-        step = pulled.unionByName(own).groupBy("seq").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        step = materialize(step, f"{root}/step-{number % 2}")
         moved = (
-            step.filter(F.col("seq") != F.col("label"))
+            labels.filter(F.col("seq") != F.col("label"))
             .select(F.col("seq").alias("label"), F.col("label").alias("further"))
-            .join(step.select("label").distinct(), "label", "left_semi")
+            .join(labels.select("label").distinct(), "label", "left_semi")
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         )
-        labels = materialize(
-            step.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int"))
+        state = materialize(
+            labels.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int"))
             .join(moved, ["label", "salt"], "left")
-            .select("seq", F.coalesce("further", "label").alias("label"), "old")
-            .withColumn("changed", F.col("label") != F.col("old"))
-            .drop("old"),
+            .select("seq", "label", F.coalesce("further", "label").alias("top")),
+            f"{root}/state-{number % 2}",
+        )
+        around = both.join(state.select(F.col("seq").alias("a"), "top"), "a").groupBy("b").agg(F.min("top").alias("least"))
+        offers = state.join(around.withColumnRenamed("b", "seq"), "seq").select(
+            F.explode(
+                F.array(
+                    F.struct("seq", F.least("least", "top").alias("label"), F.col("label").alias("old")),
+                    F.struct(F.col("label").alias("seq"), F.col("least").alias("label"), F.lit(None).cast("long").alias("old")),
+                )
+            ).alias("o")
+        )
+        labels = materialize(
+            offers.groupBy("o.seq").agg(F.min("o.label").alias("label"), F.max("o.old").alias("old")),
             f"{root}/labels-{number % 2}",
         )
-        if labels.filter("changed").isEmpty():
+        if labels.filter(F.col("label") != F.col("old")).isEmpty():
             return labels.select("seq", F.col("label").alias("component"))
+        labels = labels.select("seq", "label")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from listingmill.functions.keys import facts_hash
 from listingmill.functions.text import clean_whitespace, strip_markup
+from listingmill.operators.joins import lookup_join
 from listingmill.operators.merge import first_by
 
 # --- fixed values -----------------------------------------------------------
@@ -146,12 +147,14 @@ def select_master_works(seeds: DataFrame, works: DataFrame, cap: int = WORKS_CAP
     )
     cols = [*WORK_COLUMNS, "at"]
     rules = seeds.select(F.col("id").alias("master_id"), "exclude_titles", "exclude_ids", "title_overrides")
-    candidates = (
+    shown = (
         authored.select(*cols)
         .unionByName(found.select(*cols))
         .filter(F.col("is_public_domain") & (F.coalesce("image_url", F.lit("")) != ""))
         .withColumn("work_id", work_id(F.col("source"), F.col("source_object_id")))
-        .join(rules, "master_id")
+    )
+    candidates = (
+        lookup_join(shown, rules, "master_id", spread_by=F.col("work_id"))
         .filter(
             ~F.array_contains("exclude_ids", F.col("work_id"))
             & ~F.exists("exclude_titles", lambda t: F.contains(F.lower("title"), F.lower(t)))
@@ -196,7 +199,7 @@ def credit_match(candidates: DataFrame, seeds: DataFrame, limit: int = WORKS_CAP
     portrait = F.rlike(name, F.concat(F.lit(r"(?U)^\[?\s*portrait of [^,]*\b\Q"), needle, F.lit(r"\E\b")))
 
     mine = F.when(credited != "", F.contains(credited, needle)).otherwise(F.contains(low["file_name"], needle))
-    kept = candidates.join(seeds, "master_id").filter(
+    kept = lookup_join(candidates, seeds, "master_id", spread_by=F.col("seq")).filter(
         mine
         & ~low["categories"].rlike(NON_WORK_CATEGORIES)
         & ~portrait
@@ -317,15 +320,21 @@ def rehost(works: DataFrame, candidates: DataFrame) -> DataFrame:
     full = F.lower(F.trim(F.substring_index("master_name", "(", 1)))
     own = works.filter(F.col("source") == "wikimedia")
     other = works.filter(F.col("source") != "wikimedia")
-    # The name test needs the work, so join first; the pick is a map-side combined minimum.
-    usable = candidates.filter(F.contains("mime", F.lit("image")) & is_public_domain(F.col("licence")))
+    # The name test needs the work. Copies of a credit are first reduced to the earliest file
+    # (map-side combined), so a work with very many candidates joins as its distinct credits.
     hay = F.lower(F.concat_ws(" ", F.coalesce("file_name", F.lit("")), F.coalesce("artist", F.lit(""))))
+    file = F.struct("thumburl", F.coalesce("descriptionurl", "url").alias("page"))
+    usable = (
+        candidates.filter(F.contains("mime", F.lit("image")) & is_public_domain(F.col("licence")))
+        .groupBy("work_id", hay.alias("hay"))
+        .agg(F.min_by(file, "candidate_seq").alias("file"), F.min("candidate_seq").alias("at"))
+    )
     picks = (
         other.select("work_id", full.alias("full"))
         .join(usable, "work_id")
-        .filter(F.contains(hay, F.col("full")))
+        .filter(F.contains("hay", F.col("full")))
         .groupBy("work_id")
-        .agg(F.min_by(F.struct("thumburl", F.coalesce("descriptionurl", "url").alias("page")), F.col("candidate_seq")).alias("pick"))
+        .agg(F.min_by("file", "at").alias("pick"))
     )
     moved = other.join(picks, "work_id").withColumns(
         {

@@ -11,7 +11,7 @@ MASTER_SLIDES, CINEMA_SLIDES = 6, 4
 
 
 def seeded(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("id"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("id")))
 
 
 def carousel_mix(exhibitions: DataFrame, masters: DataFrame, scenes: DataFrame, seed: int) -> DataFrame:

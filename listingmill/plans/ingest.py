@@ -18,7 +18,7 @@ from listingmill.operators.enrich import geocode
 from listingmill.operators.merge import status_changes, upsert
 from listingmill.operators.normalize import normalize_listings, split_rejects
 from listingmill.schemas import SOFT_FAIL_SOURCES, source_registry
-from listingmill.session import materialize, shared_dir
+from listingmill.session import materialize, shared_dir, spread
 
 # Columns of a listing that a canonical exhibition stores.
 EXHIBITION_COLUMNS = (
@@ -57,7 +57,7 @@ def run_ingest(raw: DataFrame, state: State, today, stamp: str) -> Ingest:
     """One batch over all sources at once; the per-source loop of a crawler is just the ``source`` column."""
     spark = raw.sparkSession
     registry = source_registry(spark)
-    good, rejects = split_rejects(materialize(normalize_listings(raw, stamp), shared_dir(spark, "normalized")))
+    good, rejects = split_rejects(materialize(normalize_listings(spread(raw), stamp), shared_dir(spark, "normalized")))
     overrides = state.overrides
 
     fresh_venues = resolve.new_venues(good, state.venues, overrides, registry, stamp)

@@ -24,8 +24,10 @@ class Catalogue:
 
 def survivors(exhibitions: DataFrame) -> DataFrame:
     """The rows that get published, one per show."""
-    unique = latest_by(drop_blank_ids(exhibitions, ["id"]), ["id"])
-    return collapse_cross_source(photo_relevance(unique)).drop("members")
+    unique = photo_relevance(latest_by(drop_blank_ids(exhibitions, ["id"]), ["id"]))
+    # read three times by the collapse (links twice, members once): pay for the wide aggregate once
+    unique = materialize(unique, shared_dir(exhibitions.sparkSession, "unique"))
+    return collapse_cross_source(unique).drop("members")
 
 
 def build_catalog(exhibitions: DataFrame, venues: DataFrame, artists: DataFrame) -> Catalogue:

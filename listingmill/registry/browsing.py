@@ -302,7 +302,16 @@ def cinema_entries(spark, d):
     return entries(spark, d).select("id", "kind", F.col("year").cast("long").alias("year"))
 
 
-@query("carousel_mix")
+@query(
+    "carousel_mix",
+    sql(
+        "x sel scene",
+        """SELECT 'exhibition' AS kind, id, title AS label, poster_image_url AS image, CAST(NULL AS VARCHAR) AS face FROM x
+        UNION ALL SELECT * FROM (SELECT 'master', seed.id, 'Master ' || seed.id, arg_min(image_url, rank), coalesce(seed.portrait_url, arg_min({'t': thumb_url}, rank).t)
+          FROM sel JOIN seed ON seed.id = sel.master_id GROUP BY seed.id, seed.portrait_url ORDER BY md5('11:' || seed.id) LIMIT 6)
+        UNION ALL SELECT * FROM (SELECT 'cinema', id, en, image, CAST(NULL AS VARCHAR) FROM scene WHERE image IS NOT NULL ORDER BY md5('11:' || id) LIMIT 4)""",
+    ),
+)
 def carousel(spark, d):
     modern, pd = td.scenes(spark, d)
     return carousel_mix(td.exhibitions(spark, d), catalogue_of_masters(spark, d), modern.unionByName(pd), seed=11)

@@ -49,7 +49,7 @@ _PAGES = """p AS (SELECT page_id, url, html, lower(regexp_extract(url, '^[a-z]+:
       CASE WHEN source = 'gallery_lux' THEN '서울' END AS venue_region FROM c""",
 )
 def extract_listing_pages(spark, d):
-    rows = extract.extract_listing_pages(td.table(spark, d, "pages"), page_rules(spark, d))
+    rows = extract.extract_listing_pages(td.texts(spark, d, "pages"), page_rules(spark, d))
     return rows.select(
         "page_id", F.col("card_pos").cast("long").alias("card_pos"), "source", "source_url", "title", "description",
         "venue_name", "venue_region",
@@ -58,7 +58,7 @@ def extract_listing_pages(spark, d):
 
 def doc_pages(spark, d) -> DataFrame:
     """Detail pages around the whole text of ``documents``."""
-    return td.table(spark, d, "documents").selectExpr(
+    return td.texts(spark, d, "documents").selectExpr(
         "doc_id AS page_id",
         "concat('https://', source, '.example.org/v.php?boardid=exhib&idx=', doc_id, '&PHPSESSID=9') AS url",
         """concat('<html><head><meta property="og:title" content="Doc ', doc_id, ' | Site &amp; more"/>',
@@ -299,7 +299,7 @@ def extract_organizer(spark, d):
 
 @query("strip_markup", f"SELECT page_id, {q_strip_markup('html')} AS body FROM pages")
 def strip_markup(spark, d):
-    return td.table(spark, d, "pages").select("page_id", text.strip_markup(F.col("html")).alias("body"))
+    return td.texts(spark, d, "pages").select("page_id", text.strip_markup(F.col("html")).alias("body"))
 
 
 @query(

@@ -10,14 +10,18 @@ from listingmill.plans import ingest, publish
 from listingmill.registry.base import query, sql
 from listingmill.registry.browsing import day
 from listingmill.schemas import empty, source_registry
-from listingmill.session import materialize, shared_dir
+from listingmill.session import materialize, shared_dir, spread
 from listingmill.sources import tables
 from listingmill.sources import testdata as td
 from listingmill.streaming.ingest_stream import prepare_tables, stream_ingest
 
 
+def normalized(spark, d) -> DataFrame:
+    return normalize.normalize_listings(spread(td.raw_listings(spark, d)), td.STAMP)
+
+
 def good(spark, d) -> DataFrame:
-    return normalize.split_rejects(normalize.normalize_listings(td.raw_listings(spark, d), td.STAMP))[0]
+    return normalize.split_rejects(normalized(spark, d))[0]
 
 
 @query(
@@ -31,7 +35,7 @@ def good(spark, d) -> DataFrame:
     ),
 )
 def normalize_listing(spark, d):
-    rows = normalize.normalize_listings(td.raw_listings(spark, d), td.STAMP)
+    rows = normalized(spark, d)
     usable = F.col("error").isNull()
     return rows.select(
         "seq", *[F.when(usable, F.col(c)).alias(c) for c in ("id", "title", "description", "medium", "exhibition_type", "fee_type")],

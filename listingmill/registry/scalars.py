@@ -28,7 +28,7 @@ def q_strip_markup(e: str) -> str:
 
 
 def docs(spark, d) -> DataFrame:
-    return td.table(spark, d, "documents")
+    return td.texts(spark, d, "documents")
 
 
 @query(

@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and bench. A cluster brings its own; AQE stays on in both."""
@@ -37,6 +35,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For costly per-row work: an input with fewer splits than cores is dealt out once.
+
+    Large inputs have more splits than that and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Write once to the shared folder and read back: lineage is cut, a lost executor costs a re-read.
 

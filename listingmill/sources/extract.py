@@ -19,6 +19,7 @@ from listingmill.functions.text import (
     strip_markup,
 )
 from listingmill.functions.urls import absolutise_url, keep_query_params, lookup, strip_rss_marker
+from listingmill.operators.joins import lookup_join
 from listingmill.operators.merge import first_by
 
 RULES = "host STRING, source STRING, card_regex STRING, field_regex MAP<STRING, STRING>, constants MAP<STRING, STRING>"
@@ -58,12 +59,11 @@ def page_host(url: Column) -> Column:
 def extract_listing_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(source, source_url, page_id, card, fields…) for every card of every page with a rule.
 
-    ``rules`` is one row per host; it joins by host and the optimiser broadcasts it while it is
-    small. Cards explode per page, so a page never has to fit with another one.
+    ``rules`` is one row per host, broadcast after a size check, so page texts do not shuffle.
     """
+    hosted = pages.select("page_id", "url", "html", page_host(F.col("url")).alias("host"))
     cards = (
-        pages.select("page_id", "url", "html", page_host(F.col("url")).alias("host"))
-        .join(rules, "host")
+        lookup_join(hosted, rules, "host", spread_by=F.col("page_id"))
         .select(
             "page_id", "url", "host", "source", "field_regex", "constants",
             F.posexplode(F.regexp_extract_all("html", F.col("card_regex"), F.lit(1))).alias("card_pos", "card"),
@@ -123,8 +123,9 @@ def poster(html: Column, host: str, fallback: Column | None = None) -> Column:
 
 def paragraphs(html: Column) -> Column:
     """Cleaned texts of the ``<p>`` elements, blanks dropped."""
-    raw = F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|$)"), F.lit(1))
-    return F.filter(F.transform(raw, strip_markup), lambda p: p != "")
+    opened = F.split(html, r"(?i)<p(?=[\s>])[^>]*>")
+    bodies = F.transform(F.slice(opened, 2, F.size(opened)), lambda b: F.get(F.split(b, "(?i)</p>", 2), F.lit(0)))
+    return F.filter(F.transform(bodies, strip_markup), lambda p: p != "")
 
 
 def paragraph_text(html: Column) -> Column:

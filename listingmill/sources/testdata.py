@@ -12,6 +12,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listingmill.session import spread
+
 TODAY = datetime.date(1998, 7, 1)
 STAMP = "1998-07-01 00:00:00"
 
@@ -20,6 +22,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process (whole documents or pages)."""
+    return spread(table(spark, d, name))
+
+
 _SOURCE = """CASE o_orderpriority WHEN '1-URGENT' THEN 'artmap' WHEN '2-HIGH' THEN 'tokyo_art_beat'
  WHEN '3-MEDIUM' THEN 'goeun' WHEN '4-NOT SPECIFIED' THEN 'pgi' ELSE 'zen_foto' END"""
 _REGION = """CASE {k} % 9 WHEN 0 THEN '서울' WHEN 1 THEN '부산' WHEN 2 THEN '경기' WHEN 3 THEN '인천' WHEN 4 THEN '강원'
