@@ -69,17 +69,22 @@ def signal_rows(exhibitions: DataFrame) -> DataFrame:
 
 
 def same_show_links(exhibitions: DataFrame, splits: int = SPLITS) -> DataFrame:
-    """Star links (seq, hub) whose connected components are the duplicate groups."""
-    # One shuffle of the signal rows serves the slice minimum and the join back to it. The leading
-    # hash makes the sorts compare a long; the real key follows, so a collision changes nothing.
+    """Star links (seq, hub) whose connected components are the duplicate groups.
+
+    The hub table is read twice, so it is written once; it is small, since it keeps only slices
+    of groups with more than one row, and its minima combine on the map side.
+    """
     keys = ["h", "signal", "key", "slice"]
-    part = W.partitionBy(*keys)
+    # The leading hash makes joins and sorts compare a long; the real key follows it, so a
+    # collision changes nothing.
     rows = signal_rows(exhibitions).withColumn("slice", F.pmod(F.col("seq"), F.lit(splits)))
     rows = rows.withColumn("h", F.xxhash64("signal", "key", "slice"))
-    rows = rows.withColumns(
-        {"hub": F.min("seq").over(part), "k0": F.min("kind").over(part), "k1": F.max("kind").over(part), "n": F.count(F.lit(1)).over(part)}
+    slices = rows.groupBy(*keys).agg(
+        F.min("seq").alias("hub"),
+        F.min("kind").alias("k0"),
+        F.max("kind").alias("k1"),
+        F.count(F.lit(1)).alias("n"),
     )
-    slices = rows.filter(F.col("seq") == F.col("hub")).select(*keys, "hub", "k0", "k1", "n")
     group = W.partitionBy("signal", "key")  # at most `splits` rows
     hubs = (
         slices.withColumns(
@@ -92,8 +97,8 @@ def same_show_links(exhibitions: DataFrame, splits: int = SPLITS) -> DataFrame:
         .filter((F.col("total") > 1) & (F.col("mixed") | (F.col("signal") <= 2)))
         .select(*keys, "hub", "root")
     )
-    members = rows.filter(F.col("seq") != F.col("hub")).select(*keys, "seq", "hub")
-    to_slice = members.join(hubs.select(*keys), keys).select("seq", "hub")
+    hubs = materialize(hubs, shared_dir(exhibitions.sparkSession, "hubs"))
+    to_slice = rows.join(hubs.select(*keys, "hub"), keys).select("seq", "hub")
     to_root = hubs.select(F.col("hub").alias("seq"), F.col("root").alias("hub"))
     return to_slice.unionByName(to_root).filter(F.col("seq") != F.col("hub")).distinct()
 

@@ -111,8 +111,10 @@ def works_by_id(wanted: DataFrame, works: DataFrame, aliases: DataFrame | None =
         asked = asked.withColumn("source_object_id", F.coalesce("to_id", "asked_id")).drop("from_id", "to_id")
     else:
         asked = asked.withColumn("source_object_id", F.col("asked_id"))
-    records = first_by(works.drop("master_id"), ["source", "source_object_id"])
-    return asked.join(records, ["source", "source_object_id"])
+    keys = ["source", "source_object_id"]
+    # only the asked records are reduced to one per id
+    records = first_by(works.drop("master_id").join(asked.select(*keys).distinct(), keys, "left_semi"), keys)
+    return asked.join(records, keys)
 
 
 def select_master_works(seeds: DataFrame, works: DataFrame, cap: int = WORKS_CAP) -> DataFrame:

@@ -260,8 +260,12 @@ def rss_rows(items: DataFrame, host: str) -> DataFrame:
         .select(
             clean_listing_title(F.col("title")).alias("title"),
             strip_rss_marker(F.col("link")).alias("source_url"),
-            absolutise_url(F.trim(image), host).alias("poster_image_url"),
-            extract_date_range(strip_markup(F.col("description"))).alias("date_range"),
+            F.trim(image).alias("image"),
+            strip_markup(F.col("description")).alias("body"),
+        )
+        .select(
+            "title", "source_url", absolutise_url(F.col("image"), host).alias("poster_image_url"),
+            extract_date_range(F.col("body")).alias("date_range"),
         )
         .filter((F.coalesce("title", F.lit("")) != "") & F.startswith("source_url", F.lit(f"https://{host}")))
     )
