@@ -54,6 +54,7 @@ def upsert(
     incoming: DataFrame,
     keys: list[str],
     order: str = "seq",
+    batch_only: bool = False,
 ) -> DataFrame:
     """Classify and merge a batch. Returns every resulting row plus an ``action`` column.
 
@@ -62,6 +63,8 @@ def upsert(
       and null-safely; a changed row keeps its first crawl and first seen times.
     * Rows without a key are ignored on the existing side; on the batch side the last row of a
       key wins. Maps are compared entry-wise because map equality is not defined.
+    * ``batch_only`` leaves out the ``kept`` rows: stored rows are first cut to the batch's keys,
+      a semi-join that filters the stored table in place while the batch is small.
     """
     types = dict(existing.dtypes)
     fresh = [c for c in incoming.columns if c not in (*keys, order) and c in types]
@@ -75,6 +78,8 @@ def upsert(
     )
     stored = [c for c in existing.columns if c not in keys]
     current = drop_blank_ids(existing, keys).select(*keys, F.struct(*stored).alias("_cur"))
+    if batch_only:
+        current = current.join(batch.select(*keys), keys, "left_semi")
     joined = current.join(batch, keys, "full_outer")
 
     # one null-safe struct comparison: a field-by-field OR would be repeated in every output column

@@ -53,8 +53,11 @@ class Ingest:
     listings: DataFrame
 
 
-def run_ingest(raw: DataFrame, state: State, today, stamp: str) -> Ingest:
-    """One batch over all sources at once; the per-source loop of a crawler is just the ``source`` column."""
+def run_ingest(raw: DataFrame, state: State, today, stamp: str, batch_only: bool = False) -> Ingest:
+    """One batch over all sources at once; the per-source loop of a crawler is just the ``source`` column.
+
+    ``batch_only`` returns only the rows the batch touches, for tables that store deltas.
+    """
     spark = raw.sparkSession
     registry = source_registry(spark)
     good, rejects = split_rejects(materialize(normalize_listings(spread(raw), stamp), shared_dir(spark, "normalized")))
@@ -65,15 +68,17 @@ def run_ingest(raw: DataFrame, state: State, today, stamp: str) -> Ingest:
     resolved = resolve.resolve_listings(good, state.artists, state.venues, state.organizers, overrides).withColumn(
         "status", compute_status(today, F.col("start_date"), F.col("end_date"))
     )
+    fresh_artists = resolve.new_artists(good, state.artists, overrides, registry, stamp)
+    fresh_organizers = resolve.new_organizers(good, state.organizers, overrides, registry, stamp)
+
+    def merged(stored: DataFrame, batch: DataFrame) -> DataFrame:
+        return upsert(stored, batch, ["id"], batch_only=batch_only)
+
     return Ingest(
-        exhibitions=upsert(state.exhibitions, resolved.select(*EXHIBITION_COLUMNS), ["id"]),
-        artists=upsert(
-            state.artists, resolve.new_artists(good, state.artists, overrides, registry, stamp), ["id"]
-        ),
-        venues=upsert(state.venues, fresh_venues, ["id"]),
-        organizers=upsert(
-            state.organizers, resolve.new_organizers(good, state.organizers, overrides, registry, stamp), ["id"]
-        ),
+        exhibitions=merged(state.exhibitions, resolved.select(*EXHIBITION_COLUMNS)),
+        artists=merged(state.artists, fresh_artists),
+        venues=merged(state.venues, fresh_venues),
+        organizers=merged(state.organizers, fresh_organizers),
         rejects=rejects,
         listings=resolved,
     )

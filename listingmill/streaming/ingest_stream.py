@@ -25,7 +25,8 @@ def batch_writer(
     def write(raw: DataFrame, batch: int) -> None:
         spark = raw.sparkSession
         tables = {name: scan_canonical(spark, root, name, before=batch) for name in TABLES}
-        run = run_ingest(raw, State(overrides=overrides, gazetteer=gazetteer, **tables), today, stamp)
+        state = State(overrides=overrides, gazetteer=gazetteer, **tables)
+        run = run_ingest(raw, state, today, stamp, batch_only=True)
         for name in ("artists", "venues", "organizers", "exhibitions"):
             merged = getattr(run, name)
             write_delta(merged.filter(F.col("action").isin(*CHANGED)).drop("action"), root, name, batch)
