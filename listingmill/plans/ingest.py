@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from listingmill.functions.dates import compute_status
 from listingmill.operators import resolve
 from listingmill.operators.enrich import geocode
-from listingmill.operators.merge import status_changes, upsert
+from listingmill.operators.merge import refresh_status, upsert
 from listingmill.operators.normalize import normalize_listings, split_rejects
 from listingmill.schemas import SOFT_FAIL_SOURCES, source_registry
 from listingmill.session import materialize, shared_dir, spread
@@ -74,8 +74,10 @@ def run_ingest(raw: DataFrame, state: State, today, stamp: str, batch_only: bool
     def merged(stored: DataFrame, batch: DataFrame) -> DataFrame:
         return upsert(stored, batch, ["id"], batch_only=batch_only)
 
+    # the closing pass over the whole table: rows outside the batch may have opened or ended
+    exhibitions = refresh_status(merged(state.exhibitions, resolved.select(*EXHIBITION_COLUMNS)), today)
     return Ingest(
-        exhibitions=merged(state.exhibitions, resolved.select(*EXHIBITION_COLUMNS)),
+        exhibitions=exhibitions,
         artists=merged(state.artists, fresh_artists),
         venues=merged(state.venues, fresh_venues),
         organizers=merged(state.organizers, fresh_organizers),
@@ -89,11 +91,6 @@ def dry_run(raw: DataFrame, source: str, stamp: str) -> DataFrame:
     return normalize_listings(raw.filter(F.col("source") == source), stamp)
 
 
-def stale_statuses(merged: DataFrame, today) -> DataFrame:
-    """The final pass over the whole table: rows outside the batch whose status moved."""
-    return status_changes(merged, today)
-
-
 def ingest_report(raw: DataFrame, run: Ingest, failures: DataFrame) -> DataFrame:
     """Per registered source: extracted, new, updated, unchanged, errors, failure, hard_failure.
 

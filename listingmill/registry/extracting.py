@@ -11,7 +11,7 @@ from listingmill.functions import text, urls, values
 from listingmill.functions.classify import drop_placeholder_image
 from listingmill.operators import merge
 from listingmill.registry.base import query, sql
-from listingmill.registry.scalars import WS, q_clean, q_strip_markup
+from listingmill.registry.scalars import q_clean, q_strip_markup
 from listingmill.session import materialize, shared_dir
 from listingmill.sources import extract, tables
 from listingmill.sources import testdata as td

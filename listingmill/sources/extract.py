@@ -341,8 +341,3 @@ def source_health(registry: DataFrame, counts_from: DataFrame, failures: DataFra
 
 def canonical_board_url(url: Column) -> Column:
     return keep_query_params(url, {"boardid": "exhib", "mode": "view", "idx": None}, numeric="idx")
-
-
-def leading_title(text: Column) -> Column:
-    """Card text up to its first date."""
-    return clean_whitespace(F.regexp_replace(text, r"(?s)\d{4}\s*\.\s*\d{1,2}\s*\.\s*\d{1,2}.*$", ""))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingmill.operators.merge import checked_patch
 from listingmill.schemas import RAW, TABLES, empty, non_finite_rows
 
 
@@ -48,10 +47,6 @@ def scan_canonical(
     return latest.select("id", "r.*").select(*[c for c in deltas.columns if c != "batch"])
 
 
-def patch_table(base: DataFrame, patch: DataFrame) -> DataFrame:
-    return checked_patch(base, patch, ["id"])
-
-
 def write_catalog(catalogue: DataFrame, path: str, fmt: str = "json") -> None:
     """Publish nested rows. NaN or infinity anywhere refuses the write, as strict readers would."""
     if not non_finite_rows(catalogue).isEmpty():

@@ -168,6 +168,10 @@ def test_credit_match(spark):
     assert [r.seq for r in masters.credit_match(df, who).orderBy("seq").collect()] == [3, 4, 8]
 
 
+def test_search_titles(one):
+    assert one(['"Stairs" (Paris) from the series X'], masters.clean_search_title) == ["Stairs"]
+
+
 def test_lookup_join_beyond_the_size_check(spark):
     """The salted way gives the same rows as the broadcast."""
     big = spark.range(500).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))

@@ -65,6 +65,11 @@ def test_run_repeat_and_publish(spark, lookups):
     for name in ("artists", "venues", "organizers"):
         assert {r.action for r in getattr(again, name).collect()} == {"kept"}
 
+    later = run_ingest(raw.filter("seq = 1"), start(spark, lookups, **stored), datetime.date(2026, 7, 15), "2026-07-15 00:00:00")
+    assert {r.seq: (r.action, r.status) for r in later.exhibitions.collect()} == {
+        1: ("updated", "past"), 2: ("kept", "past"), 3: ("kept", "unknown"), 5: ("kept", "ongoing"),
+    }
+
     published = build_catalog(stored["exhibitions"], stored["venues"], stored["artists"])
     rows = {r.seq: r for r in published.exhibitions.collect()}
     assert sorted(rows) == [1, 5] and rows[1].source == "pgi" and len(rows[1].artists) == 2 and rows[1].genre_tags == ["x"]
