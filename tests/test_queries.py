@@ -13,7 +13,7 @@ import pytest
 import __spark_entry__ as entry_points
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = entry_points._registry().QUERIES, entry_points._registry().ORACLES
 SAMPLE = (
     "clean_whitespace", "normalize_name", "parse_date_range", "extract_listing_pages", "extract_embedded_json", "extract_rss_items", "scan_canonical",
     "normalize_listing", "resolve_artists", "new_entities", "upsert_merge", "same_show_pairs", "collapse_cross_source", "build_catalog", "faceted_filter",
