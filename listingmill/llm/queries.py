@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listingmill.llm import decontam, hilbert, ownership, rules
+from listingmill.llm import decontam, hilbert, ownership, rules, simhash, substring
 from listingmill.llm.common import table
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_simhash_near_dedup,
+        op5_substring_dedup,
         op6_hilbert_sharding,
         op8_secret_scan,
         op9_benchmark_decontamination,
@@ -34,6 +44,7 @@ QUERIES = {
     )
 }
 SQL = {
+    "op5_substring_dedup": substring.SQL,
     "op9_benchmark_decontamination": decontam.SQL,
     "op10_quality_rules": rules.SQL,
 }
