@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listingmill.llm import decontam, hilbert, ownership, rules, simhash, substring
+from listingmill.llm import decontam, hilbert, ownership, planes, rules, simhash, substring
 from listingmill.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op3_simhash_near_dedup,
+        op4_bit_plane_output,
         op5_substring_dedup,
         op6_hilbert_sharding,
         op8_secret_scan,
