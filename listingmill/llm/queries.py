@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listingmill.llm import decontam, hilbert, language_id, ownership, planes, rules, simhash, substring
+from listingmill.llm import decontam, hilbert, language_id, ownership, pieces, planes, rules, simhash, substring
 from listingmill.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_sentencepiece,
         op3_simhash_near_dedup,
         op4_bit_plane_output,
         op5_substring_dedup,
