@@ -199,8 +199,13 @@ def decode(rows: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """doc_id, n_ids, ids and the text decoded from them, with ``exact``: it is the text (U+2581 read as a space)."""
-    rows = decode(encode(docs.select("doc_id", "text"), model), model)
+def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """``docs`` with ``ids``, ``decoded`` and ``exact``: what is decoded is the text, U+2581 read as a space."""
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded", (F.col("decoded") == plain).alias("exact"))
+    return decode(encode(docs, model), model).withColumn("exact", F.col("decoded") == plain)
+
+
+def digest(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """The columns of the registered query."""
+    rows = round_trip(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded", "exact")

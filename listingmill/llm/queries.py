@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listingmill.llm import decontam, hilbert, language_id, ownership, pieces, planes, rules, simhash, substring
+from listingmill.llm import decontam, hilbert, language_id, ownership, pieces, planes, rules, simhash, substring, toxicity
 from listingmill.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ownership.digest(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
         op4_bit_plane_output,
         op5_substring_dedup,
         op6_hilbert_sharding,
+        op7_toxicity,
         op8_secret_scan,
         op9_benchmark_decontamination,
         op10_quality_rules,
