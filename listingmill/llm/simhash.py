@@ -18,6 +18,7 @@ their rows; a NULL doc_id is never a component's id unless nothing else is in it
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -38,6 +39,8 @@ NEAR = 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Members of one key that a task links by comparing; larger keys are resolved by points.
 GROUP = 1 << 14
+#: Up to so many members are compared pair by pair, several keys at once.
+PAIRED = 8
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
@@ -126,12 +129,19 @@ def _near(a: np.ndarray | np.uint64, b: np.ndarray, near: int) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the graph whose edges join fingerprints at ``near`` bits or fewer."""
-    left, a, b = fps, [], []
+    """Links of a spanning forest of the graph whose edges join distinct fingerprints at ``near`` bits or fewer.
+
+    Members are taken from the middle outwards: the ones nearest to the bitwise majority come first. A group of copies of one
+    text thus gets the same parents under each of its keys, and their links coincide.
+    """
+    votes = np.unpackbits(fps.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    middle = np.packbits(2 * votes > len(fps), bitorder="little").view("<u8")[0]
+    left = fps[np.lexsort((fps, np.bitwise_count(fps ^ middle)))]
+    a, b = [], []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        queue, left = deque([left[0]]), left[1:]
         while queue and len(left):
-            at = queue.pop()
+            at = queue.popleft()
             hit = _near(at, left, near)
             if hit.any():
                 found = left[hit]
@@ -156,10 +166,10 @@ def _link_groups(key: np.ndarray, fp: np.ndarray, role: np.ndarray, near: int, g
     sizes = np.diff(np.r_[starts, len(key)])
     member = np.repeat(sizes, sizes)
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    small = (member > 1) & (member <= 32)
+    small = (member > 1) & (member <= PAIRED)
     k, f, r = key[small], fp[small], role[small]
     lag = 1
-    while lag < 32:
+    while lag < PAIRED:
         same = k[lag:] == k[:-lag] if lag < len(k) else np.zeros(0, bool)
         if not same.any():
             break
@@ -169,7 +179,7 @@ def _link_groups(key: np.ndarray, fp: np.ndarray, role: np.ndarray, near: int, g
         a.append(f[:-lag][hit])
         b.append(f[lag:][hit])
         lag += 1
-    for s, n in zip(starts[sizes > 32], sizes[sizes > 32]):
+    for s, n in zip(starts[sizes > PAIRED], sizes[sizes > PAIRED]):
         own = np.unique(fp[s : s + n])
         x, y = (own, own) if len(own) > group else forest(own, near)
         a.append(x)
