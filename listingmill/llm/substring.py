@@ -41,7 +41,7 @@ WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 #: Bytes of text in a block, of one longer text at least.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text for each bucket of the two exchanges.
 BUCKET_BYTES = 24 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -56,11 +56,13 @@ class Block:
         split = [t.split() for t in texts]
         self.words = list(chain.from_iterable(split))
         self.counts = np.array([len(w) for w in split], np.int64)
+        del split
         self.starts = np.r_[0, np.cumsum(self.counts)]
         self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        self.at = np.arange(len(self.words)) - self.starts[:-1][self.doc]  # position in the document
-        self.after = self.counts[self.doc] - self.at  # words from here to the document's end
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
+        # Position in the document, and the words from here to its end.
+        self.at = np.arange(len(self.words), dtype=np.int32) - self.starts[:-1].astype(np.int32)[self.doc]
+        self.after = self.counts.astype(np.int32)[self.doc] - self.at
 
     def runs(self, where: np.ndarray, length: int, base: int) -> np.ndarray:
         """A mixed polynomial hash of the ``length`` words from each position."""
@@ -80,7 +82,7 @@ class Block:
 
     def candidates(self, where: np.ndarray, window: int) -> np.ndarray:
         """Starts of windows that hold an anchor at one of ``where`` at an offset below the period."""
-        mark = np.zeros(len(self.words) + 1, np.int64)
+        mark = np.zeros(len(self.words) + 1, np.int32)
         np.add.at(mark, np.maximum(where - (PERIOD - 1), self.starts[:-1][self.doc[where]]), 1)
         np.add.at(mark, where + 1, -1)
         return np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (self.after >= window))
@@ -287,7 +289,7 @@ def _remove(folder: str, window: int):
             seen = np.full(n, np.iinfo(np.int32).max, np.int32)
             np.minimum.at(seen, which, starts)
             gone = starts[later[which] | (starts > seen[which])]
-            mark = np.zeros(len(block.words) + 1, np.int64)
+            mark = np.zeros(len(block.words) + 1, np.int32)
             np.add.at(mark, gone, 1)
             np.add.at(mark, gone + window, -1)
             removed = np.cumsum(mark[:-1]) > 0
