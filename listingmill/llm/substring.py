@@ -13,7 +13,7 @@ of candidate windows with their first place in the block, back as one bit each:
 (3) removal and digest, block by block. Hash entries of a pair (bucket, block) travel as one packed row, and every
 bucket and every block is one task's group of bounded size.
 
-Anchors use 48 bits beside their bucket, where a collision only costs a needless candidate. Windows use 120 bits of two
+Anchors use 48 bits beside their bucket, where a collision only costs a needless candidate. Windows use 96 bits of two
 independent hashes in place of the words.
 
 NULL and empty texts have no words, texts of fewer words than a window are kept whole. Rows with equal doc_id are one
@@ -44,6 +44,8 @@ COVER = (0, 1, 3, 9)
 BLOCK_BYTES = 4 << 20
 #: Bytes of text for each bucket of the two exchanges.
 BUCKET_BYTES = 24 << 20
+#: Bytes of text for each task between the exchanges.
+TASK_BYTES = 32 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _NO_ID = -(1 << 63)
 
@@ -208,9 +210,12 @@ def _window_rows(block: Block, repeated: np.ndarray, window: int) -> tuple[np.nd
     one, two = block.runs(starts, window, 1), block.runs(starts, window, 2)
     order = np.lexsort((starts, two, one))  # documents of a block are in id order, so starts are in corpus order
     new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])] if len(order) else np.zeros(0, bool)
+    first = order[new]  # the least start of each distinct window
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
     which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    first = order[new]
+    which[order] = rank[np.cumsum(new) - 1]
+    first.sort()  # in corpus order, neighbours share id and follow in position, which compresses well
     return one[first], two[first], starts[first], np.stack([starts, which])
 
 
@@ -226,17 +231,22 @@ def _send_windows(folder: str, window: int, buckets: int):
             sent, order = [(-1, name, b"")], [np.zeros(0, np.int64)]
             doc = block.doc[first]
             for bucket, i in _by_bucket(one, buckets):
-                place = np.stack([block.ids[doc[i]], block.tie[doc[i]], block.at[first[i]]]).astype(np.int64)
-                body = len(i).to_bytes(4, "little") + _low_bytes(one[i], 8) + _low_bytes(two[i], 7) + zstandard.compress(_planes(place), 1)
+                place = _steps(np.stack([block.ids[doc[i]], block.tie[doc[i]], block.at[first[i]]]).astype(np.int64))
+                body = len(i).to_bytes(4, "little") + _low_bytes(one[i], 7) + _low_bytes(two[i], 5) + zstandard.compress(_planes(place), 1)
                 sent.append((bucket, name, body))
                 order.append(i)
-            saved = np.r_[len(first), np.concatenate(order), every.ravel()].astype(np.int32)
-            blobs.write(f"{folder}/{name}.w", [zstandard.compress(_planes(saved), 1)])
+            kept = [len(first), _steps(np.concatenate(order)[None])[0], *_steps(every)]
+            blobs.write(f"{folder}/{name}.w", [zstandard.compress(_planes(np.r_[tuple(kept)].astype(np.int32)), 1)])
             yield _batch(_SENT[1], sent)
 
     return run
 
 
+def _steps(rows: np.ndarray) -> np.ndarray:
+    """Each row's differences, so that ``cumsum`` gives it back."""
+    return np.diff(rows, axis=1, prepend=0)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of equal rank together: the high ones are mostly equal and vanish in compression."""
     flat = np.ascontiguousarray(values).ravel()
@@ -256,10 +266,10 @@ def _first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         rows.sort(key=lambda r: r["block"])  # settles ties of wholly equal rows
         counts = [int.from_bytes(r["body"][:4], "little") for r in rows]
-        one = np.concatenate([_from_bytes(r["body"][4 : 4 + 8 * n], 8) for r, n in zip(rows, counts)])
-        two = np.concatenate([_from_bytes(r["body"][4 + 8 * n : 4 + 15 * n], 7) for r, n in zip(rows, counts)])
-        places = [_unplaned(zstandard.decompress(r["body"][4 + 15 * n :]), np.int64).reshape(3, -1) for r, n in zip(rows, counts)]
-        place = np.concatenate(places, axis=1)
+        one = np.concatenate([_from_bytes(r["body"][4 : 4 + 7 * n], 7) for r, n in zip(rows, counts)])
+        two = np.concatenate([_from_bytes(r["body"][4 + 7 * n : 4 + 12 * n], 5) for r, n in zip(rows, counts)])
+        places = [_unplaned(zstandard.decompress(r["body"][4 + 12 * n :]), np.int64) for r in rows for n in [int.from_bytes(r["body"][:4], "little")]]
+        place = np.concatenate([np.cumsum(p.reshape(3, -1), axis=1) for p in places], axis=1)
         owner = np.repeat(np.arange(len(rows)), counts)
         order = np.lexsort((owner, place[2], place[1], place[0], two, one))
         a, b = one[order], two[order]
@@ -277,7 +287,8 @@ def _remove(folder: str, window: int):
             name = rows[0]["block"]
             block = _unpack(blobs.read(f"{folder}/{name}"))
             saved = _unplaned(zstandard.decompress(blobs.read(f"{folder}/{name}.w")), np.int32)
-            n, order, every = saved[0], saved[1 : 1 + saved[0]], saved[1 + saved[0] :].reshape(2, -1)
+            n = saved[0]
+            order, every = np.cumsum(saved[1 : 1 + n]), np.cumsum(saved[1 + n :].reshape(2, -1), axis=1)
             later = np.zeros(n, bool)
             sent = 0
             for row in sorted(rows, key=lambda r: r["bucket"]):  # buckets were sent in ascending order
@@ -318,14 +329,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     buckets = size // bucket_bytes + 8
 
+    tasks = size // TASK_BYTES + 1
+
     def step(df: DataFrame, fn, key: str, ddl: str) -> DataFrame:
-        return df.repartition(key).sortWithinPartitions(key).mapInArrow(fn, ddl)
+        return df.repartition(tasks, key).sortWithinPartitions(key).mapInArrow(fn, ddl)
 
     anchors = docs.select("doc_id", "text").mapInArrow(_write_blocks(folder, window, buckets, block_bytes), _SENT[0])
     # The marker rows of all blocks share bucket -1: they are spread, and only need to reach their block.
     salted = anchors.withColumn("key", F.when(F.col("bucket") < 0, F.concat(F.lit("-"), "block")).otherwise(F.col("bucket").cast("string")))
     back = materialize(step(salted, _repeated, "key", _BACK[0]), shared_dir(spark, "anchors"))
-    sent = materialize(step(back, _send_windows(folder, window, buckets), "block", _SENT[0]), shared_dir(spark, "windows"))
+    sent = step(back, _send_windows(folder, window, buckets), "block", _SENT[0])
     salted = sent.withColumn("key", F.when(F.col("bucket") < 0, F.concat(F.lit("-"), "block")).otherwise(F.col("bucket").cast("string")))
     bits = step(salted, _first_places, "key", _BACK[0])
     return step(bits, _remove(folder, window), "block", _OUT[0])
