@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import unicodedata
 
 import pandas as pd
@@ -22,30 +24,13 @@ CITY_RANKS = "특별시|광역시|특별자치시|특별자치도"
 TITLE_ORNAMENTS = r"[《》「」『』\"'“”‘’()\[\]" + SPACE_CHARS + "]"
 BRACKETED = "[「『《【](.+?)[」』》】]"
 MIN_DESCRIPTION_LEN = 60
-# HTML entities decoded by strip_markup; the ampersand goes last.
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#34;": '"',
-    "&#39;": "'",
-    "&#x27;": "'",
-    "&apos;": "'",
-    "&nbsp;": " ",
-    "&#160;": " ",
-    "&hellip;": "…",
-    "&middot;": "·",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&lsquo;": "‘",
-    "&rsquo;": "’",
-    "&ldquo;": "“",
-    "&rdquo;": "”",
-    "&amp;": "&",
-}
 # -----------------------------------------------------------------------------
 
 
+# The named character references of the HTML standard, as Python's library lists them.
+NAMED_ENTITIES = json.dumps({f"&{name}": char for name, char in html.entities.html5.items() if name.endswith(";")})
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace on both ends (without the list, ``trim`` only drops U+0020)."""
     return F.btrim(c, F.lit(TRIM_CHARS))
@@ -135,10 +120,25 @@ def core_title_key(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    out = c
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+    """Every named, decimal and hexadecimal character reference, in one pass; a no-break space becomes a plain one.
+
+    Unknown names stay as they are, numbers that are no character become U+FFFD.
+    """
+    names = F.from_json(F.lit(NAMED_ENTITIES), "map<string, string>")
+
+    def decoded(entity: Column) -> Column:
+        digits = F.regexp_extract(entity, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        hexadecimal = F.lower(F.substring(entity, 3, 1)) == "x"
+        point = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).try_cast("long")
+        fits = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(fits, point).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        plain = F.when(F.startswith(entity, F.lit("&#")), char).otherwise(F.coalesce(F.try_element_at(names, entity), entity))
+        return F.when(plain == "\u00a0", " ").otherwise(plain)
+
+    pattern = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+    found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), decoded)
+    joined = F.zip_with(F.split(c, pattern, -1), found, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(joined, "")).otherwise(c)
 
 
 def strip_markup(c: Column) -> Column:

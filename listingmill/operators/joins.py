@@ -5,23 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 10_000
 SALTS = 32
 
 
-def lookup_join(
-    big: DataFrame, small: DataFrame, key: str, spread_by: Column, how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS,
-) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, key: str, spread_by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join on ``key``, one lookup row per key.
 
-    The lookup's size is checked (at most ``max_rows + 1`` rows are counted): below the limit it
-    is broadcast and the big side never shuffles. Above it, each lookup row is repeated per salt
-    and the big side spreads by ``spread_by``, so a key with most of the rows is split; the salt
-    also keeps a later aggregate on ``key`` from reusing the skewed partitioning.
+    Each lookup row is repeated per salt and the big side spreads by ``spread_by``, so a key with most of the rows is
+    split; the salt also keeps a later aggregate on ``key`` from reusing the skewed partitioning. Nothing is hinted: the optimiser
+    broadcasts the lookup where its bytes are below the session's threshold, and then the big side never shuffles.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), key, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     return spread.join(salted, [key, "_salt"], how).drop("_salt")

@@ -131,8 +131,12 @@ def append_rows(base: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def insert_missing(base: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Append rows whose key is new (insert … on conflict do nothing); the first of a batch wins."""
-    batch = first_by(rows, keys, order) if order else rows.dropDuplicates(keys)
+    """Append rows whose key is new (insert … on conflict do nothing); the first of a batch wins.
+
+    Without ``order``, the first in the order of the remaining columns does, so that the result is settled.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    batch = first_by(rows, keys, order or F.struct(*rest)) if rest else rows.distinct()
     fresh = batch.join(base.select(*keys), keys, "left_anti")
     return base.unionByName(fresh, allowMissingColumns=True)
 
@@ -174,5 +178,13 @@ def status_changes(exhibitions: DataFrame, today) -> DataFrame:
 
 
 def refresh_status(exhibitions: DataFrame, today) -> DataFrame:
-    """The whole table with current statuses: a projection, no join needed."""
-    return exhibitions.withColumn("status", compute_status(today, F.col("start_date"), F.col("end_date")))
+    """The whole table with current statuses: a projection, no join needed.
+
+    Where a merge left an ``action``, a row that was only kept and whose status moved gets the action ``status``.
+    """
+    now = compute_status(today, F.col("start_date"), F.col("end_date"))
+    out = exhibitions
+    if "action" in out.columns:
+        moved = (F.col("action") == "kept") & ~F.col("status").eqNullSafe(now)
+        out = out.withColumn("action", F.when(moved, F.lit("status")).otherwise(F.col("action")))
+    return out.withColumn("status", now)

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from listingmill.functions.dates import compute_status
 from listingmill.operators import resolve
 from listingmill.operators.enrich import geocode
-from listingmill.operators.merge import refresh_status, upsert
+from listingmill.operators.merge import drop_blank_ids, refresh_status, upsert
 from listingmill.operators.normalize import normalize_listings, split_rejects
 from listingmill.schemas import SOFT_FAIL_SOURCES, source_registry
-from listingmill.session import materialize, shared_dir, spread
+from listingmill.session import materialize, shared_dir
 
 # Columns of a listing that a canonical exhibition stores.
 EXHIBITION_COLUMNS = (
@@ -56,11 +56,11 @@ class Ingest:
 def run_ingest(raw: DataFrame, state: State, today, stamp: str, batch_only: bool = False) -> Ingest:
     """One batch over all sources at once; the per-source loop of a crawler is just the ``source`` column.
 
-    ``batch_only`` returns only the rows the batch touches, for tables that store deltas.
+    ``batch_only`` returns only the rows the batch touches or whose status has moved, for tables that store deltas.
     """
     spark = raw.sparkSession
     registry = source_registry(spark)
-    good, rejects = split_rejects(materialize(normalize_listings(spread(raw), stamp), shared_dir(spark, "normalized")))
+    good, rejects = split_rejects(materialize(normalize_listings(raw, stamp), shared_dir(spark, "normalized")))
     overrides = state.overrides
 
     fresh_venues = resolve.new_venues(good, state.venues, overrides, registry, stamp)
@@ -75,7 +75,12 @@ def run_ingest(raw: DataFrame, state: State, today, stamp: str, batch_only: bool
         return upsert(stored, batch, ["id"], batch_only=batch_only)
 
     # the closing pass over the whole table: rows outside the batch may have opened or ended
-    exhibitions = refresh_status(merged(state.exhibitions, resolved.select(*EXHIBITION_COLUMNS)), today)
+    batch = resolved.select(*EXHIBITION_COLUMNS)
+    exhibitions = refresh_status(merged(state.exhibitions, batch), today)
+    if batch_only:
+        elsewhere = drop_blank_ids(state.exhibitions, ["id"]).withColumn("action", F.lit("kept"))
+        moved = refresh_status(elsewhere, today).filter(F.col("action") == "status").join(batch.select("id"), "id", "left_anti")
+        exhibitions = exhibitions.unionByName(moved)
     return Ingest(
         exhibitions=exhibitions,
         artists=merged(state.artists, fresh_artists),

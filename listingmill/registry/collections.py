@@ -172,9 +172,9 @@ def master_images(spark, d):
     return rows.select("id", F.coalesce("face", F.lit("")).alias("face_raw"), "hero")
 
 
-@query("sort_masters", sql("seed", "SELECT id, CAST(birth_year AS BIGINT) AS birth_year FROM seed ORDER BY coalesce(birth_year, 9999), k0 LIMIT 12"))
+@query("sort_masters", sql("seed", "SELECT id, CAST(birth_year AS BIGINT) AS birth_year, CAST(row_number() OVER (ORDER BY coalesce(birth_year, 9999), k0) AS BIGINT) AS position FROM seed"))
 def sort_masters(spark, d):
-    return masters.sort_masters(td.seeds(spark, d), 12).select("id", F.col("birth_year").cast("long").alias("birth_year"))
+    return masters.sort_masters(td.seeds(spark, d)).select("id", F.col("birth_year").cast("long").alias("birth_year"), F.col("position").cast("long").alias("position"))
 
 
 @query(

@@ -68,10 +68,10 @@ def translation_backlog(spark, d):
     return jobs(spark, d).select(F.col("table").alias("tbl"), "id", "field", "locale", "lang")
 
 
-@query("interleave_tables", _jobs_sql("SELECT tbl, id, turn, jobs FROM turns ORDER BY turns.turn, rank LIMIT 500"))
+@query("interleave_tables", _jobs_sql("SELECT tbl, id, turn, CAST(rank AS BIGINT) AS rank, jobs FROM turns"))
 def interleave_tables(spark, d):
-    rows = enrich.interleave(enrich.jobs_per_row(jobs(spark, d)), budget=500)
-    return rows.select(F.col("table").alias("tbl"), "id", "turn", "jobs")
+    rows = enrich.interleave(enrich.jobs_per_row(jobs(spark, d)))
+    return rows.select(F.col("table").alias("tbl"), "id", "turn", F.col("table_rank").cast("long").alias("rank"), "jobs")
 
 
 @query(

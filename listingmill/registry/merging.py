@@ -10,14 +10,14 @@ from listingmill.plans import ingest, publish
 from listingmill.registry.base import query, sql
 from listingmill.registry.browsing import day
 from listingmill.schemas import empty, source_registry
-from listingmill.session import materialize, shared_dir, spread
+from listingmill.session import materialize, shared_dir
 from listingmill.sources import tables
 from listingmill.sources import testdata as td
 from listingmill.streaming.ingest_stream import prepare_tables, stream_ingest
 
 
 def normalized(spark, d) -> DataFrame:
-    return normalize.normalize_listings(spread(td.raw_listings(spark, d)), td.STAMP)
+    return normalize.normalize_listings(td.dealt(td.raw_listings(spark, d)), td.STAMP)
 
 
 def good(spark, d) -> DataFrame:

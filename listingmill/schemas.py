@@ -7,7 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from listingmill.functions.text import blank_to_null
 
@@ -151,7 +151,22 @@ def evolve(df: DataFrame, expected: StructType) -> DataFrame:
 
 
 def non_finite_rows(df: DataFrame) -> DataFrame:
-    """Rows with NaN or infinity in a top-level floating point column."""
-    doubles = [F.col(c) for c, t in df.dtypes if t in ("double", "float")]
-    tests = [F.isnan(c) | (F.abs(c) == float("inf")) for c in doubles]
+    """Rows with NaN or infinity in any floating point value, nested ones included."""
+    tests = [t for f in df.schema.fields if (t := _non_finite(F.col(f.name), f.dataType)) is not None]
     return df.filter(F.coalesce(reduce(or_, tests, F.lit(False)), F.lit(False)))
+
+
+def _non_finite(c: Column, kind: DataType) -> Column | None:
+    """Whether the value holds NaN or infinity; None where its type cannot."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    if isinstance(kind, StructType):
+        inner = [t for f in kind.fields if (t := _non_finite(c[f.name], f.dataType)) is not None]
+        return reduce(or_, inner) if inner else None
+    if isinstance(kind, ArrayType):
+        if _non_finite(c, kind.elementType) is None:
+            return None
+        return F.coalesce(F.exists(c, lambda x: _non_finite(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, MapType):
+        return _non_finite(F.map_values(c), ArrayType(kind.valueType))
+    return None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -30,18 +31,16 @@ def _fallback_dir() -> str:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _fallback_dir()
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
+    """A fresh folder below ``spark.checkpoint.dir``.
 
-def spread(df: DataFrame) -> DataFrame:
-    """For costly per-row work: an input with fewer splits than cores is dealt out once.
-
-    Large inputs have more splits than that and pass through without a shuffle.
+    A private folder serves only a local session without that setting (tests); a cluster must name one that all its machines share.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = _fallback_dir()
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

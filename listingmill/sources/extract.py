@@ -252,11 +252,14 @@ def json_item_rows(items: DataFrame, base_url: str) -> DataFrame:
     ).filter((F.coalesce("title", F.lit("")) != "") & F.col("source_url").isNotNull() & photo_title(F.col("title")))
 
 
-def rss_rows(items: DataFrame, host: str) -> DataFrame:
-    """Rows of RSS items (title, link, category array, description) in an allowed category."""
+def rss_rows(items: DataFrame, host: str, categories: tuple[str, ...] | None = RSS_CATEGORIES) -> DataFrame:
+    """Rows of RSS items (title, link, category array, description); ``categories`` is the feed's allow-set, None keeps all."""
+    allowed = F.lit(True)
+    if categories is not None:
+        allowed = F.arrays_overlap(F.transform("category", F.trim), F.array(*[F.lit(c) for c in categories]))
     image = F.get(image_sources(F.col("description")), F.lit(0))
     return (
-        items.filter(F.arrays_overlap(F.transform("category", F.trim), F.array(*[F.lit(c) for c in RSS_CATEGORIES])))
+        items.filter(allowed)
         .select(
             clean_listing_title(F.col("title")).alias("title"),
             strip_rss_marker(F.col("link")).alias("source_url"),

@@ -12,7 +12,6 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingmill.session import spread
 
 TODAY = datetime.date(1998, 7, 1)
 STAMP = "1998-07-01 00:00:00"
@@ -24,7 +23,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table whose rows are costly to process (whole documents or pages)."""
-    return spread(table(spark, d, name))
+    return dealt(table(spark, d, name))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows in as many tasks as the session's shuffles have: the test tables are single files with one split."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 _SOURCE = """CASE o_orderpriority WHEN '1-URGENT' THEN 'artmap' WHEN '2-HIGH' THEN 'tokyo_art_beat'

@@ -7,6 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from listingmill.functions import text
 from listingmill.operators import browse, cinema, enrich, joins, masters, notify, resolve
 from listingmill.plans.search import search
 from listingmill.schemas import source_registry
@@ -172,12 +173,12 @@ def test_search_titles(one):
     assert one(['"Stairs" (Paris) from the series X'], masters.clean_search_title) == ["Stairs"]
 
 
-def test_lookup_join_beyond_the_size_check(spark):
-    """The salted way gives the same rows as the broadcast."""
+def test_lookup_join_splits_a_hot_key(spark):
+    """The salted join gives the rows of a plain one."""
     big = spark.range(500).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     small = spark.range(50).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v")).unionByName(spark.sql("select 'hot' k, 2 v"))
-    plain, salted = (sorted(map(tuple, joins.lookup_join(big, small, "k", F.col("id"), max_rows=m).collect())) for m in (1000, 3))
-    assert plain == salted and len(plain) == 167 + 33
+    salted = sorted(map(tuple, joins.lookup_join(big, small, "k", F.col("id")).select("k", "id", "v").collect()))
+    assert salted == sorted(map(tuple, big.join(small, "k").select("k", "id", "v").collect())) and len(salted) == 167 + 33
 
 
 def test_geocoding(spark):
@@ -210,3 +211,18 @@ def test_catalogue_refuses_nan(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.write_catalog(spark.createDataFrame([("a", float("nan"))], "id string, v double"), str(tmp_path / "c"))
     tables.write_catalog(spark.createDataFrame([("a", None)], "id string, v double"), str(tmp_path / "c"))
+    deep = "id string, v struct<a: array<struct<b: double>>, m: map<string, float>>"
+    for bad in ((([(float("inf"),)]), {}), ([(1.0,)], {"k": float("nan")})):
+        with pytest.raises(ValueError):
+            tables.write_catalog(spark.createDataFrame([("a", bad)], deep), str(tmp_path / "d"))
+    tables.write_catalog(spark.createDataFrame([("a", ([(1.0,), (None,)], None)), ("b", None)], deep), str(tmp_path / "d"))
+
+
+def test_entities(one):
+    texts = ["caf&eacute; &#8211; &#x2019;n&copy;", "&amp;lt; &#38;amp; &unknown; & &#; &#x110000;", "a&nbsp;b&#160;c", "plain", None]
+    assert one(texts, text.decode_entities) == ["café – ’n©", "&lt; &amp; &unknown; & &#; \ufffd", "a b c", "plain", None]
+
+
+def test_a_feed_without_allow_set_keeps_all(spark):
+    items = spark.createDataFrame([("A", "https://h.org/1", ["전시1관 Gallery1"], "d"), ("B", "https://h.org/2", ["전시소식"], "d")], "title string, link string, category array<string>, description string")
+    assert extract.rss_rows(items, "h.org").count() == 1 and extract.rss_rows(items, "h.org", None).count() == 2

@@ -67,7 +67,7 @@ def test_run_repeat_and_publish(spark, lookups):
 
     later = run_ingest(raw.filter("seq = 1"), start(spark, lookups, **stored), datetime.date(2026, 7, 15), "2026-07-15 00:00:00")
     assert {r.seq: (r.action, r.status) for r in later.exhibitions.collect()} == {
-        1: ("updated", "past"), 2: ("kept", "past"), 3: ("kept", "unknown"), 5: ("kept", "ongoing"),
+        1: ("updated", "past"), 2: ("status", "past"), 3: ("kept", "unknown"), 5: ("status", "ongoing"),
     }
 
     published = build_catalog(stored["exhibitions"], stored["venues"], stored["artists"])
