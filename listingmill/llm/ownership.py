@@ -134,3 +134,36 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.col("cut").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+def _sql() -> str:
+    def found(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+        p = pattern.replace("'", "''")
+        return f"""SELECT r, '{kind}' AS kind, {rank} AS k, {least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v,
+          string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')"""
+
+    kinds = ((ASSIGN, 2, 8), (ACCESS, 0, 16), (HEX, 0, 32), (BARE, 0, 24))
+    every = "\n UNION ALL ".join(found(KINDS[i], i, *kind) for i, kind in enumerate(kinds))
+    # RE2 has no back reference: the same character six times, for every character of a value.
+    same = "|".join(f"[{c}]{{6}}" for c in "abcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    placeholder = PLACEHOLDER.replace(r"(.)\1{5}", same)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({every}),
+u AS (SELECT r, kind, k, least, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM m),
+p AS (SELECT r, kind, k, least, v, length(m) AS n, CAST(sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS e FROM u),
+s AS (SELECT r, kind, k, v, e - n AS a, e FROM p WHERE length(v) >= least),
+free AS (SELECT * FROM s WHERE k < 3 UNION ALL SELECT * FROM s WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')
+  AND NOT EXISTS (SELECT 1 FROM s b WHERE b.r = s.r AND b.k < 3 AND b.a < s.e AND s.a < b.e)),
+own AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n FROM free JOIN d USING (r) GROUP BY v),
+j AS (SELECT *, CASE WHEN n >= {EXAMPLE_OWNERS} OR regexp_matches(v, '{placeholder}') THEN 'example' WHEN n = 1 THEN 'live' ELSE 'shared' END AS verdict FROM free JOIN own USING (v)),
+x AS (SELECT r, count(*) FILTER (k = 0) AS na, count(*) FILTER (k = 1) AS nk, count(*) FILTER (k = 2) AS nh,
+  string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k) FILTER (k < 3) AS base,
+  string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k) FILTER (k < 3 OR verdict = 'live') AS spans,
+  count(*) FILTER (verdict = 'live') AS nl, count(*) FILTER (verdict = 'shared' AND k < 3) AS ns, count(*) FILTER (verdict = 'example' AND k < 3) AS ne FROM j GROUP BY r)
+SELECT doc_id, coalesce(na, 0) AS n_assign, coalesce(nk, 0) AS n_access, coalesce(nh, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(nl, 0) AS n_live, coalesce(ns, 0) AS n_shared, coalesce(ne, 0) AS n_example FROM d LEFT JOIN x USING (r)
+"""
+
+
+SQL = _sql()

@@ -64,6 +64,7 @@ QUERIES = {
     )
 }
 SQL = {
+    "op8_secret_scan": ownership.SQL,
     "op5_substring_dedup": substring.SQL,
     "op9_benchmark_decontamination": decontam.SQL,
     "op10_quality_rules": rules.SQL,

@@ -5,13 +5,11 @@ import pytest
 
 sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))]
 
-from pyspark.sql import SparkSession  # noqa: E402
-
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, k string, w string, key string"
 
 
 @pytest.fixture()
-def docs_of(spark: SparkSession):
+def docs_of(spark):
     """A documents table from texts (ids in order) or from (id, text) pairs, with extra columns of clashing names."""
 
     def build(texts, lang="en"):
