@@ -190,22 +190,28 @@ def union_in_order(members: DataFrame, group: str, array_col: str, order: str =
 def merge_duplicates(labelled: DataFrame) -> DataFrame:
     """One row per component at the first member's position, with artists and genres grafted on.
 
-    The winner is a map-side combined minimum. Only linked rows reach the list building, and
-    the winner's own values come first.
+    Only linked rows are written aside, aggregated and joined; the others, usually most, pass through a projection.
+    The winner is a map-side combined minimum, and its own values come first. The lists of a component hold all its
+    distinct artists and genres, since the result row does.
     """
     data = [c for c in labelled.columns if c not in ("component", "linked", "seq")]
-    groups = labelled.groupBy("component").agg(
+    empty = F.array().cast("array<string>")
+    alone = labelled.filter(~F.col("linked")).select(
+        "seq",
+        *[F.array_distinct(F.coalesce(c, empty)).alias(c) if c in ("artist_ids", "genre_tags") else F.col(c) for c in data],
+        F.lit(1).cast("long").alias("members"),
+    )
+    linked = materialize(labelled.filter("linked"), shared_dir(labelled.sparkSession, "linked"))
+    groups = linked.groupBy("component").agg(
         F.min_by(F.struct(*data), winner_order()).alias("w"),
         F.min("seq").alias("seq"),
         F.count(F.lit(1)).alias("members"),
     )
-    linked = labelled.filter("linked")
     grafted = {"artist_ids": "all_artists", "genre_tags": "all_genres"}
     for column, name in grafted.items():
         union = union_in_order(linked, "component", column).withColumnRenamed(column, name)
         groups = groups.join(union, "component", "left")
-    empty = F.array().cast("array<string>")
-    return groups.select(
+    merged = groups.select(
         "seq",
         *[
             F.array_distinct(
@@ -217,6 +223,7 @@ def merge_duplicates(labelled: DataFrame) -> DataFrame:
         ],
         "members",
     )
+    return merged.unionByName(alone)
 
 
 def collapse_cross_source(exhibitions: DataFrame, splits: int = SPLITS) -> DataFrame:

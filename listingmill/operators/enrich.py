@@ -81,14 +81,18 @@ def jobs_per_row(jobs: DataFrame) -> DataFrame:
 
 
 def interleave(items: DataFrame, budget: int | None = None) -> DataFrame:
-    """Round-robin over tables: first of each, second of each, …; cut by ``budget`` items.
+    """Round-robin over tables: first of each, second of each, …; cut by ``budget`` items, a top-k."""
+    ordered = turns(items).orderBy("turn", "table_rank")
+    return ordered.limit(budget) if budget else ordered
+
+
+def turns(items: DataFrame) -> DataFrame:
+    """The turn of every item within its table, and the table's rank, in no particular order of rows.
 
-    Positions come from the two-level count, so a table with most of the items is not one task;
-    the cut is a top-k.
+    Positions come from the two-level count, so a table with most of the items is not one task.
     """
     rank = F.coalesce(*[F.when(F.col("table") == t, F.lit(r)) for t, r in TABLE_RANK.items()])
-    ordered = position(items, ["table"], "seq", "turn").withColumn("table_rank", rank).orderBy("turn", "table_rank")
-    return ordered.limit(budget) if budget else ordered
+    return position(items, ["table"], "seq", "turn").withColumn("table_rank", rank)
 
 
 def batch_jobs(items: DataFrame, order: str = "slot", per_batch: int = BATCH_JOBS) -> DataFrame:
@@ -119,19 +123,18 @@ def reset_translations(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def apply_translations(df: DataFrame, results: DataFrame, table: str) -> DataFrame:
+def apply_translations(df: DataFrame, results: DataFrame, table: str, order: str | None = None) -> DataFrame:
     """Write results (table, id, field, locale, text, failed) into ``tr``.
 
-    A blank text keeps the original field's text; a failed job changes nothing. A row has at
-    most fields × locales results, so the per-row map is bounded by the scope.
+    A blank text keeps the original field's text; a failed job changes nothing. Of several results for one
+    field and locale the last by ``order`` counts (without it, the largest text). A row has at most fields × locales
+    results, so the per-row map is bounded by the scope; texts of the table join nothing.
     """
-    done = results.filter((F.col("table") == table) & ~F.col("failed"))
-    filled = done.join(df.select("id", *SCOPE[table]), "id")
-    original = F.coalesce(*[F.when(F.col("field") == f, F.col(f)) for f in SCOPE[table]])
-    text = F.coalesce(F.nullif(F.trim(F.col("text")), F.lit("")), F.trim(original))
+    done = results.filter((F.col("table") == table) & ~F.col("failed") & F.col("field").isin(*SCOPE[table]))
+    text = F.coalesce(F.trim(F.col("text")), F.lit(""))
     buckets = (
-        filled.groupBy("id", "locale", "field")
-        .agg(F.max(text).alias("text"))
+        done.groupBy("id", "locale", "field")
+        .agg((F.max_by(text, order) if order else F.max(text)).alias("text"))
         .groupBy("id", "locale")
         .agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("b"))
         .groupBy("id")
@@ -139,6 +142,13 @@ def apply_translations(df: DataFrame, results: DataFrame, table: str) -> DataFra
     )
     out = df.join(buckets, "id", "left")
     touched = F.col("patch").isNotNull()
+    originals = {f: F.trim(F.col(f)) for f in SCOPE[table]}
+
+    def filled(field, value):
+        own = F.coalesce(*[F.when(field == f, c) for f, c in originals.items()])
+        return F.when(value == "", own).otherwise(value)
+
+    out = out.withColumn("patch", F.transform_values("patch", lambda _, bucket: F.transform_values(bucket, filled)))
     return out.withColumns(
         {
             "tr": F.when(touched, merge_tr(F.col("tr"), F.col("patch"))).otherwise(F.col("tr")),

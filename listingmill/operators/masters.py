@@ -303,7 +303,14 @@ def master_images(masters: DataFrame) -> DataFrame:
 
 
 def sort_masters(masters: DataFrame, limit: int | None = None) -> DataFrame:
-    ordered = masters.orderBy(F.coalesce("birth_year", F.lit(UNKNOWN_BIRTH)), "seq")
+    """Masters by birth, unknown ones last, with their 1-based ``position``; ``limit`` is the preview's."""
+    born = F.coalesce("birth_year", F.lit(UNKNOWN_BIRTH)).cast("long")
+    years = masters.groupBy(born.alias("_year")).agg(F.count(F.lit(1)).alias("_n"))  # one row per year of birth
+    before = W.orderBy("_year").rowsBetween(W.unboundedPreceding, -1)
+    years = years.select("_year", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    here = F.row_number().over(W.partitionBy("_year").orderBy("seq"))
+    placed = masters.withColumn("_year", born).join(years, "_year").withColumn("position", here + F.col("_base"))
+    ordered = placed.drop("_year", "_base").orderBy("position")
     return ordered.limit(limit) if limit else ordered
 
 

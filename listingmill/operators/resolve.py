@@ -39,36 +39,60 @@ def mentions(listings: DataFrame, name: Column) -> DataFrame:
     )
 
 
+ALWAYS = -(1 << 63)
+
+
 def artist_dictionary(listings: DataFrame, artists: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(raw_name, artist_id, is_new, norm) for every distinct raw artist name."""
+    """(raw_name, norm, own_id, own_new, target, target_from) for every distinct raw artist name.
+
+    An override's target is usable from ``target_from`` on: always if the artist is stored, else behind the row of the batch
+    whose name, itself without an override, makes that artist. Targets that never exist are left out.
+    """
     names = mentions(listings, F.explode("artist_names"))
-    rules = override_table(overrides, "artist").join(
-        artists.select(F.col("id").alias("target")).distinct(), "target", "left_semi"
-    )
+    rules = override_table(overrides, "artist").withColumnRenamed("pattern", "raw_name")
+    named = names.select("norm").distinct().withColumnRenamed("norm", "name_normalized")
     known = (
-        artists.groupBy("name_normalized")
-        .agg(F.max_by("id", "seq").alias("known_id"))
+        artists.join(named, "name_normalized", "left_semi")
+        .groupBy("name_normalized")
+        .agg(F.max_by("id", "seq").alias("own"))
         .withColumnRenamed("name_normalized", "norm")
     )
-    return (
-        names.join(rules.withColumnRenamed("pattern", "raw_name"), "raw_name", "left")
-        .join(known, "norm", "left")
-        .filter(F.col("target").isNotNull() | (F.col("norm") != ""))
-        .select(
-            "raw_name",
-            "norm",
-            F.coalesce("target", "known_id", artist_id(F.col("norm"))).alias("artist_id"),
-            (F.col("target").isNull() & F.col("known_id").isNull()).alias("is_new"),
-        )
+    own = names.join(known, "norm", "left").select(
+        "raw_name", "norm", F.coalesce("own", artist_id(F.col("norm"))).alias("own_id"), F.col("own").isNull().alias("own_new")
+    )
+    stored = artists.select(F.col("id").alias("target"), F.lit(ALWAYS).cast("long").alias("stored_from")).distinct()
+    wanted = rules.select(F.col("target").alias("own_id")).distinct()
+    makers = own.filter(F.col("own_new") & (F.col("norm") != "")).join(wanted, "own_id", "left_semi").join(rules.select("raw_name"), "raw_name", "left_anti")
+    born = (
+        listings.select("seq", F.explode("artist_names").alias("raw_name"))
+        .join(makers, "raw_name")
+        .groupBy(F.col("own_id").alias("target"))
+        .agg(F.min("seq").cast("long").alias("born"))
     )
+    usable = (
+        rules.join(stored, "target", "left")
+        .join(born, "target", "left")
+        .withColumn("target_from", F.coalesce("stored_from", "born"))
+        .filter(F.col("target_from").isNotNull())
+        .select("raw_name", "target", "target_from")
+    )
+    return own.join(usable, "raw_name", "left")
+
+
+def overridden() -> Column:
+    """Whether a row of the dictionary goes by its override at listing ``seq``."""
+    return F.col("target").isNotNull() & (F.col("seq") > F.col("target_from"))
 
 
 def resolve_artists(listings: DataFrame, artists: DataFrame, overrides: DataFrame) -> DataFrame:
     """(seq, artist_ids): ids in the order of the raw names, duplicates kept."""
-    table = artist_dictionary(listings, artists, overrides)
+    table = artist_dictionary(listings, artists, overrides).select("raw_name", "norm", "own_id", "target", "target_from")
     rows = listings.select("seq", F.posexplode("artist_names").alias("pos", "raw_name"))
+    found = F.when(overridden(), F.col("target")).when(F.col("norm") != "", F.col("own_id"))
     return (
-        rows.join(table.select("raw_name", "artist_id"), "raw_name")
+        rows.join(table, "raw_name")
+        .withColumn("artist_id", found)
+        .filter(F.col("artist_id").isNotNull())
         .groupBy("seq")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "artist_id"))).alias("x"))
         .select("seq", F.transform("x", lambda e: e["artist_id"]).alias("artist_ids"))
@@ -163,20 +187,25 @@ def arrival(registry: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def new_artists(listings, artists, overrides, registry, stamp) -> DataFrame:
-    fresh = artist_dictionary(listings, artists, overrides).filter("is_new")
+    fresh = artist_dictionary(listings, artists, overrides).filter(F.col("own_new") & (F.col("norm") != ""))
     rows = arrival(registry, listings).select(
         "source", "arrival", F.posexplode("artist_names").alias("pos", "raw_name")
     )
     # first mention per spelling before the join, so a name held by most rows joins as one row
     first = (
         rows.groupBy("raw_name")
-        .agg(F.min_by(F.struct("source", "arrival"), F.struct("arrival", "pos")).alias("s"), F.min(F.struct("arrival", "pos")).alias("at"))
+        .agg(
+            F.min_by(F.struct("source", "arrival"), F.struct("arrival", "pos")).alias("s"),
+            F.min(F.struct("arrival", "pos")).alias("at"),
+            F.min("arrival.seq").alias("seq"),
+        )
         .join(fresh, "raw_name")
-        .groupBy("norm", "artist_id")
+        .filter(~overridden())
+        .groupBy("norm", "own_id")
         .agg(F.min_by(F.struct("raw_name", "s.source", "s.arrival"), "at").alias("f"))
     )
     return first.select(
-        F.col("artist_id").alias("id"),
+        F.col("own_id").alias("id"),
         F.col("f.raw_name").alias("name"),
         F.col("norm").alias("name_normalized"),
         F.array("f.source").alias("sources"),

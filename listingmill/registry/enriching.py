@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from listingmill.functions.translations import tr_text
 from listingmill.operators import enrich
 from listingmill.registry.base import query, sql
+from listingmill.session import materialize, shared_dir
 from listingmill.sources import testdata as td
 
 _GEO = """g AS (SELECT v.*, s.s_acctbal > 2000 AS has_address, CASE WHEN lat IS NOT NULL AND lng IS NOT NULL THEN 'payload' WHEN address IS NOT NULL AND s.s_acctbal > 2000 THEN 'geocoded'
@@ -82,8 +83,9 @@ def interleave_tables(spark, d):
 )
 def batch_jobs(spark, d):
     """Every item in round-robin order, packed by running job count."""
-    ordered = enrich.interleave(enrich.jobs_per_row(jobs(spark, d)))
-    slotted = ordered.withColumn("slot", F.col("turn") * 3 + F.col("table_rank"))
+    items = materialize(enrich.jobs_per_row(jobs(spark, d)), shared_dir(spark, "items"))
+    numbered = materialize(enrich.turns(items), shared_dir(spark, "turns"))
+    slotted = numbered.withColumn("slot", F.col("turn") * 3 + F.col("table_rank"))
     return enrich.batch_jobs(slotted).select(F.col("table").alias("tbl"), "id", "jobs", "cum_jobs", "batch")
 
 

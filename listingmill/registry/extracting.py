@@ -13,7 +13,7 @@ from listingmill.operators import merge
 from listingmill.registry.base import query, sql
 from listingmill.registry.scalars import q_clean, q_strip_markup
 from listingmill.session import materialize, shared_dir
-from listingmill.sources import extract, tables
+from listingmill.sources import extract, sites, tables
 from listingmill.sources import testdata as td
 
 
@@ -471,3 +471,37 @@ def reset_table(spark, d):
 def evolve_schema(spark, d):
     old = td.exhibitions(spark, d).select("id", "title")
     return schemas.evolve(old, StructType.fromDDL("id STRING, title STRING, lang STRING"))
+
+
+@query(
+    "extract_site_listings",
+    """SELECT CASE page_id % 3 WHEN 0 THEN 'gallery_lux' WHEN 1 THEN 'canon_gallery' ELSE 'museum_hanmi' END AS source,
+    CASE page_id % 3 WHEN 0 THEN 'https://gallerylux.net/s/' || page_id WHEN 1 THEN 'https://kr.canon/canongallery/view?gllyDispSeq=' || page_id
+      ELSE 'https://museumhanmi.or.kr/post_exhibition/' || page_id || '/' END AS source_url,
+    'Show ' || page_id AS title, '2026.05.19 ~ 2026.06.' || (10 + page_id % 20) AS date_range,
+    CASE page_id % 3 WHEN 0 THEN '갤러리 룩스' WHEN 1 THEN '캐논 갤러리' ELSE 'Branch ' || page_id % 4 END AS venue_name,
+    CASE WHEN page_id % 3 = 0 THEN 'Kim ' || page_id END AS artists,
+    CASE WHEN page_id % 3 > 0 AND page_id % 2 = 0 THEN 'Notes on show ' || page_id || repeat(' and more of them', 4) END AS description FROM pages""",
+)
+def extract_site_listings(spark, d):
+    """Every page of the table as the list page of one of three sites, every second show with a detail page, all through the shipped rules."""
+    day = "concat('2026.05.19 ~ 2026.06.', 10 + page_id % 20)"
+    lists = td.table(spark, d, "pages").selectExpr(
+        "page_id",
+        "CASE page_id % 3 WHEN 0 THEN 'https://gallerylux.net/archive/' WHEN 1 THEN 'https://kr.canon/canongallery/list/ajax' ELSE 'https://museumhanmi.or.kr/exhibition/' END AS url",
+        f"""CASE page_id % 3
+          WHEN 0 THEN concat('<article><a href="https://gallerylux.net/s/', page_id, '"><div class="title">Show ', page_id, '</div><div class="artist-name">Kim ', page_id, '</div><div class="date">', {day}, '</div></a></article>', html)
+          WHEN 1 THEN concat('<a class="masonry-item" href="/canongallery/view?gllyDispSeq=', page_id, '"><div class="txt"><p>Show ', page_id, '</p></div><div class="info-list"><p>', {day}, '</p></div></a>', html)
+          ELSE concat('<a class="item row gap-1r" href="https://museumhanmi.or.kr/post_exhibition/', page_id, '/"><h6 class="bold">Branch ', page_id % 4, '</h6><h4>Show ', page_id, '</h4><h6 class="text-sub">', {day}, '</h6></a>', html) END AS html""",
+    )
+    prose = "concat('<p>Notes on show ', page_id, repeat(' and more of them', 4), '</p>')"
+    details = td.table(spark, d, "pages").filter("page_id % 3 > 0 AND page_id % 2 = 0").selectExpr(
+        "page_id",
+        "IF(page_id % 3 = 1, concat('https://kr.canon/canongallery/view?gllyDispSeq=', page_id), concat('https://museumhanmi.or.kr/post_exhibition/', page_id, '/')) AS url",
+        f"IF(page_id % 3 = 1, concat('<div class=\"mid-cont\">', {prose}, '</div>'), concat('<div class=\"row\">', {prose}, '</div>')) AS html",
+    )
+    # The table's own markup may hold articles or links of its own; those have no title or address of these sites.
+    rows = sites.site_listings(lists.unionByName(details), sites.site_rules(spark))
+    return rows.select(
+        "source", "source_url", "raw.title", "raw.date_range", "raw.venue_name", F.array_join("raw.artists", ",").alias("artists"), "raw.description"
+    )

@@ -1,8 +1,9 @@
 """Canonical tables on shared storage.
 
-A table is a folder of parquet deltas, ``batch=<n>``, each holding only the rows that batch made
-new or changed; the current state is the last row per key. A batch folder is written with
-overwrite, so replaying a batch is idempotent, and nothing is rewritten in place.
+A table is a folder of parquet deltas, ``batch=<n>/run=<name>``, each holding only the rows that batch made
+new or changed; the current state is the last row per key. ``n`` is a sequence over the table, ``run`` names who
+wrote the delta (a stream and its micro-batch). A replay finds its own delta by that name and overwrites it; another
+stream over the same tables goes on behind the last one. ``compact`` folds old deltas into one.
 """
 
 from __future__ import annotations
@@ -17,19 +18,35 @@ def scan_raw_listings(spark: SparkSession, path: str, fmt: str = "parquet") -> D
     return spark.read.schema(RAW).format(fmt).load(path)
 
 
-def delta_path(root: str, table: str, batch: int) -> str:
-    return f"{root}/{table}/batch={batch}"
+def delta_path(root: str, table: str, batch: int, run: str = "own") -> str:
+    return f"{root}/{table}/batch={batch}/run={run}"
+
+
+def deltas(spark: SparkSession, root: str, table: str) -> list[tuple[int, str]]:
+    """(batch, run) of every delta, from the folders' names."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/batch=*/run=*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = [(s.getPath().getParent().getName(), s.getPath().getName()) for s in found]
+    return sorted((int(b.removeprefix("batch=")), r.removeprefix("run=")) for b, r in names)
+
+
+def next_batch(spark: SparkSession, root: str, tables: list[str], run: str) -> int:
+    """The sequence number for ``run``: the one it had before in any of the tables, else one behind all."""
+    known = [x for t in tables for x in deltas(spark, root, t)]
+    mine = [b for b, r in known if r == run]
+    return mine[0] if mine else max([b for b, _ in known], default=-1) + 1
 
 
 def reset_table(spark: SparkSession, root: str, table: str, schema: str | None = None) -> None:
     """Empty the table and restore its schema as batch -1."""
     start = spark.createDataFrame([], schema) if schema else empty(spark, table)
-    start.withColumn("batch", F.lit(-1)).write.mode("overwrite").parquet(f"{root}/{table}")
+    start.withColumns({"batch": F.lit(-1), "run": F.lit("own")}).write.mode("overwrite").parquet(f"{root}/{table}")
     start.write.mode("overwrite").parquet(delta_path(root, table, -1))
 
 
-def write_delta(df: DataFrame, root: str, table: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(delta_path(root, table, batch))
+def write_delta(df: DataFrame, root: str, table: str, batch: int, run: str = "own") -> None:
+    df.write.mode("overwrite").parquet(delta_path(root, table, batch, run))
 
 
 def scan_canonical(
@@ -39,12 +56,40 @@ def scan_canonical(
 
     ``batch`` is a partition column, so ``before`` prunes folders.
     """
-    deltas = spark.read.schema(f"{schema or TABLES[table]}, batch INT").parquet(f"{root}/{table}")
+    rows = spark.read.schema(f"{schema or TABLES[table]}, batch INT, run STRING").parquet(f"{root}/{table}").drop("run")
     if before is not None:
-        deltas = deltas.filter(F.col("batch") < before)
-    rest = [c for c in deltas.columns if c not in ("id", "batch")]
-    latest = deltas.groupBy("id").agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return latest.select("id", "r.*").select(*[c for c in deltas.columns if c != "batch"])
+        rows = rows.filter(F.col("batch") < before)
+    rest = [c for c in rows.columns if c not in ("id", "batch")]
+    latest = rows.groupBy("id").agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return latest.select("id", "r.*").select(*[c for c in rows.columns if c != "batch"])
+
+
+def compact(spark: SparkSession, root: str, table: str, upto: int, schema: str | None = None) -> None:
+    """Fold the deltas up to batch ``upto`` into one; the state before and after is the same.
+
+    The fold is written under the number ``upto`` before the folded deltas go, so a reader sees at worst both. Batches up to
+    ``upto`` must be settled: a replay of one would find no delta of its name.
+    """
+    old = [x for x in deltas(spark, root, table) if x[0] <= upto]
+    if len(old) < 2:
+        return
+    write_delta(scan_canonical(spark, root, table, before=upto + 1, schema=schema), root, table, upto, "folded")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for batch, run in old:
+        if run != "folded" or batch != upto:
+            path = jvm.org.apache.hadoop.fs.Path(delta_path(root, table, batch, run))
+            path.getFileSystem(conf).delete(path, True)
+
+
+def write_document(exhibitions: DataFrame, venues: DataFrame, artists: DataFrame, generated_at: str, path: str) -> None:
+    """Publish the catalogue as one folder: exhibitions, venues, artists, and ``generated_at`` in the meta part.
+
+    The parts are JSON lines; the meta part is written last, so its presence tells that the others are whole.
+    """
+    spark = exhibitions.sparkSession
+    for name, part in (("exhibitions", exhibitions), ("venues", venues), ("artists", artists)):
+        write_catalog(part, f"{path}/{name}")
+    spark.createDataFrame([(generated_at,)], "generated_at string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
 def write_catalog(catalogue: DataFrame, path: str, fmt: str = "json") -> None:

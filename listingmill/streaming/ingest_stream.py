@@ -2,11 +2,13 @@
 
 Each micro-batch runs the batch ingest against the tables as of the previous batch and writes
 only new and changed rows as that batch's delta. State lives in the tables, so no watermark is
-needed; re-delivered listings come out unchanged, and a replayed batch overwrites its own delta.
+needed; re-delivered listings come out unchanged, and a replayed batch overwrites its own delta. Stored shows whose
+status has moved since the last batch are written along, so the tables end in the state of a batch run.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +16,24 @@ from pyspark.sql import functions as F
 
 from listingmill.plans.ingest import State, run_ingest
 from listingmill.schemas import RAW, TABLES
-from listingmill.sources.tables import reset_table, scan_canonical, write_delta
+from listingmill.sources.tables import next_batch, reset_table, scan_canonical, write_delta
 
-CHANGED = ("new", "updated")
+CHANGED = ("new", "updated", "status")
 
 
 def batch_writer(
-    root: str, overrides: DataFrame, gazetteer: DataFrame, today, stamp: str
+    root: str, overrides: DataFrame, gazetteer: DataFrame, today, stamp: str, name: str = "stream"
 ) -> Callable[[DataFrame, int], None]:
     def write(raw: DataFrame, batch: int) -> None:
         spark = raw.sparkSession
-        tables = {name: scan_canonical(spark, root, name, before=batch) for name in TABLES}
+        run_name = f"{name}-{batch}"
+        number = next_batch(spark, root, list(TABLES), run_name)
+        tables = {name: scan_canonical(spark, root, name, before=number) for name in TABLES}
         state = State(overrides=overrides, gazetteer=gazetteer, **tables)
         run = run_ingest(raw, state, today, stamp, batch_only=True)
-        for name in ("artists", "venues", "organizers", "exhibitions"):
-            merged = getattr(run, name)
-            write_delta(merged.filter(F.col("action").isin(*CHANGED)).drop("action"), root, name, batch)
+        for table in ("artists", "venues", "organizers", "exhibitions"):
+            merged = getattr(run, table)
+            write_delta(merged.filter(F.col("action").isin(*CHANGED)).drop("action"), root, table, number, run_name)
 
     return write
 
@@ -54,8 +58,9 @@ def stream_ingest(
     arrivals = (
         spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
     )
+    name = "s" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]  # a new checkpoint is another stream over the tables
     query = (
-        arrivals.writeStream.foreachBatch(batch_writer(root, overrides, gazetteer, today, stamp))
+        arrivals.writeStream.foreachBatch(batch_writer(root, overrides, gazetteer, today, stamp, name))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

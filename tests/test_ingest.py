@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from listingmill.plans.ingest import State, ingest_report, run_ingest
 from listingmill.plans.publish import build_catalog
 from listingmill.schemas import RAW, TABLES, empty
-from listingmill.sources.tables import scan_canonical
+from listingmill.sources.tables import compact, deltas, scan_canonical
 from listingmill.streaming.ingest_stream import prepare_tables, stream_ingest
 
 TODAY = datetime.date(2026, 6, 1)
@@ -92,5 +92,32 @@ def test_stream_equals_batch(spark, lookups, tmp_path):
         got = scan_canonical(spark, root, name).select(*cols)
         want = getattr(batch, name).select(*cols)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
-    deltas = spark.read.parquet(f"{root}/exhibitions").groupBy("batch").count().filter(F.col("batch") >= 0)
-    assert sum(r["count"] for r in deltas.collect()) == 4  # a re-delivered listing writes nothing
+    # another checkpoint over the same tables, on a later day: nothing is lost, and statuses of untouched rows move
+    later = datetime.date(2026, 7, 15)
+    more, other = str(tmp_path / "more"), str(tmp_path / "check2")
+    raw.filter("seq = 1").coalesce(1).write.parquet(more)
+    counts = spark.read.parquet(f"{root}/exhibitions").groupBy("batch").count().filter(F.col("batch") >= 0)
+    assert sum(r["count"] for r in counts.collect()) == 4  # a re-delivered listing writes nothing
+    stream_ingest(spark, more, root, other, *lookups, later, "2026-07-15 00:00:00", 1)
+    after = {r.seq: r.status for r in scan_canonical(spark, root, "exhibitions").collect()}
+    assert after == {1: "past", 2: "past", 3: "unknown", 5: "ongoing"}
+    last = max(b for b, _ in deltas(spark, root, "exhibitions"))
+    compact(spark, root, "exhibitions", last)
+    assert deltas(spark, root, "exhibitions") == [(last, "folded")]
+    assert {r.seq: r.status for r in scan_canonical(spark, root, "exhibitions").collect()} == after
+
+
+def test_override_to_an_artist_of_the_same_batch(spark, lookups):
+    """An alias goes to an artist that an earlier row makes; before that row it makes its own."""
+    from listingmill.functions.keys import artist_id
+
+    kim, own = (spark.range(1).select(artist_id(F.lit(n))).first()[0] for n in ("kim", "alias"))
+    overrides = spark.createDataFrame([("artist", "Alias", kim, None, 1), ("artist", "Ghost", "nobody", None, 2)], lookups[0].schema)
+    rows = [listing(n, "artmap", title=f"t{n}", artists=a) for n, a in ((1, ["Alias", "Ghost"]), (2, ["Kim"]), (3, ["Alias"]))]
+    run = run_ingest(spark.createDataFrame(rows, RAW), start(spark, (overrides, lookups[1])), TODAY, "2026-06-01 00:00:00")
+    ids = {r.seq: r.artist_ids for r in run.exhibitions.collect()}
+    assert ids[1][0] == own and ids[2] == [kim] and ids[3] == [kim]
+    made = {r.name for r in run.artists.collect()}
+    assert made == {"Alias", "Ghost", "Kim"}
+    later = run_ingest(spark.createDataFrame(rows[1:], RAW), start(spark, (overrides, lookups[1])), TODAY, "2026-06-01 00:00:00")
+    assert {r.name for r in later.artists.collect()} == {"Kim"}
