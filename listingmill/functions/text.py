@@ -136,9 +136,14 @@ def decode_entities(c: Column) -> Column:
         return F.when(plain == "\u00a0", " ").otherwise(plain)
 
     pattern = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-    found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), decoded)
-    joined = F.zip_with(F.split(c, pattern, -1), found, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit(""))))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(joined, "")).otherwise(c)
+
+    def whole(value: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), decoded)
+        joined = F.zip_with(F.split(value, pattern, -1), found, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit(""))))
+        return F.when(F.contains(value, F.lit("&")), F.array_join(joined, "")).otherwise(value)
+
+    # The one-element array binds the text, which is often a long expression, so that it is computed once.
+    return F.get(F.transform(F.array(c), whole), F.lit(0))
 
 
 def strip_markup(c: Column) -> Column:

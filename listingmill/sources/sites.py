@@ -125,15 +125,18 @@ def site_cards(pages: DataFrame, rules: DataFrame) -> DataFrame:
     def constant(name: str) -> Column:
         return F.try_element_at("constants", F.lit(name))
 
+    # In two steps, so that what several columns use is computed and planned once.
     link = _found(F.col("link"), "body")
-    text = value("text")
+    read = ("title", "title_en", "artist", "date_range", "venue_name", "text")
+    poster = F.trim(_found(F.try_element_at("fields", F.lit("poster_image_url")), "body"))
+    cards = cards.withColumns({f"_{n}": value(n) for n in read} | {"_link": link, "_poster": poster})
     rows = cards.select(
         "source", "host", "url", "keep", "dropped", "body",
-        _absolute(F.when(link.isNotNull(), F.format_string("%s", F.replace("link_format", F.lit("%s"), link)))).alias("source_url"),
+        _absolute(F.when(F.col("_link").isNotNull(), F.replace("link_format", F.lit("%s"), F.col("_link")))).alias("source_url"),
         (F.col("page_id").cast("long") * (1 << 20) + F.col("pos")).alias("seq"),
-        value("title").alias("title"), value("title_en").alias("title_en"), value("artist").alias("artist"),
-        F.coalesce(value("date_range"), extract_date_range(text)).alias("date_range"), _absolute(F.trim(_found(F.try_element_at("fields", F.lit("poster_image_url")), "body"))).alias("poster_image_url"),
-        F.coalesce(value("venue_name"), constant("venue_name")).alias("venue_name"), constant("venue_region").alias("venue_region"), constant("venue_address").alias("venue_address"),
+        F.col("_title").alias("title"), F.col("_title_en").alias("title_en"), F.col("_artist").alias("artist"),
+        F.coalesce("_date_range", extract_date_range(F.col("_text"))).alias("date_range"), _absolute(F.col("_poster")).alias("poster_image_url"),
+        F.coalesce("_venue_name", constant("venue_name")).alias("venue_name"), constant("venue_region").alias("venue_region"), constant("venue_address").alias("venue_address"),
     )
     wanted = F.contains("body", F.col("keep")) & ((F.col("dropped") == "") | ~F.contains("source_url", F.col("dropped")))
     return rows.filter(F.col("source_url").isNotNull() & wanted).drop("host", "url", "keep", "dropped", "body")
@@ -144,15 +147,21 @@ def site_details(pages: DataFrame, rules: DataFrame) -> DataFrame:
     hosted = pages.select("page_id", "url", "html", page_host(F.col("url")).alias("host")).join(F.broadcast(rules), "host")
     hosted = hosted.filter((F.col("detail_page") != "") & F.regexp_like("url", F.col("detail_page")) & ~F.regexp_like("url", F.col("list_page")))
     blocks = F.when(F.col("block") != "", F.regexp_extract_all("html", F.col("block"), F.lit(1))).otherwise(F.array(F.col("html")))
-    prose = F.transform(blocks, lambda b: F.coalesce(paragraph_text(b), strip_markup(b)))
-    lines = paragraphs(F.coalesce(F.get(blocks, F.lit(0)), F.lit("")))
-    og = og_tags(F.col("html"))
+    hosted = hosted.withColumn("_blocks", blocks).withColumns(
+        {
+            "_prose": F.transform("_blocks", lambda b: F.coalesce(paragraph_text(b), strip_markup(b))),
+            "_lines": paragraphs(F.coalesce(F.get("_blocks", F.lit(0)), F.lit(""))),
+            "_plain": F.when(F.array_contains("detail_fields", "jp_date_range"), strip_markup(F.col("html"))),
+            "_og": F.when(F.array_contains("detail_fields", "title"), og_tags(F.col("html"))),
+        }
+    )
+    prose, lines, og = F.col("_prose"), F.col("_lines"), F.col("_og")
     takes = lambda name, c: F.when(F.array_contains("detail_fields", name), c)
     dated = F.array_contains("detail_fields", "jp_date_range")
     return hosted.select(
         "source", F.col("url").alias("source_url"), "page_id",
         takes("title", F.coalesce(F.get(lines, F.lit(0)), og["title"])).alias("title"),
-        F.when(dated, extract_japanese_date_range(strip_markup(F.col("html")))).otherwise(takes("date_range", F.get(lines, F.size(lines) - 1))).alias("date_range"),
+        F.when(dated, extract_japanese_date_range(F.col("_plain"))).otherwise(takes("date_range", F.get(lines, F.size(lines) - 1))).alias("date_range"),
         F.coalesce(takes("description", longest_block(prose, F.col("html"))), takes("meta", meta_content(F.col("html"), "og:description"))).alias("description"),
         takes("poster_image_url", meta_content(F.col("html"), "og:image")).alias("poster_image_url"),
     )
