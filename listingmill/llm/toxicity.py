@@ -2,7 +2,7 @@
 
 Voters are words and word beginnings (a lexicon found by its lift on labelled rows) and a few fixed patterns. Each
 votes or abstains on a text. A generative label model, a two-class latent model fitted by expectation-maximisation,
-estimates every voter's rates on either class without looking at labels, and from the residuals the correlations of
+estimates every voter's rates on either class, anchored on the labels at hand, and from the residuals the correlations of
 voters: correlated ones share their weight instead of counting twice. Its posterior labels train a linear classifier
 over the votes and their density, which scores any text. A last one-dimensional fit on labelled rows that took no part
 before turns the score into a probability.
@@ -33,9 +33,9 @@ from listingmill.session import materialize, shared_dir
 MAX_LABELLED = 20_000
 MAX_VOTERS = 512
 #: A voter fires on so many toxic texts of the sample at least, and the lower bound of its precision is so high.
-LEAST_FIRED, LEAST_PRECISION = 5, 0.5
+LEAST_FIRED, LEAST_PRECISION = 5, 0.8
 BEGINNINGS = (3, 4, 5, 6)
-CORRELATED = 0.3
+CORRELATED = 0.6
 #: A feature votes once for occurring, once more for occurring twice, and so on.
 LEVELS = 4
 THRESHOLD = 0.3
@@ -104,23 +104,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def label_model(votes: np.ndarray, prior: float, lexicon: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, lexicon: int, known: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row of a 0/1 matrix; the voters' rates (2 x voters) and
     weights under correlation.
 
-    Starts from whether anything of the lexicon fires. A voter that doesn't fire abstains and says nothing, since lexicons of
-    different languages exclude each other; that all of them are silent is a voter of its own, the last one. The weight of a voter is 1 / (1 + sum of its correlations above
-    ``CORRELATED`` with others), taken from the residuals of votes after the classes' means.
+    Rates come half from the posterior and half from ``known`` labels where these are given, which keeps a voter that
+    often fires alone from making its own class. The start is those labels, or whether anything of the lexicon fires. A voter
+    that doesn't fire abstains and says nothing, since lexicons of different languages exclude each other; that all of them are
+    silent is a voter of its own, the last one. The weight of a voter is 1 / (1 + sum of its correlations above ``CORRELATED``
+    with others), taken from the residuals of votes after the classes' means.
     """
     silent = ~votes[:, :lexicon].any(1)
     votes = np.c_[votes, silent]
     n, m = votes.shape
-    q = np.where(silent, 0.02 * prior, 0.9)
+    q = np.where(silent, 0.02 * prior, 0.9) if known is None else 0.05 + 0.9 * known
     weight = np.ones(m)
     for stage in range(2):
         for _ in range(rounds):
-            rate = np.stack([(side[:, None] * votes).sum(0) + 0.05 for side in (1 - q, q)])
-            rate /= np.array([[(1 - q).sum() + 1.0], [q.sum() + 1.0]])
+            belief = q if known is None else (q + known) / 2
+            rate = np.stack([(side[:, None] * votes).sum(0) + 0.05 for side in (1 - belief, belief)])
+            rate /= np.array([[(1 - belief).sum() + 1.0], [belief.sum() + 1.0]])
             rate = np.clip(rate, 1e-4, 1 - 1e-4)
             on = np.log(rate[1] / rate[0])
             new = _sigmoid(math.log(prior / (1 - prior)) + votes @ (on * weight))
@@ -222,7 +225,7 @@ def find_voters(sample: DataFrame, most: int = MAX_VOTERS) -> list[str]:
     counts = sample.select("text", "toxic").mapInArrow(run, "feature string, pos long, neg long")
     counts = counts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") >= LEAST_FIRED)
     n, share = F.col("pos") + F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
-    bound = (share + 2 / n - 2 * F.sqrt((share * (1 - share) + 1 / n) / n)) / (1 + 4 / n)  # Wilson, two standard errors
+    bound = (share + 0.5 / n - F.sqrt((share * (1 - share) + 0.25 / n) / n)) / (1 + 1 / n)  # Wilson, one standard error
     lift = F.log(bound * float(total["n"]) / float(total["p"]))
     best = counts.filter((bound >= LEAST_PRECISION) & (lift > 0)).orderBy((F.col("pos") * lift).desc(), "feature").limit(most)
     return [r["feature"] for r in best.collect()]
@@ -247,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     if not lexicon or not 0 < gold[fit].mean() < 1:
         return model
     x = _matrix([(r["fired"], r["hits"], r["density"]) for r in got], votes.n_voters)
-    posterior, model.rates, _ = label_model(x[fit, :-2], float(gold[fit].mean()), len(lexicon))
+    posterior, model.rates, _ = label_model(x[fit, :-2], float(gold[fit].mean()), len(lexicon), gold[fit])
     model.weights = fit_linear(x[fit], posterior)
     raw = np.c_[x, np.ones(len(x))] @ model.weights
     check = ~fit if 0 < gold[~fit].sum() < (~fit).sum() else fit
