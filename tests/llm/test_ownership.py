@@ -44,7 +44,7 @@ def test_ownership_decides(spark):
     bare = "aB3" + "xYz9Qw" * 4
     rows = [(i, f"see token=CopiedValue123 {i}", f"owner{i}") for i in range(5)]
     rows += [(10, "token=OnlyMine12345", "one"), (11, "token=OnlyMine12345", "one"), (12, "token=TwoOwners123", "one"), (13, "token=TwoOwners123", None)]
-    rows += [(20, f"key {bare} end", "one"), (21, "password=changeme-now1", "one"), (22, f"word {'abcdef' * 6}", "one")]
+    rows += [(20, f"key {bare} end", "one"), (21, "password=changeme-now1", "one"), (22, f"word {'ghijkl' * 6}", "one")]
     rows += [(10, "token=OnlyMine12345", "one"), (None, "token=NullIdValue12", "one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = ownership.digest(docs).collect()
