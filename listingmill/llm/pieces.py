@@ -4,7 +4,8 @@ Encoding maximises the sum of piece scores, read from a model file. The text goe
 the best score so far and its backpointer are kept, only as far back as the longest piece reaches. Whenever all
 backpointer paths that can still win agree on a boundary, the ids before it are final and are given out, so the window
 stays short however long the text is. No piece has a space mark behind another character, so a boundary before a space mark is always
-such a meeting point; runs between two of them are kept in a dictionary of bounded size.
+such a meeting point, as are both sides of a line end and the
+place between a letter and most marks; runs between such points are kept in a dictionary of bounded size.
 
 As in the format's reference behaviour: spaces are the mark U+2581, one is put in front, a character without a piece
 becomes its UTF-8 bytes, and no other normalisation takes place. Scores are those of the file for any kind of model, so
@@ -18,6 +19,7 @@ repeated rows repeat and extra columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
+LATIN = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 #: A character without a piece costs this much more than the lowest score.
 UNKNOWN_COST = 10.0
 KEPT_RUNS, LONGEST_RUN = 300_000, 64
@@ -49,7 +52,15 @@ class Pieces:
         if kinds and self.unknown < len(kinds) and kinds[self.unknown] == "u":
             self.bytes_of[self.unknown] = " ⁇ ".encode()
         inner = any(b == MARK and a != MARK for p in self.id_of for a, b in zip(p, p[1:]))
-        self.runs = re.compile(f"{MARK}+[^{MARK}]*" if not inner else r"(?s).+")
+        # Line ends and tabs that no piece holds stand alone on every path, so paths also meet on both of their sides.
+        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.id_of))
+        parts = f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else "")
+        # The same holds between a letter and a mark that follow each other in no piece.
+        behind = {b for p in self.id_of for a, b in zip(p, p[1:]) if a.isascii() and a.isalpha() or a in LATIN}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in behind)
+        if marks:
+            parts = f"{MARK}*[A-Za-z{LATIN}]++(?=[{marks}])|{parts}"
+        self.runs = re.compile(parts if not inner else r"(?s).+")
         self.known: dict[str, bytes] = {}
 
     @classmethod
