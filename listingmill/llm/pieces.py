@@ -33,7 +33,7 @@ MARK = "▁"
 LATIN = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 #: A character without a piece costs this much more than the lowest score.
 UNKNOWN_COST = 10.0
-KEPT_RUNS, LONGEST_RUN = 300_000, 64
+KEPT_RUNS, LONGEST_RUN = 200_000, 64
 
 
 class Pieces:
