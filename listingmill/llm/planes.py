@@ -21,9 +21,11 @@ ASCII white space, so a text's ids are those of its words one after the other.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -142,35 +144,64 @@ class Reader:
 
 
 class WordEncoder:
-    """Little-endian 32-bit ids of texts, as bytes."""
+    """Little-endian 32-bit ids of texts, as bytes.
 
-    KEPT, LONGEST = 300_000, 48
+    Ids of words are kept in a dictionary. A new word of Latin letters with ASCII marks behind them is made of those of its lower-case
+    letters and of its marks, since the tokenizer lowers case and cuts between letters and marks; the apostrophe, which may belong
+    to letters behind it, is left out of that. New parts are encoded many at a time as one spaced text.
+    """
+
+    KEPT, LONGEST = 1_000_000, 48
+    PARTS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # no part comes twice, so the library's own dictionary only costs
+
+    def _spaced(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of each part, none of which holds white space."""
+        for at in range(0, len(parts), 512):
+            some = parts[at : at + 512]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            starts = np.r_[0, np.cumsum([len(p) + 1 for p in some])]
+            firsts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.offsets))
+            cuts = (4 * np.searchsorted(firsts, starts)).tolist()
+            raw = np.array(got.ids, "<u4").tobytes()
+            yield from (raw[a:b] for a, b in zip(cuts, cuts[1:]))
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
-        done = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in done]
+        heads, marks = [], []
+        for word in words:
+            text = word.decode()
+            match = self.PARTS.fullmatch(text)
+            head, mark = match.groups() if match else (text, "")
+            heads.append(head.lower() if match else head)
+            marks.append(mark)
+        parts = list(dict.fromkeys(heads))
+        ids = dict(zip(parts, self._spaced(parts)))
+        some = [m for m in set(marks) if m]
+        behind = dict(zip(some, self._spaced(some)))
+        return [ids[head] + behind[mark] if mark else ids[head] for head, mark in zip(heads, marks)]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        found = dict(zip(new, self._encoded(new)))
-        if len(self.known) + len(new) > self.KEPT:
-            self.known = {}
-            left = list(set().union(*split) - found.keys())
-            found |= dict(zip(left, self._encoded(left)))
-        both = self.known
-        both.update(found)
-        out = [b"".join(map(both.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > self.LONGEST:
-                both.pop(word, None)
-        return out
+        words = list(chain.from_iterable(split))
+        ids = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            new = list(dict.fromkeys(words[i] for i in missing))
+            found = dict(zip(new, self._encoded(new)))
+            for i in missing:
+                ids[i] = found[words[i]]
+            if len(self.known) > self.KEPT:
+                self.known = {}
+            self.known.update((w, x) for w, x in found.items() if len(w) <= self.LONGEST)
+        ends = np.cumsum([len(w) for w in split]).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 _MANIFEST = "file string, bytes long, part int, number int, first long, n_docs long, n_ids long"
