@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from listingmill.llm import minhash
 from listingmill.llm.common import raw_texts
 from listingmill.operators.collapse import connected_components
 from listingmill.session import materialize, shared_dir
@@ -263,15 +264,17 @@ def digest(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, near: int = NEAR) -> DataFrame:
+def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
+    Components are those of ``minhash``: 5-word shingles, exact similarity 0.8 or more. The fingerprints of the query take no part.
     Rows that share that id are ordered by their hash, the first stays. A NULL id counts as the smallest number.
     """
     least = F.lit(-(1 << 63)).cast("long")
-    tagged = docs.withColumn("_id", F.coalesce("doc_id", least))
-    known = fingerprints(tagged.select(F.col("_id").alias("doc_id"), "text"))
-    rows = components(known, near).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    tagged = docs.withColumns({"_id": F.coalesce("doc_id", least), "_th": minhash.text_hash()})
+    label = minhash.components(tagged.select(F.col("_th").alias("th"), "text")).withColumnRenamed("th", "_th")
+    first = tagged.groupBy("_th").agg(F.min("_id").alias("_id")).join(label, "_th", "left")
+    rows = first.groupBy(F.coalesce("component", "_th")).agg(F.min("_id").alias("_id")).select("_id").distinct()
     order = W.partitionBy("_id").orderBy(F.xxhash64(*docs.columns))
     kept = tagged.join(rows, "_id", "left_semi").withColumn("_n", F.row_number().over(order))
     return kept.filter(F.col("_n") == 1).select(*docs.columns)
