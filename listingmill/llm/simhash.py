@@ -265,16 +265,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest id stays.
+    """``docs`` without near-duplicates: of each component the row with the smallest (id, hash of the text) stays.
 
     Components are those of ``minhash``: 5-word shingles, exact similarity 0.8 or more. The fingerprints of the query take no part.
-    Rows that share that id are ordered by their hash, the first stays. A NULL id counts as the smallest number.
+    Rows are told apart by id and text, so other texts under the same id or under NULL stay. Rows that share both are
+    ordered by their hash, the first stays. A NULL id counts as the smallest number.
     """
     least = F.lit(-(1 << 63)).cast("long")
     tagged = docs.withColumns({"_id": F.coalesce("doc_id", least), "_th": minhash.text_hash()})
     label = minhash.components(tagged.select(F.col("_th").alias("th"), "text")).withColumnRenamed("th", "_th")
     first = tagged.groupBy("_th").agg(F.min("_id").alias("_id")).join(label, "_th", "left")
-    rows = first.groupBy(F.coalesce("component", "_th")).agg(F.min("_id").alias("_id")).select("_id").distinct()
-    order = W.partitionBy("_id").orderBy(F.xxhash64(*docs.columns))
-    kept = tagged.join(rows, "_id", "left_semi").withColumn("_n", F.row_number().over(order))
+    rows = first.groupBy(F.coalesce("component", "_th")).agg(F.min(F.struct("_id", "_th")).alias("least")).select("least.*")
+    order = W.partitionBy("_id", "_th").orderBy(F.xxhash64(*docs.columns))
+    kept = tagged.join(rows, ["_id", "_th"], "left_semi").withColumn("_n", F.row_number().over(order))
     return kept.filter(F.col("_n") == 1).select(*docs.columns)

@@ -70,3 +70,14 @@ def test_pairs_at_the_least_similarity_meet():
         a, b = own[:90], np.r_[own[:80], own[110:120]]
         met += bool((minhash.band_keys(a) == minhash.band_keys(b)).any())
     assert met == 2000
+
+
+def test_other_texts_of_one_id_stay(docs_of):
+    rng = random.Random(5)
+    texts = [[f"{k}x{i}" for i in range(80)] for k in range(8)]
+    whole = [" ".join(t) for t in texts]
+    near = [edited(rng, t, 1) for t in texts]
+    docs = [(None, whole[0]), (None, whole[1]), (None, whole[1]), (None, whole[2]), (7, whole[3]), (7, whole[4]), (7, near[4]), (1, near[3]), (7, whole[5]), (2, near[0])]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_first(docs_of(docs)).collect())
+    first = next(t for t in (whole[4], near[4]) if (7, t) in kept)  # which of the two copies under one id is up to the hash
+    assert kept == sorted([(0, whole[0]), (0, whole[1]), (0, whole[2]), (1, near[3]), (7, first), (7, whole[5])])
