@@ -2,7 +2,7 @@
 
 For each language, character 4-grams are counted over the whole training set; Spark derives the continuation counts
 of the shorter ones and smooths by interpolated Kneser-Ney: absolute discounting at the highest order, continuation
-counts below it, a uniform floor at the end. A model is sorted arrays of n-gram hashes with, for each language, the
+counts below it, a uniform floor at the end. A model is sorted arrays of n-grams with, for each language that has it, the
 discounted probability and the weight that a context hands down to the next shorter one, so a lookup serves all
 languages. A text's language is the one with the lowest cross-entropy per character.
 
@@ -11,9 +11,9 @@ entropy into a probability (the one with the least log loss), and a text is acce
 ``1 - REJECT`` quantile of the rightly named ones. ``accepted`` tells; ``lang_pred`` is given in any case.
 
 Sizes: counts are summed within batches before they are shuffled. An n-gram is a number of 16 bits a character
-(characters beyond 16 bits are folded), its hash the residue by a prime below ``MAX_ENTRIES`` / (languages * tables), so
-the model that goes to the tasks is bounded whatever the corpus; n-grams of one residue share the larger entry. Texts
-are scored whole, in pieces.
+(characters beyond 16 bits are folded) and a key by itself: no two share an entry. So the model that goes to the driver and the
+tasks grows with the distinct n-grams of each language, by 16 bytes
+an n-gram and 8 for each language that has it. Texts are scored whole, in pieces.
 
 NULL texts and texts without a letter are ``und`` with score 0. Training rows need a language; without any, every
 text is ``und``. Repeated rows count as often as they occur; extra columns are ignored.
@@ -32,7 +32,6 @@ from listingmill.llm.common import crc32_of_id
 from listingmill.session import materialize, shared_dir
 
 ORDER = 4
-MAX_ENTRIES = 1 << 24
 DISCOUNT = 0.75
 REJECT = 0.01
 #: Characters that are worked on at once.
@@ -98,47 +97,41 @@ def smoothed(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     return out
 
 
-def prime_below(n: int) -> int:
-    while n > 2 and any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
-        n -= 1
-    return max(n, 2)
-
-
 class Model:
-    """Sorted hashes of each table with one column of values for each language."""
+    """Of each table the sorted n-grams, where the entries of each begin, and the entries' languages and values."""
 
-    def __init__(self, langs: list[str], prime: int, tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], alphabet: int):
-        self.langs, self.prime, self.tables = langs, prime, tables
+    def __init__(self, langs: list[str], tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], alphabet: int):
+        self.langs, self.tables = langs, tables
         self.floor = 1.0 / max(alphabet, 1)
         self.temperature, self.limit = 1.0, float("inf")
 
     @classmethod
-    def build(cls, rows: DataFrame, langs: list[str], max_entries: int = MAX_ENTRIES) -> Model:
-        # Nine tenths, so that the prime isn't next to a power of two: residues would then be mere rotations of the characters.
-        prime = prime_below(max(2, max_entries * 9 // (10 * 2 * ORDER * max(1, len(langs)))))
-        hashed = rows.groupBy("kind", "width", F.pmod("gram", F.lit(prime)).alias("slot"), "lang").agg(F.max("value").alias("value"))
-        got = hashed.toArrow()  # at most max_entries rows
+    def build(cls, rows: DataFrame, langs: list[str]) -> Model:
+        got = rows.select("kind", "width", "gram", "lang", F.col("value").cast("float").alias("value")).toArrow()
         kind, lang = (got[c].combine_chunks().dictionary_encode() for c in ("kind", "lang"))
-        width, slot, value = (got[c].to_numpy() for c in ("width", "slot", "value"))
-        column = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()]
+        width, gram, value = (got[c].to_numpy() for c in ("width", "gram", "value"))
+        column = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], np.int32)[lang.indices.to_numpy()]
         kinds = np.array(kind.dictionary.to_pylist(), dtype="U1")[kind.indices.to_numpy()]
         tables = {}
-        for k, default in (("g", 0.0), ("c", 1.0)):
+        for k in "gc":
             for w in range(1, ORDER + 1):
-                at = (kinds == k) & (width == w)
-                slots, place = np.unique(slot[at], return_inverse=True)
-                values = np.full((len(slots) + 1, len(langs)), default, np.float32)  # the last row serves unseen hashes
-                values[place, column[at]] = value[at]
-                tables[k, w] = slots, values
-        return cls(langs, prime, tables, len(tables["g", 1][0]) + 1)
+                at = np.flatnonzero((kinds == k) & (width == w))
+                at = at[np.argsort(gram[at], kind="stable")]
+                keys, first = np.unique(gram[at], return_index=True)
+                tables[k, w] = keys, np.r_[first, len(at)], column[at], value[at]
+        return cls(langs, tables, len(tables["g", 1][0]) + 1)
 
     def _look(self, kind: str, width: int, gram: np.ndarray) -> np.ndarray:
-        slots, values = self.tables[kind, width]
-        slot = np.mod(gram, self.prime)
-        at = np.searchsorted(slots, slot)
-        known = at < len(slots)
-        known[known] = slots[at[known]] == slot[known]
-        return values[np.where(known, at, len(slots))]
+        keys, first, langs, values = self.tables[kind, width]
+        out = np.full((len(gram), len(self.langs)), 0.0 if kind == "g" else 1.0, np.float32)
+        at = np.searchsorted(keys, gram)
+        known = at < len(keys)
+        known[known] = keys[at[known]] == gram[known]
+        start = first[at[known]]
+        n = first[at[known] + 1] - start
+        entry = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[np.repeat(np.flatnonzero(known), n), langs[entry]] = values[entry]
+        return out
 
     def log_probabilities(self, gram: np.ndarray) -> np.ndarray:
         """ln p(last character | the ones before it), a column for each language."""
@@ -215,12 +208,12 @@ def _calibrate(model: Model, rows: DataFrame, reject: float) -> None:
     shared.unpersist()
 
 
-def train(rows: DataFrame, fold: Column, max_entries: int = MAX_ENTRIES, reject: float = REJECT) -> Model:
+def train(rows: DataFrame, fold: Column, reject: float = REJECT) -> Model:
     """A model of the rows' ``text`` and ``lang``; rows where ``fold`` holds calibrate it and count nowhere."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = materialize(count_grams(rows.filter(~fold)), shared_dir(rows.sparkSession, "grams"))
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())  # names of languages
-    model = Model.build(smoothed(counts), langs, max_entries)
+    model = Model.build(smoothed(counts), langs)
     if langs:
         _calibrate(model, rows.filter(fold), reject)
     return model

@@ -69,3 +69,11 @@ def test_pieces_do_not_change_entropy(docs_of, monkeypatch):
     whole = model.entropies(texts)
     monkeypatch.setattr(lid, "PIECE", 7)
     assert np.allclose(whole, model.entropies(texts), atol=1e-5)
+
+
+def test_no_two_grams_share_an_entry(spark):
+    grams = np.random.default_rng(6).integers(0, 1 << 62, 40_000) * 2
+    rows = spark.createDataFrame([("g", 4, "l7", int(g), float(i % 1000) / 1000) for i, g in enumerate(grams)], "kind string, width int, lang string, gram long, value double")
+    model = lid.Model.build(rows, [f"l{i}" for i in range(100)])
+    assert np.allclose(model._look("g", 4, grams)[:, 7], np.arange(40_000) % 1000 / 1000)
+    assert not model._look("g", 4, grams + 1).any()
