@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listingmill.llm import decontam, hilbert, language_id, ownership, pieces, planes, rules, simhash, substring, toxicity
+from listingmill.llm import centroids, decontam, hilbert, language_id, lexical, line_runs, ownership, pieces, planes, rules, simhash, substring, toxicity
 from listingmill.llm.common import table
 
 
@@ -48,6 +48,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +73,9 @@ QUERIES = {
         op8_secret_scan,
         op9_benchmark_decontamination,
         op10_quality_rules,
+        op11_ranked_search,
+        op12_line_dedup,
+        op13_centroid_clustering,
     )
 }
 SQL = {
@@ -68,4 +83,7 @@ SQL = {
     "op5_substring_dedup": substring.SQL,
     "op9_benchmark_decontamination": decontam.SQL,
     "op10_quality_rules": rules.SQL,
+    "op11_ranked_search": lexical.SQL,
+    "op12_line_dedup": line_runs.SQL,
+    "op13_centroid_clustering": centroids.SQL,
 }
