@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from listingmill.functions.classify import map_organizer_type, map_venue_type
 from listingmill.functions.keys import artist_id, organizer_id, venue_id
 from listingmill.functions.text import normalize_name
+from listingmill.operators.joins import lookup_join
 from listingmill.operators.merge import latest_by
+from listingmill.schemas import source_registry
 
 
 def override_table(overrides: DataFrame, entity: str) -> DataFrame:
@@ -39,14 +41,12 @@ def mentions(listings: DataFrame, name: Column) -> DataFrame:
     )
 
 
-ALWAYS = -(1 << 63)
-
-
-def artist_dictionary(listings: DataFrame, artists: DataFrame, overrides: DataFrame) -> DataFrame:
+def artist_dictionary(listings: DataFrame, artists: DataFrame, overrides: DataFrame, artist_ids: DataFrame | None = None) -> DataFrame:
     """(raw_name, norm, own_id, own_new, target, target_from) for every distinct raw artist name.
 
-    An override's target is usable from ``target_from`` on: always if the artist is stored, else behind the row of the batch
-    whose name, itself without an override, makes that artist. Targets that never exist are left out.
+    An override's target is usable from the arrival ``target_from`` on: always if the artist is stored, else behind the row of the
+    batch whose name, itself without an override, makes that artist. Targets that never exist are left out. ``artists`` need
+    only hold the batch's names if ``artist_ids`` tells the ids of all.
     """
     names = mentions(listings, F.explode("artist_names"))
     rules = override_table(overrides, "artist").withColumnRenamed("pattern", "raw_name")
@@ -60,37 +60,46 @@ def artist_dictionary(listings: DataFrame, artists: DataFrame, overrides: DataFr
     own = names.join(known, "norm", "left").select(
         "raw_name", "norm", F.coalesce("own", artist_id(F.col("norm"))).alias("own_id"), F.col("own").isNull().alias("own_new")
     )
-    stored = artists.select(F.col("id").alias("target"), F.lit(ALWAYS).cast("long").alias("stored_from")).distinct()
-    wanted = rules.select(F.col("target").alias("own_id")).distinct()
-    makers = own.filter(F.col("own_new") & (F.col("norm") != "")).join(wanted, "own_id", "left_semi").join(rules.select("raw_name"), "raw_name", "left_anti")
+    hits = rules.join(names.select("raw_name"), "raw_name", "left_semi")
+    stored = (artists if artist_ids is None else artist_ids).select(F.col("id").alias("target")).distinct()
+    always = hits.join(stored, "target", "left_semi").withColumn("target_from", _arrival(F.lit(-1), F.lit(0)))
+    # Few rules name an artist that isn't stored; the batch's mentions are read for these alone.
+    unstored = hits.join(stored, "target", "left_anti")
+    makers = own.filter(F.col("own_new") & (F.col("norm") != "")).join(rules.select("raw_name"), "raw_name", "left_anti")
+    makers = makers.join(unstored.select(F.col("target").alias("own_id")), "own_id", "left_semi")
     born = (
-        listings.select("seq", F.explode("artist_names").alias("raw_name"))
+        with_arrival(listings).select("arrival", F.explode("artist_names").alias("raw_name"))
         .join(makers, "raw_name")
         .groupBy(F.col("own_id").alias("target"))
-        .agg(F.min("seq").cast("long").alias("born"))
-    )
-    usable = (
-        rules.join(stored, "target", "left")
-        .join(born, "target", "left")
-        .withColumn("target_from", F.coalesce("stored_from", "born"))
-        .filter(F.col("target_from").isNotNull())
-        .select("raw_name", "target", "target_from")
+        .agg(F.min("arrival").alias("target_from"))
     )
+    usable = always.unionByName(unstored.join(born, "target")).select("raw_name", "target", "target_from")
     return own.join(usable, "raw_name", "left")
 
 
+def _arrival(rank: Column, seq: Column) -> Column:
+    return F.struct(rank.cast("int").alias("rank"), seq.cast("long").alias("seq"))
+
+
+def with_arrival(listings: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Listings with their place in the order of arrival (rank of the source, seq) and the source's country; 22 registry rows."""
+    ranks = registry if registry is not None else source_registry(listings.sparkSession)
+    return listings.join(F.broadcast(ranks), "source", "left").withColumn("arrival", _arrival(F.coalesce("source_rank", F.lit(1 << 30)), F.col("seq")))
+
+
 def overridden() -> Column:
-    """Whether a row of the dictionary goes by its override at listing ``seq``."""
-    return F.col("target").isNotNull() & (F.col("seq") > F.col("target_from"))
+    """Whether a row of the dictionary goes by its override at a listing's arrival."""
+    return F.col("target").isNotNull() & (F.col("arrival") > F.col("target_from"))
 
 
-def resolve_artists(listings: DataFrame, artists: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(seq, artist_ids): ids in the order of the raw names, duplicates kept."""
-    table = artist_dictionary(listings, artists, overrides).select("raw_name", "norm", "own_id", "target", "target_from")
-    rows = listings.select("seq", F.posexplode("artist_names").alias("pos", "raw_name"))
+def resolve_artists(listings: DataFrame, artists: DataFrame, overrides: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(seq, artist_ids): ids in the order of the raw names, duplicates kept. A name in most of the rows is salted."""
+    table = artist_dictionary(listings, artists, overrides) if dictionary is None else dictionary
+    rows = with_arrival(listings).select("seq", "arrival", F.posexplode("artist_names").alias("pos", "raw_name"))
     found = F.when(overridden(), F.col("target")).when(F.col("norm") != "", F.col("own_id"))
+    named = rows.filter(F.coalesce("raw_name", F.lit("")) != "")
     return (
-        rows.join(table, "raw_name")
+        lookup_join(named, table.select("raw_name", "norm", "own_id", "target", "target_from"), "raw_name", F.col("seq"))
         .withColumn("artist_id", found)
         .filter(F.col("artist_id").isNotNull())
         .groupBy("seq")
@@ -119,9 +128,13 @@ def venue_dictionary(listings: DataFrame, venues: DataFrame, overrides: DataFram
 def resolve_venues(listings: DataFrame, venues: DataFrame, overrides: DataFrame) -> DataFrame:
     """(seq, venue_id); an empty id when the listing names no venue."""
     table = venue_dictionary(listings, venues, overrides).select("venue_name", "venue_id")
-    return listings.select("seq", "venue_name").join(table, "venue_name", "left").select(
-        "seq", F.coalesce("venue_id", F.lit("")).alias("venue_id")
-    )
+    return _looked_up(listings.select("seq", "venue_name"), table, "venue_name").select("seq", F.coalesce("venue_id", F.lit("")).alias("venue_id"))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of ``table`` for their key: a popular key is salted, rows without a key go around the join."""
+    bare = rows.filter(F.col(key).isNull())
+    return lookup_join(rows.filter(F.col(key).isNotNull()), table, key, F.col("seq"), "left").unionByName(bare, allowMissingColumns=True)
 
 
 def organizer_dictionary(listings: DataFrame, organizers: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -148,47 +161,28 @@ def organizer_dictionary(listings: DataFrame, organizers: DataFrame, overrides:
 def resolve_organizers(with_venue: DataFrame, organizers: DataFrame, overrides: DataFrame) -> DataFrame:
     """(seq, organizer_id): the venue's id when the listing names no organiser."""
     table = organizer_dictionary(with_venue, organizers, overrides).select("raw_name", "organizer_id")
-    return (
-        with_venue.select("seq", "venue_id", F.col("organizer_name").alias("raw_name"))
-        .join(table, "raw_name", "left")
-        .select("seq", F.coalesce("organizer_id", "venue_id").alias("organizer_id"))
-    )
+    rows = with_venue.select("seq", "venue_id", F.col("organizer_name").alias("raw_name"))
+    return _looked_up(rows, table, "raw_name").select("seq", F.coalesce("organizer_id", "venue_id").alias("organizer_id"))
 
 
 def resolve_listings(
-    listings: DataFrame, artists: DataFrame, venues: DataFrame, organizers: DataFrame, overrides: DataFrame
+    listings: DataFrame, artists: DataFrame, venues: DataFrame, organizers: DataFrame, overrides: DataFrame, dictionary: DataFrame | None = None
 ) -> DataFrame:
-    """Listings with artist_ids, venue_id and organizer_id. One shuffle per name dictionary."""
-    out = (
-        listings.join(
-            venue_dictionary(listings, venues, overrides).select("venue_name", "venue_id"), "venue_name", "left"
-        )
-        .join(
-            organizer_dictionary(listings, organizers, overrides).select(
-                F.col("raw_name").alias("organizer_name"), "organizer_id"
-            ),
-            "organizer_name",
-            "left",
-        )
-        .withColumn("venue_id", F.coalesce("venue_id", F.lit("")))
-        .withColumn("organizer_id", F.coalesce("organizer_id", "venue_id"))
-    )
-    ids = resolve_artists(listings, artists, overrides)
+    """Listings with artist_ids, venue_id and organizer_id. ``dictionary`` is that of the artists, where the caller has it."""
+    venue_ids = venue_dictionary(listings, venues, overrides).select("venue_name", "venue_id")
+    organizer_ids = organizer_dictionary(listings, organizers, overrides).select(F.col("raw_name").alias("organizer_name"), "organizer_id")
+    out = _looked_up(_looked_up(listings, venue_ids, "venue_name"), organizer_ids, "organizer_name")
+    out = out.withColumn("venue_id", F.coalesce("venue_id", F.lit(""))).withColumn("organizer_id", F.coalesce("organizer_id", "venue_id"))
+    ids = resolve_artists(listings, artists, overrides, dictionary)
     return out.join(ids, "seq", "left").withColumn(
         "artist_ids", F.coalesce("artist_ids", F.array().cast("array<string>"))
     )
 
 
-def arrival(registry: DataFrame, listings: DataFrame) -> DataFrame:
-    """Listings with (source_rank, seq) order and the source's country; 22 registry rows."""
-    return listings.join(F.broadcast(registry), "source", "left").withColumn(
-        "arrival", F.struct(F.coalesce("source_rank", F.lit(1 << 30)).alias("rank"), "seq")
-    )
-
-
-def new_artists(listings, artists, overrides, registry, stamp) -> DataFrame:
-    fresh = artist_dictionary(listings, artists, overrides).filter(F.col("own_new") & (F.col("norm") != ""))
-    rows = arrival(registry, listings).select(
+def new_artists(listings, artists, overrides, registry, stamp, dictionary: DataFrame | None = None) -> DataFrame:
+    table = artist_dictionary(listings, artists, overrides) if dictionary is None else dictionary
+    fresh = table.filter(F.col("own_new") & (F.col("norm") != ""))
+    rows = with_arrival(listings, registry).select(
         "source", "arrival", F.posexplode("artist_names").alias("pos", "raw_name")
     )
     # first mention per spelling before the join, so a name held by most rows joins as one row
@@ -197,7 +191,7 @@ def new_artists(listings, artists, overrides, registry, stamp) -> DataFrame:
         .agg(
             F.min_by(F.struct("source", "arrival"), F.struct("arrival", "pos")).alias("s"),
             F.min(F.struct("arrival", "pos")).alias("at"),
-            F.min("arrival.seq").alias("seq"),
+            F.min("arrival").alias("arrival"),
         )
         .join(fresh, "raw_name")
         .filter(~overridden())
@@ -217,7 +211,7 @@ def new_artists(listings, artists, overrides, registry, stamp) -> DataFrame:
 
 def new_venues(listings, venues, overrides, registry, stamp) -> DataFrame:
     fresh = venue_dictionary(listings, venues, overrides).filter("is_new")
-    rows = arrival(registry, listings).filter(F.col("venue_name").isNotNull())
+    rows = with_arrival(listings, registry).filter(F.col("venue_name").isNotNull())
     first = rows.groupBy("venue_name").agg(
         F.min_by(
             F.struct("source", "arrival", "venue_region", "venue_address", "venue_lat", "venue_lng", "country"),
@@ -242,7 +236,7 @@ def new_venues(listings, venues, overrides, registry, stamp) -> DataFrame:
 
 def new_organizers(listings, organizers, overrides, registry, stamp) -> DataFrame:
     fresh = organizer_dictionary(listings, organizers, overrides).filter("is_new")
-    rows = arrival(registry, listings).select("source", "arrival", F.col("organizer_name").alias("raw_name"))
+    rows = with_arrival(listings, registry).select("source", "arrival", F.col("organizer_name").alias("raw_name"))
     first = (
         rows.groupBy("raw_name")
         .agg(F.min_by("source", "arrival").alias("source"), F.min("arrival").alias("arrival"))

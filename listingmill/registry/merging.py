@@ -13,7 +13,7 @@ from listingmill.schemas import empty, source_registry
 from listingmill.session import materialize, shared_dir
 from listingmill.sources import tables
 from listingmill.sources import testdata as td
-from listingmill.streaming.ingest_stream import prepare_tables, stream_ingest
+from listingmill.streaming.ingest_stream import stream_ingest
 
 
 def normalized(spark, d) -> DataFrame:
@@ -361,7 +361,12 @@ def ingest_report(spark, d):
 
 @query(
     "stream_ingest",
-    sql("good", "SELECT DISTINCT id, title, strftime(start_date, '%Y-%m-%d') AS start_date FROM good"),
+    sql(
+        "good ven_res",
+        """SELECT DISTINCT g.id, title, strftime(start_date, '%Y-%m-%d') AS start_date, v.venue_id,
+        CASE WHEN start_date IS NULL THEN 'unknown' WHEN DATE '1998-07-01' < start_date THEN 'upcoming' WHEN DATE '1998-07-01' > end_date THEN 'past' ELSE 'ongoing' END AS status
+        FROM good g JOIN ven_res v USING (seq)""",
+    ),
 )
 def stream_ingest_q(spark, d):
     """The listings delivered in files over several micro-batches, some of them delivered again."""
@@ -369,6 +374,5 @@ def stream_ingest_q(spark, d):
     raw = td.raw_listings(spark, d)
     raw.repartition(2).write.parquet(inbox)
     raw.filter("source = 'pgi'").repartition(1).write.mode("append").parquet(inbox)
-    prepare_tables(spark, root)
-    stream_ingest(spark, inbox, root, check, td.overrides(spark, d), td.gazetteer(spark, d), td.TODAY, td.STAMP, files_per_batch=2)
-    return tables.scan_canonical(spark, root, "exhibitions").select("id", "title", day("start_date"))
+    store = stream_ingest(spark, inbox, root, check, td.overrides(spark, d), td.gazetteer(spark, d), td.TODAY, td.STAMP, files_per_batch=2)
+    return store.scan("exhibitions").select("id", "title", day("start_date"), "venue_id", "status")

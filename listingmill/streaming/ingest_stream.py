@@ -1,46 +1,69 @@
 """Structured Streaming form of the ingest.
 
-Each micro-batch runs the batch ingest against the tables as of the previous batch and writes
-only new and changed rows as that batch's delta. State lives in the tables, so no watermark is
-needed; re-delivered listings come out unchanged, and a replayed batch overwrites its own delta. Stored shows whose
-status has moved since the last batch are written along, so the tables end in the state of a batch run.
+Each micro-batch runs the batch ingest over the buckets that hold its keys, and commits the new and changed rows with the rejected
+listings and the run's report; the next batch starts from that commit. State lives in the tables, so no watermark is needed:
+re-delivered listings come out unchanged, and a replayed batch is already committed. Stored shows whose status has moved since the
+last batch are found by the calendar and written along, so the tables end in the state of a batch run.
+
+What a batch reads and writes follows the batch: the buckets of its keys, the calendar days that have passed, and the buckets of
+the shows due on them. Only if an override names one of the batch's artists, the ids of all artists are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from listingmill.plans.ingest import State, run_ingest
-from listingmill.schemas import RAW, TABLES
-from listingmill.sources.tables import next_batch, reset_table, scan_canonical, write_delta
+from listingmill.functions.keys import venue_id
+from listingmill.operators.resolve import mentions, override_table
+from listingmill.plans.ingest import State, action_metrics, run_ingest
+from listingmill.schemas import RAW
+from listingmill.session import materialize, shared_dir
+from listingmill.sources.commits import Store
 
 CHANGED = ("new", "updated", "status")
 
 
-def batch_writer(
-    root: str, overrides: DataFrame, gazetteer: DataFrame, today, stamp: str, name: str = "stream"
-) -> Callable[[DataFrame, int], None]:
-    def write(raw: DataFrame, batch: int) -> None:
-        spark = raw.sparkSession
-        run_name = f"{name}-{batch}"
-        number = next_batch(spark, root, list(TABLES), run_name)
-        tables = {name: scan_canonical(spark, root, name, before=number) for name in TABLES}
-        state = State(overrides=overrides, gazetteer=gazetteer, **tables)
-        run = run_ingest(raw, state, today, stamp, batch_only=True)
-        for table in ("artists", "venues", "organizers", "exhibitions"):
-            merged = getattr(run, table)
-            write_delta(merged.filter(F.col("action").isin(*CHANGED)).drop("action"), root, table, number, run_name)
+def state_of(store: Store, overrides: DataFrame, gazetteer: DataFrame, today) -> Callable[[DataFrame], State]:
+    """The part of the stored tables that a batch of normalised listings needs."""
+    at = store.manifest()
+
+    def read(good: DataFrame) -> State:
+        artists = mentions(good, F.explode("artist_names"))
+        ruled = override_table(overrides, "artist").join(artists, F.col("pattern") == F.col("raw_name"), "left_semi")
+        due = store.due(today, at)
+        return State(
+            exhibitions=store.scan("exhibitions", good.select("id"), at),
+            artists=store.scan("artists", artists.select("norm"), at),
+            venues=store.scan("venues", good.filter("venue_name IS NOT NULL").select(venue_id(F.col("venue_name")).alias("id")), at),
+            organizers=store.scan("organizers", mentions(good, F.col("organizer_name")).select("norm"), at),
+            overrides=overrides, gazetteer=gazetteer,
+            due=store.scan("exhibitions", due, at).join(due, "id", "left_semi"),
+            artist_ids=None if ruled.isEmpty() else store.scan("artists", at=at).select("id"),
+        )
 
-    return write
+    return read
 
 
-def prepare_tables(spark: SparkSession, root: str) -> None:
-    for name in TABLES:
-        reset_table(spark, root, name)
+def ingest_batch(store: Store, raw: DataFrame, overrides: DataFrame, gazetteer: DataFrame, today, stamp: str, run_name: str) -> None:
+    """Ingest one batch and commit it. Counts come from the passes that do the work, by observed metrics."""
+    if store.committed(run_name):
+        return
+    spark, began = raw.sparkSession, time.monotonic()
+    listings, shows = Observation(), Observation()
+    run = run_ingest(raw, state_of(store, overrides, gazetteer, today), today, stamp, batch_only=True, observed=listings)
+    changes = {}
+    for table in ("artists", "venues", "organizers", "exhibitions"):
+        merged = getattr(run, table)
+        if table == "exhibitions":
+            merged = merged.observe(shows, *action_metrics())
+        changes[table] = materialize(merged.filter(F.col("action").isin(*CHANGED)).drop("action"), shared_dir(spark, f"changed-{table}"))
+    report = {**listings.get, **shows.get, "duration": round(time.monotonic() - began, 3)}
+    store.commit(changes, run_name, today, run.rejects, report)
 
 
 def stream_ingest(
@@ -53,16 +76,24 @@ def stream_ingest(
     today,
     stamp: str,
     files_per_batch: int = 1000,
-) -> None:
+) -> Store:
     """Consume everything that has arrived in ``inbox`` and stop (the cron form of a stream)."""
     arrivals = (
         spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
     )
     name = "s" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]  # a new checkpoint is another stream over the tables
+    store = Store(spark, root)
+
+    def write(raw: DataFrame, batch: int) -> None:
+        own = Store(raw.sparkSession, root, store.buckets)
+        own.opened = store.opened
+        ingest_batch(own, raw, overrides, gazetteer, today, stamp, f"{name}-{batch}")
+
     query = (
-        arrivals.writeStream.foreachBatch(batch_writer(root, overrides, gazetteer, today, stamp, name))
+        arrivals.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    return store

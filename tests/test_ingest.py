@@ -7,11 +7,12 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from listingmill.plans.ingest import State, ingest_report, run_ingest
+from listingmill.operators.merge import status_changes
+from listingmill.plans.ingest import State, ingest_report, report_rows, run_ingest
 from listingmill.plans.publish import build_catalog
 from listingmill.schemas import RAW, TABLES, empty
-from listingmill.sources.tables import compact, deltas, scan_canonical
-from listingmill.streaming.ingest_stream import prepare_tables, stream_ingest
+from listingmill.sources.commits import Store
+from listingmill.streaming.ingest_stream import ingest_batch, stream_ingest
 
 TODAY = datetime.date(2026, 6, 1)
 FIELDS = (
@@ -80,31 +81,98 @@ def test_run_repeat_and_publish(spark, lookups):
 def test_stream_equals_batch(spark, lookups, tmp_path):
     raw = spark.createDataFrame(ROWS, RAW)
     inbox, root = str(tmp_path / "in"), str(tmp_path / "tables")
-    prepare_tables(spark, root)
     args = (inbox, root, str(tmp_path / "check"), *lookups, TODAY, "2026-06-01 00:00:00", 1)
     raw.filter("seq <= 2").coalesce(1).write.parquet(inbox)
     stream_ingest(spark, *args)
     raw.coalesce(1).write.mode("append").parquet(inbox)  # everything again, plus the rest
-    stream_ingest(spark, *args)
+    store = stream_ingest(spark, *args)
     batch = run_ingest(raw, start(spark, lookups), TODAY, "2026-06-01 00:00:00")
     for name in TABLES:
         cols = [c for c in empty(spark, name).columns if c not in ("tr",)]
-        got = scan_canonical(spark, root, name).select(*cols)
-        want = getattr(batch, name).select(*cols)
+        got, want = store.scan(name).select(*cols), getattr(batch, name).select(*cols)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    # rejects and counts of each commit, without a second look at the data
+    assert [r.seq for r in store.rejected("seq long, source string, error string").collect()] == [4]
+    last = store.manifest().report
+    rows = {r["source"]: r for r in report_rows(last, {"koba": "boom"})}
+    assert len(rows) == 22 and rows["koba"]["hard_failure"] and rows["artmap"]["duration"] > 0
+    assert (rows["artmap"]["extracted"], rows["artmap"]["errors"], rows["artmap"]["new"], rows["pgi"]["unchanged"]) == (3, 1, 2, 1)
     # another checkpoint over the same tables, on a later day: nothing is lost, and statuses of untouched rows move
     later = datetime.date(2026, 7, 15)
     more, other = str(tmp_path / "more"), str(tmp_path / "check2")
     raw.filter("seq = 1").coalesce(1).write.parquet(more)
-    counts = spark.read.parquet(f"{root}/exhibitions").groupBy("batch").count().filter(F.col("batch") >= 0)
-    assert sum(r["count"] for r in counts.collect()) == 4  # a re-delivered listing writes nothing
+    before = store.manifest()
     stream_ingest(spark, more, root, other, *lookups, later, "2026-07-15 00:00:00", 1)
-    after = {r.seq: r.status for r in scan_canonical(spark, root, "exhibitions").collect()}
+    after = {r.seq: r.status for r in store.scan("exhibitions").collect()}
     assert after == {1: "past", 2: "past", 3: "unknown", 5: "ongoing"}
-    last = max(b for b, _ in deltas(spark, root, "exhibitions"))
-    compact(spark, root, "exhibitions", last)
-    assert deltas(spark, root, "exhibitions") == [(last, "folded")]
-    assert {r.seq: r.status for r in scan_canonical(spark, root, "exhibitions").collect()} == after
+    # a reader of the earlier commit still sees it whole, also after what is old has been deleted
+    assert {r.seq: r.status for r in store.scan("exhibitions", at=before).collect()} == {1: "ongoing", 2: "ongoing", 3: "unknown", 5: "upcoming"}
+    assert store.vacuum(keep=2) >= 0 and store.scan("exhibitions", at=before).count() == 4
+    assert store.vacuum(keep=1) > 0 and {r.seq: r.status for r in store.scan("exhibitions").collect()} == after
+
+
+def test_a_batch_opens_what_it_needs(spark, lookups, tmp_path):
+    """Files opened follow the batch and the days that passed, not the table."""
+    store = Store(spark, str(tmp_path / "t"), buckets=16)
+
+    def shows(first, n):
+        return [listing(first + k, "artmap", title=f"show {first + k}", date_range=f"2026.06.{1 + k % 20:02d} ~ 2026.{7 + k % 3:02d}.{1 + k % 25:02d}", venue_name=f"hall {(first + k) % 40}") for k in range(n)]
+
+    ingest_batch(store, spark.createDataFrame(shows(0, 300), RAW), *lookups, TODAY, "2026-06-01 00:00:00", "a")
+    full = {t: len(set(p.values())) for t, p in store.manifest().tables.items()}
+    assert full["exhibitions"] == 16
+    store.opened.clear()
+    ingest_batch(store, spark.createDataFrame(shows(1000, 1), RAW), *lookups, TODAY, "2026-06-01 01:00:00", "b")
+    assert len({p for p in store.opened if p.startswith("exhibitions")}) == 1 and len({p for p in store.opened if p.startswith("venues")}) == 1
+    kept = store.manifest()
+    assert len(set(kept.tables["exhibitions"].values()) & set(store.manifest(0).tables["exhibitions"].values())) == 15
+    # replayed: nothing is read or written
+    store.opened.clear()
+    ingest_batch(store, spark.createDataFrame(shows(1000, 1), RAW), *lookups, TODAY, "2026-06-01 01:00:00", "b")
+    assert store.manifest() == kept and not store.opened
+
+    # a day later only the shows due on it are looked at, and the state is that of a full pass
+    store.opened.clear()
+    day = datetime.date(2026, 6, 3)
+    nothing = spark.createDataFrame([], RAW)
+    ingest_batch(store, nothing, *lookups, day, "2026-06-03 00:00:00", "c")
+    days = {p.split("day=")[1] for p in store.opened if p.startswith("calendar")}
+    assert days == {"2026-06-02", "2026-06-03"}
+    rows = store.scan("exhibitions")
+    assert rows.count() == 301 and status_changes(rows, day).isEmpty()
+    for later in (datetime.date(2026, 6, 30), datetime.date(2026, 8, 10), datetime.date(2026, 7, 5)):
+        ingest_batch(store, nothing, *lookups, later, f"{later} 00:00:00", str(later))
+        assert status_changes(store.scan("exhibitions"), later).isEmpty()
+    assert not [d for d in store.manifest().calendar if d <= "2026-07-05"]
+
+
+def test_tables_of_two_schemas(spark, tmp_path):
+    root, keys = str(tmp_path / "t"), {"things": "id"}
+    old = Store(spark, root, 4, {"things": "id STRING, n INT"}, keys)
+    old.commit({"things": spark.createDataFrame([(str(k), k) for k in range(20)], "id string, n int")}, "one")
+    new = Store(spark, root, 4, {"things": "id STRING, n INT, tag STRING"}, keys)
+    assert new.scan("things").filter("tag IS NULL").count() == 20
+    new.commit({"things": spark.createDataFrame([("3", 33, "x"), ("99", 9, "y")], "id string, n int, tag string")}, "two")
+    rows = {r.id: (r.n, r.tag) for r in new.scan("things").collect()}
+    assert len(rows) == 21 and rows["3"] == (33, "x") and rows["4"] == (4, None) and rows["99"] == (9, "y")
+    assert {d for d in new.manifest().schemas.values()} == {"id STRING, n INT", "id STRING, n INT, tag STRING"}
+    with pytest.raises(ValueError):
+        Store(spark, root, 4, {"things": "n INT, id STRING, tag STRING"}, keys).scan("things").collect()
+    with pytest.raises(RuntimeError):
+        new._publish(new.manifest())  # the number is taken
+    assert new.commit({}, "two") == new.manifest() and Store(spark, str(tmp_path / "none"), 4, new.tables, keys).scan("things").isEmpty()
+
+
+def test_override_to_an_artist_of_an_earlier_source(spark, lookups):
+    """Sources arrive one after another: the artist of an earlier source is there, whatever its rows' numbers."""
+    from listingmill.functions.keys import artist_id
+
+    kim, own = (spark.range(1).select(artist_id(F.lit(n))).first()[0] for n in ("kim", "alias"))
+    overrides = spark.createDataFrame([("artist", "Alias", kim, None, 1)], lookups[0].schema)
+    rows = [listing(5, "zen_foto", title="a", artists=["Alias"]), listing(10, "artmap", title="b", artists=["Kim"]), listing(20, "art_space_j", title="c", artists=["Alias"])]
+    run = run_ingest(spark.createDataFrame(rows, RAW), start(spark, (overrides, lookups[1])), TODAY, "2026-06-01 00:00:00")
+    assert {r.seq: r.artist_ids for r in run.exhibitions.collect()} == {5: [kim], 10: [kim], 20: [own]}
+    assert {r.name for r in run.artists.collect()} == {"Kim", "Alias"}
 
 
 def test_override_to_an_artist_of_the_same_batch(spark, lookups):
