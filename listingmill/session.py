@@ -6,6 +6,8 @@ import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +52,10 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     """
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(steps: dict[str, Callable]) -> dict:
+    """Results of independent steps that each start Spark jobs, side by side: small jobs fill the cluster between them."""
+    with ThreadPoolExecutor(max(1, len(steps))) as pool:
+        started = {name: pool.submit(step) for name, step in steps.items()}
+        return {name: future.result() for name, future in started.items()}

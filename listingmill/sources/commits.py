@@ -21,12 +21,14 @@ import datetime
 import json
 import uuid
 from dataclasses import asdict, dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from listingmill.schemas import TABLES, evolve_plan
+from listingmill.session import together
 
 BUCKETS = 64
 #: What rows are looked up by; a row is told from others by its id.
@@ -154,21 +156,20 @@ class Store:
         version = f"{last.number + 1}-{uuid.uuid4().hex[:8]}"
         tables = {t: dict(last.tables.get(t, {})) for t in self.tables}
         schemas = dict(last.schemas)
-        for table, rows in changes.items():
-            written = self._rewrite(table, rows, last, version)
-            if written:
-                tables[table].update(written)
+        steps = {table: partial(self._rewrite, table, rows, last, version) for table, rows in changes.items()}
+        if today is not None and "exhibitions" in changes:
+            steps["calendar"] = partial(self._plan_days, changes["exhibitions"], version, today)
+        if rejects is not None:
+            steps["rejects"] = partial(self._put_aside, rejects, f"rejects/{version}")
+        done = together(steps)
+        for table in changes:
+            if done[table]:
+                tables[table].update(done[table])
                 schemas[f"{table}-{version}"] = self.tables[table]
-        calendar = last.calendar
-        if today is not None:
-            calendar = {d: p for d, p in calendar.items() if d > str(today)}
-            if "exhibitions" in changes:
-                calendar = self._plan_days(changes["exhibitions"], calendar, version, today)
-        kept = list(last.rejects)
-        if rejects is not None and not rejects.isEmpty():
-            folder = f"rejects/{version}"
-            rejects.write.mode("overwrite").parquet(f"{self.root}/{folder}")
-            kept.append(folder)
+        calendar = {d: list(p) for d, p in last.calendar.items() if today is None or d > str(today)}
+        for day, folder in done.get("calendar", {}).items():
+            calendar.setdefault(day, []).append(folder)
+        kept = [*last.rejects, *done.get("rejects", [])]
         named = {p.split("/")[1] for t in tables.values() for p in t.values()}
         made = Manifest(
             last.number + 1, run, str(today) if today else last.day, tables, {v: d for v, d in schemas.items() if v in named}, calendar, kept, report or {}
@@ -186,14 +187,18 @@ class Store:
         dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}")
         return {str(n): f"{folder}/bucket={n}" for n in self._numbers(folder, "bucket")}
 
-    def _plan_days(self, shows: DataFrame, calendar: dict, version: str, today: datetime.date) -> dict:
+    def _plan_days(self, shows: DataFrame, version: str, today: datetime.date) -> dict[str, str]:
+        """The calendar folder of each day on which one of the shows changes its status next."""
         folder = f"calendar/{version}"
         days = shows.select("id", next_change(F.col("start_date"), F.col("end_date"), today).cast("string").alias("day")).filter("day IS NOT NULL")
         days.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/{folder}")
-        out = {d: list(p) for d, p in calendar.items()}
-        for day in self._numbers(folder, "day"):
-            out.setdefault(day, []).append(f"{folder}/day={day}")
-        return out
+        return {day: f"{folder}/day={day}" for day in self._numbers(folder, "day")}
+
+    def _put_aside(self, rejects: DataFrame, folder: str) -> list[str]:
+        if rejects.isEmpty():
+            return []
+        rejects.write.mode("overwrite").parquet(f"{self.root}/{folder}")
+        return [folder]
 
     def _numbers(self, folder: str, column: str) -> list[str]:
         path, files = self._path(folder)

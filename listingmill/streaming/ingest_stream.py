@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from listingmill.functions.keys import venue_id
 from listingmill.operators.resolve import mentions, override_table
 from listingmill.plans.ingest import State, action_metrics, run_ingest
 from listingmill.schemas import RAW
-from listingmill.session import materialize, shared_dir
+from listingmill.session import materialize, shared_dir, together
 from listingmill.sources.commits import Store
 
 CHANGED = ("new", "updated", "status")
@@ -34,17 +35,18 @@ def state_of(store: Store, overrides: DataFrame, gazetteer: DataFrame, today) ->
 
     def read(good: DataFrame) -> State:
         artists = mentions(good, F.explode("artist_names"))
+        halls = good.filter("venue_name IS NOT NULL").select(venue_id(F.col("venue_name")).alias("id"))
         ruled = override_table(overrides, "artist").join(artists, F.col("pattern") == F.col("raw_name"), "left_semi")
         due = store.due(today, at)
-        return State(
-            exhibitions=store.scan("exhibitions", good.select("id"), at),
-            artists=store.scan("artists", artists.select("norm"), at),
-            venues=store.scan("venues", good.filter("venue_name IS NOT NULL").select(venue_id(F.col("venue_name")).alias("id")), at),
-            organizers=store.scan("organizers", mentions(good, F.col("organizer_name")).select("norm"), at),
-            overrides=overrides, gazetteer=gazetteer,
-            due=store.scan("exhibitions", due, at).join(due, "id", "left_semi"),
-            artist_ids=None if ruled.isEmpty() else store.scan("artists", at=at).select("id"),
-        )
+        tables = together({
+            "exhibitions": lambda: store.scan("exhibitions", good.select("id"), at),
+            "artists": lambda: store.scan("artists", artists.select("norm"), at),
+            "venues": lambda: store.scan("venues", halls, at),
+            "organizers": lambda: store.scan("organizers", mentions(good, F.col("organizer_name")).select("norm"), at),
+            "due": lambda: store.scan("exhibitions", due, at).join(due, "id", "left_semi"),
+            "artist_ids": lambda: None if ruled.isEmpty() else store.scan("artists", at=at).select("id"),
+        })
+        return State(**tables, overrides=overrides, gazetteer=gazetteer)
 
     return read
 
@@ -56,12 +58,10 @@ def ingest_batch(store: Store, raw: DataFrame, overrides: DataFrame, gazetteer:
     spark, began = raw.sparkSession, time.monotonic()
     listings, shows = Observation(), Observation()
     run = run_ingest(raw, state_of(store, overrides, gazetteer, today), today, stamp, batch_only=True, observed=listings)
-    changes = {}
-    for table in ("artists", "venues", "organizers", "exhibitions"):
-        merged = getattr(run, table)
-        if table == "exhibitions":
-            merged = merged.observe(shows, *action_metrics())
-        changes[table] = materialize(merged.filter(F.col("action").isin(*CHANGED)).drop("action"), shared_dir(spark, f"changed-{table}"))
+    merged = {table: getattr(run, table) for table in ("artists", "venues", "organizers", "exhibitions")}
+    merged["exhibitions"] = run.exhibitions.observe(shows, *action_metrics())
+    keep = lambda table: materialize(merged[table].filter(F.col("action").isin(*CHANGED)).drop("action"), shared_dir(spark, f"changed-{table}"))
+    changes = together({table: partial(keep, table) for table in merged})
     report = {**listings.get, **shows.get, "duration": round(time.monotonic() - began, 3)}
     store.commit(changes, run_name, today, run.rejects, report)
 
