@@ -40,6 +40,11 @@ def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, th (the hash of the text) and the whole row as ``_row``, so that no name of the table meets a stage's own."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+
+
 def left_by_row(rows: DataFrame, other: DataFrame, how: str = "left") -> DataFrame:
     """Join on (doc_id, th), the id and the hash of the text: NULL ids meet each other, and the keys come back once."""
     renamed = other.withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"})

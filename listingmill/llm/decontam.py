@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingmill.llm.common import left_by_row
+from listingmill.llm.common import boxed, left_by_row
 from listingmill.session import materialize, shared_dir
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -148,8 +148,7 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents."""
     bad = contamination(docs, items).filter(contaminated()).select("doc_id", "th")
-    keyed = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return left_by_row(keyed, bad, "left_anti").select(*docs.columns)
+    return left_by_row(boxed(docs), bad, "left_anti").select("_row.*")
 
 
 _W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingmill.llm.common import left_by_row
+from listingmill.llm.common import boxed, left_by_row
 from listingmill.session import materialize, shared_dir
 
 ASSIGN = (
@@ -119,21 +119,20 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """
     hit = judged(candidates(docs)).filter(F.col("verdict") != "example")
     per_doc = hit.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut"))
-    keyed = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    text = F.col("_row.text")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
-        between = F.substring(F.col("text"), acc.at + 1, s.start - acc.at)
+        between = F.substring(text, acc.at + 1, s.start - acc.at)
         return F.struct(
             F.greatest(acc.at, s.end).alias("at"), F.when(s.start < acc.at, acc.out).otherwise(F.concat(acc.out, between, F.lit(mark))).alias("out")
         )
 
-    cleaned = F.aggregate("cut", first, add, lambda acc: F.concat(acc.out, F.substring(F.col("text"), acc.at + 1, F.length("text"))))
-    out = left_by_row(keyed, per_doc).withColumn("text", F.when(F.col("cut").isNotNull(), cleaned).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("cut").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    cleaned = F.aggregate("cut", first, add, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
+    out = left_by_row(boxed(docs), per_doc).withColumn("_new", F.when(F.col("cut").isNotNull(), cleaned).otherwise(text))
+    size = F.when(F.col("cut").isNotNull(), F.length("_new").cast(dict(docs.dtypes).get("n_chars", "int")))
+    changed = {"text": F.col("_new"), "n_chars": F.coalesce(size, F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[(changed[c] if c in changed else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:

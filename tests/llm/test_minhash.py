@@ -81,3 +81,25 @@ def test_other_texts_of_one_id_stay(docs_of):
     kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_first(docs_of(docs)).collect())
     first = next(t for t in (whole[4], near[4]) if (7, t) in kept)  # which of the two copies under one id is up to the hash
     assert kept == sorted([(0, whole[0]), (0, whole[1]), (0, whole[2]), (1, near[3]), (7, first), (7, whole[5])])
+
+
+def test_links_of_a_large_group_are_about_one_a_text(spark):
+    """Each of n texts linked to many hubs: about n links are left, in the same components."""
+    rng = random.Random(3)
+    links = [(k, rng.choice(range(0, 40))) for k in range(40, 1500) for _ in range(12)] + [(5000, 4000), (5001, 4000)]
+    left = minhash.contracted(spark.createDataFrame(links, "seq long, hub long")).collect()
+    assert len(left) < 1500 + 40 * 40
+
+    def parts(pairs):
+        label = {}
+
+        def root(x):
+            while label.setdefault(x, x) != x:
+                x = label[x]
+            return x
+
+        for a, b in pairs:
+            label[max(root(a), root(b))] = min(root(a), root(b))
+        return {x: root(x) for x in list(label)}
+
+    assert parts((r.seq, r.hub) for r in left) == parts(links)

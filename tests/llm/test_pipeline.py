@@ -4,11 +4,11 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 from test_decontam import brute as brute_contamination
-from test_simhash import brute_components
+from test_minhash import sets_of
 from test_toxicity import corpus
 
 import corpus_pipeline
-from listingmill.llm import pieces, simhash, toxicity
+from listingmill.llm import decontam, ownership, pieces, simhash, toxicity
 from listingmill.llm.planes import public_path
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,12 +34,21 @@ def test_stages_equal_brute_force(spark, tmp_path):
     model = toxicity.train(source, spark.read.parquet(f"{tmp_path}/labels.parquet"), toxicity.learnable())
     rows = {r.doc_id: r.text for r in source.collect()}
     rows = {i: t for i, t in rows.items() if model.score(t) < 0.3}
-    prints = {i: simhash.fingerprint(t.encode() if t else None) for i, t in rows.items()}
-    label = brute_components(list(prints.values()))
-    first = {}
-    for i in sorted(rows):
-        first.setdefault(label[prints[i]], i)
-    rows = {i: rows[i] for i in first.values()}
+    # near-copies: exact 5-word Jaccard of 0.8 or more, by components
+    order = sorted(rows)
+    label, sets = {i: i for i in order}, dict(zip(order, sets_of([rows[i] or "" for i in order])))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for n, i in enumerate(order):
+        for j in order[:n]:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    rows = {i: rows[i] for i in order if root(i) == i}
     found = brute_contamination(sorted(rows.items()), [(1, item), (2, "short one")])
     rows = {i: t for i, t in rows.items() if not found[i][3]}
     for i, t in rows.items():
@@ -64,3 +73,15 @@ def test_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.dtypes == docs.dtypes and out.count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_keep_their_values(spark):
+    """Every name that a stage uses inside may be a column of the table."""
+    names = ("th", "cut", "_row", "_th", "_new", "_id", "_n", "_doc_id", "copies", "w", "k", "start", "hubs", "found")
+    text = ", ".join(f"'{n}!' AS {n}" for n in names)
+    docs = spark.sql(f"SELECT 1L AS doc_id, 'my password = abcDEF123456 ok' AS text, 'en' AS lang, 's' AS source, 28 AS n_chars, {text}")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for out in (decontam.clean(docs, items), ownership.redact(docs), simhash.keep_first(docs)):
+        [row] = out.collect()
+        assert out.dtypes == docs.dtypes and all(row[n] == f"{n}!" for n in names)
+    assert ownership.redact(docs).first().text == "my <SECRET> ok"
