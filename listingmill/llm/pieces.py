@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,22 @@ MARK = "▁"
 LATIN = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 #: A character without a piece costs this much more than the lowest score.
 UNKNOWN_COST = 10.0
-KEPT_RUNS, LONGEST_RUN = 200_000, 64
+KEPT_RUNS, LONGEST_RUN = 600_000, 64
+
+
+class Runs(dict):
+    """The ids of runs, found when first asked for; of bounded size, and without long runs."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, run: str) -> bytes:
+        got = self.find(run)
+        if len(run) <= LONGEST_RUN:
+            if len(self) >= KEPT_RUNS:
+                self.clear()
+            self[run] = got
+        return got
 
 
 class Pieces:
@@ -61,7 +77,11 @@ class Pieces:
         if marks:
             parts = f"{MARK}*[A-Za-z{LATIN}]++(?=[{marks}])|{parts}"
         self.runs = re.compile(parts if not inner else r"(?s).+")
-        self.known: dict[str, bytes] = {}
+        self.known = Runs(self._ids)
+        # Pieces as bytes, then those without a space in front, for the first piece of a text.
+        bare = [b.removeprefix(b" ") for b in self.bytes_of]
+        self.table = pa.array([*self.bytes_of, *bare], pa.large_binary())
+        self.silent = np.array([not b for b in self.bytes_of], bool)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -146,22 +166,34 @@ class Pieces:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        parts = []
-        for run in self.runs.findall(MARK + text.replace(" ", MARK)):
-            got = self.known.get(run)
-            if got is None:
-                got = self._ids(run)
-                if len(run) <= LONGEST_RUN:
-                    if len(self.known) >= KEPT_RUNS:
-                        self.known.clear()
-                    self.known[run] = got
-            parts.append(got)
-        return np.frombuffer(b"".join(parts), "<i4")
+        runs = self.runs.findall(MARK + text.replace(" ", MARK))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, runs)), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of a column of ids: pieces are gathered by Arrow, and their bytes cut at the ends of the texts."""
+        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int32)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        firsts = starts[:-1][starts[1:] > starts[:-1]]
+        if len(starts) - 1 != len(lists) or lists.flatten().null_count or self.silent[flat[firsts]].any():
+            return self._decode_each(lists)  # a first piece without bytes: the space may stand in the next
+        flat[firsts] += len(self.bytes_of)
+        gathered = self.table.take(pa.array(flat))
+        ends = np.frombuffer(gathered.buffers()[1], np.int64, len(flat) + 1) if len(flat) else np.zeros(1, np.int64)
+        data = gathered.buffers()[2] or pa.py_buffer(b"")
+        texts = pa.Array.from_buffers(pa.large_string(), len(lists), [None, pa.py_buffer(ends[starts].tobytes()), data])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no text
+            return self._decode_each(lists)
+        return pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts.cast(pa.string()))
+
+    def _decode_each(self, lists: pa.ListArray) -> pa.Array:
+        return pa.array([None if x.as_py() is None else self.decode(x.values.to_numpy(zero_copy_only=False)) for x in lists], pa.string())
+
 
 @lru_cache(maxsize=1)
 def loaded(path: str) -> Pieces:
@@ -204,8 +236,7 @@ def decode(rows: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [None if x.as_py() is None else pieces.decode(x.values.to_numpy(zero_copy_only=False)) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pieces.decode_all(part.column("ids"))], names=[*part.schema.names, "decoded"])
 
     return kept.mapInArrow(run, schema)
 
