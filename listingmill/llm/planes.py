@@ -25,6 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -148,10 +149,11 @@ class WordEncoder:
 
     Ids of words are kept in a dictionary. A new word of Latin letters with ASCII marks behind them is made of those of its lower-case
     letters and of its marks, since the tokenizer lowers case and cuts between letters and marks; the apostrophe, which may belong
-    to letters behind it, is left out of that. New parts are encoded many at a time as one spaced text.
+    to letters behind it, is left out of that. New parts are encoded many at a time as one text, with bars between them: the ids of a
+    part are those between two bars. Parts that hold a bar themselves are told apart by their offsets.
     """
 
-    KEPT, LONGEST = 1_000_000, 48
+    KEPT, LONGEST, BAR = 1_000_000, 48, "|"
     PARTS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
@@ -161,9 +163,12 @@ class WordEncoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # no part comes twice, so the library's own dictionary only costs
+        bar = self.tokenizer.encode(self.BAR, add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
 
-    def _spaced(self, parts: list[str]) -> Iterator[bytes]:
-        """The ids of each part, none of which holds white space."""
+    def _spaced(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, none of which holds white space, by the offsets of the whole."""
+        out: list[bytes] = []
         for at in range(0, len(parts), 512):
             some = parts[at : at + 512]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -171,37 +176,68 @@ class WordEncoder:
             firsts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.offsets))
             cuts = (4 * np.searchsorted(firsts, starts)).tolist()
             raw = np.array(got.ids, "<u4").tobytes()
-            yield from (raw[a:b] for a, b in zip(cuts, cuts[1:]))
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
-    def _encoded(self, words: list[bytes]) -> list[bytes]:
+    def _barred(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, none of which holds white space or a bar, without offsets."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 512):
+            some = parts[at : at + 512]
+            [got] = self.tokenizer.encode_batch_fast([f" {self.BAR} ".join(some)], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            bars = np.flatnonzero(ids == self.bar)
+            if len(bars) != len(some) - 1:
+                out += self._spaced(some)
+                continue
+            raw, starts, ends = ids.tobytes(), (4 * np.r_[0, bars + 1]).tolist(), (4 * np.r_[bars, len(ids)]).tolist()
+            out += [raw[a:b] for a, b in zip(starts, ends)]
+        return out
+
+    def _parts(self, parts: dict[bytes, None]) -> dict[bytes, bytes]:
+        """The ids of parts, from the dictionary where it has them."""
+        found = {p: self.known[p] for p in parts if p in self.known}
+        new = [p for p in parts if p not in found]
+        plain = [p for p in new if self.bar is not None and b"|" not in p]
+        odd = [p for p in new if self.bar is None or b"|" in p]
+        for some, encode in ((plain, self._barred), (odd, self._spaced)):
+            found.update(zip(some, encode([p.decode() for p in some])))
+        return found
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
         heads, marks = [], []
         for word in words:
-            text = word.decode()
-            match = self.PARTS.fullmatch(text)
-            head, mark = match.groups() if match else (text, "")
-            heads.append(head.lower() if match else head)
-            marks.append(mark)
-        parts = list(dict.fromkeys(heads))
-        ids = dict(zip(parts, self._spaced(parts)))
-        some = [m for m in set(marks) if m]
-        behind = dict(zip(some, self._spaced(some)))
-        return [ids[head] + behind[mark] if mark else ids[head] for head, mark in zip(heads, marks)]
+            match = self.PARTS.fullmatch(word.decode())
+            if match:
+                head, mark = match.groups()
+                heads.append(head.lower().encode())
+                marks.append(mark.encode())
+            else:
+                heads.append(word)
+                marks.append(b"")
+        found, behind = self._parts(dict.fromkeys(heads)), self._parts(dict.fromkeys(m for m in marks if m))
+        out = {word: found[head] + behind[mark] if mark else found[head] for word, head, mark in zip(words, heads, marks)}
+        return {**found, **behind, **out}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        words = list(chain.from_iterable(split))
-        ids = list(map(self.known.get, words))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            new = list(dict.fromkeys(words[i] for i in missing))
-            found = dict(zip(new, self._encoded(new)))
-            for i in missing:
-                ids[i] = found[words[i]]
-            if len(self.known) > self.KEPT:
-                self.known = {}
-            self.known.update((w, x) for w, x in found.items() if len(w) <= self.LONGEST)
-        ends = np.cumsum([len(w) for w in split]).tolist()
-        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        if new and len(self.known) > self.KEPT:
+            self.known = {}
+            new = list(set(chain.from_iterable(split)))
+        self.known.update(self._encoded(new))
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, words)) for words in split]
+        for word in new:
+            if len(word) > self.LONGEST:
+                self.known.pop(word, None)
+        return out
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker, so that its dictionary serves all the worker's tasks."""
+    return WordEncoder(path)
 
 
 _MANIFEST = "file string, bytes long, part int, number int, first long, n_docs long, n_ids long"
@@ -289,6 +325,6 @@ def public_path(name: str) -> str:
 def digest(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """The columns of the registered query; ``tokenizer`` is a file name of the public tokenizers or a path."""
     folder = shared_dir(spark, "planes")
-    manifest = write_files(docs, folder, lambda: WordEncoder(tokenizer if "/" in tokenizer else public_path(tokenizer)))
+    manifest = write_files(docs, folder, lambda: word_encoder(tokenizer if "/" in tokenizer else public_path(tokenizer)))
     manifest = materialize(manifest, shared_dir(spark, "files"))
     return read_documents(manifest, folder, max(1, manifest.count()))
