@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from listingmill.functions.text import sanitize_description
 from listingmill.functions.translations import empty_tr
 from listingmill.functions.values import finite_or_null
+from listingmill.operators.joins import lookup_join
 from listingmill.operators.merge import latest_by
 
 ARTIST = "struct<id:string,name:string,lang:string,tr:map<string,map<string,string>>>"
 
 
 def embed_venue(exhibitions: DataFrame, venues: DataFrame) -> DataFrame:
-    """Add ``venue`` (struct or NULL). A left equi-join; the optimiser's size check picks broadcast."""
+    """Add ``venue`` (struct or NULL). A left equi-join, salted, so that a venue of most shows, or none, is no hot key."""
     side = venues.select(
         F.col("id").alias("venue_id"),
         F.struct(
@@ -22,7 +23,7 @@ def embed_venue(exhibitions: DataFrame, venues: DataFrame) -> DataFrame:
             finite_or_null(F.col("latitude")).alias("lat"), finite_or_null(F.col("longitude")).alias("lng"),
         ).alias("venue"),
     )
-    return exhibitions.join(side, "venue_id", "left")
+    return lookup_join(exhibitions, side, "venue_id", F.col("id"), "left")
 
 
 def artist_links(exhibitions: DataFrame) -> DataFrame:
@@ -35,19 +36,13 @@ def embed_artists(exhibitions: DataFrame, artists: DataFrame) -> DataFrame:
         F.col("id").alias("artist_id"),
         F.struct("id", "name", "lang", F.coalesce("tr", empty_tr()).alias("tr")).alias("artist"),
     )
-    # maps cannot be sorted, so the list is ordered by position with the artist looked up by position
+    # maps cannot be compared, so the order is told by position alone
+    by_position = F.array_sort("x", lambda a, b: a["pos"] - b["pos"])
     lists = (
-        artist_links(exhibitions)
-        .join(side, "artist_id")
+        lookup_join(artist_links(exhibitions), side, "artist_id", F.col("id"))
         .groupBy("id")
         .agg(F.collect_list(F.struct("pos", "artist")).alias("x"))
-        .select(
-            "id",
-            F.transform(
-                F.array_sort(F.transform("x", lambda e: e["pos"])),
-                lambda p: F.get(F.filter("x", lambda e: e["pos"] == p), F.lit(0))["artist"],
-            ).alias("artists"),
-        )
+        .select("id", F.transform(by_position, lambda e: e["artist"]).alias("artists"))
     )
     return exhibitions.join(lists, "id", "left").withColumn(
         "artists", F.coalesce("artists", F.array().cast(f"array<{ARTIST}>"))

@@ -132,9 +132,8 @@ def resolve_venues(listings: DataFrame, venues: DataFrame, overrides: DataFrame)
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Rows with the columns of ``table`` for their key: a popular key is salted, rows without a key go around the join."""
-    bare = rows.filter(F.col(key).isNull())
-    return lookup_join(rows.filter(F.col(key).isNotNull()), table, key, F.col("seq"), "left").unionByName(bare, allowMissingColumns=True)
+    """Rows with the columns of ``table`` for their key, NULL without one; popular keys and rows without a key are salted."""
+    return lookup_join(rows, table, key, F.col("seq"), "left")
 
 
 def organizer_dictionary(listings: DataFrame, organizers: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from listingmill.operators import embed
 from listingmill.operators.collapse import collapse_cross_source, photo_relevance
 from listingmill.operators.merge import drop_blank_ids, latest_by
 from listingmill.session import materialize, shared_dir
+from listingmill.sources.tables import write_document
 
 
 @dataclass(frozen=True)
@@ -43,3 +44,9 @@ def build_catalog(exhibitions: DataFrame, venues: DataFrame, artists: DataFrame)
         "id", "name", "lang", F.coalesce("tr", empty_tr()).alias("tr"), "seq"
     )
     return Catalogue(embed.exhibition_rows(kept, venues, artists), venue_rows, artist_rows)
+
+
+def publish(exhibitions: DataFrame, venues: DataFrame, artists: DataFrame, generated_at: str, path: str) -> int:
+    """Build the catalogue and publish all of it as one document; nothing becomes visible unless every part is whole."""
+    built = build_catalog(exhibitions, venues, artists)
+    return write_document({"exhibitions": built.exhibitions, "venues": built.venues, "artists": built.artists}, generated_at, path)

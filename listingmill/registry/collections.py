@@ -52,11 +52,11 @@ def fetch_works_by_id(spark, d):
 
 @query(
     "dedupe_works_by_image",
-    sql("w", "SELECT master_id, image_url, min(seq) AS seq FROM w WHERE image_url IS NOT NULL GROUP BY master_id, image_url"),
+    sql("w", "SELECT master_id, image_url, min(seq) AS seq FROM w GROUP BY master_id, image_url"),
 )
 def dedupe_works_by_image(spark, d):
-    rows = td.works(spark, d).filter("image_url IS NOT NULL")
-    return masters.dedupe_by_image(rows).select("master_id", "image_url", "seq")
+    """All works of all masters; those without an image count as one image."""
+    return masters.dedupe_by_image(td.works(spark, d)).select("master_id", "image_url", "seq")
 
 
 def finds(spark, d) -> DataFrame:
@@ -132,15 +132,22 @@ _CACHE = """cache AS (SELECT 'work:aic-' || p_partkey AS key, p_partkey AS k, CA
 
 @query(
     "commentary_cache_lookup",
-    """SELECT p.p_partkey AS k, CASE WHEN p.p_size > 10 THEN 'hit' ELSE 'miss' END AS found, CASE WHEN p.p_size > 10 THEN 'ko ' || p.p_partkey END AS ko
-    FROM part p WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'N')""",
+    sql(
+        "w seed",
+        """SELECT key, CASE WHEN ko IS NULL THEN 'miss' ELSE 'hit' END AS found, ko FROM (
+          SELECT DISTINCT 'work:' || source || '-' || oid AS key, CASE WHEN source = 'aic' AND p_size > 10 THEN 'ko ' || oid END AS ko FROM w JOIN part ON p_partkey = k
+          UNION ALL SELECT 'master:' || id, CASE WHEN k0 % 2 = 0 THEN 'ko ' || id END FROM seed)""",
+    ),
 )
 def commentary_cache_lookup(spark, d):
-    items = masters.work_facts(td.works(spark, d).filter("source = 'aic'")).select("key", "facts_hash", "source_object_id").distinct()
-    cache = td.commentary(spark, d)
-    key = F.col("source_object_id").cast("long").alias("k")
-    hits = enrich.cache_hits(items, cache).select(key, F.lit("hit").alias("found"), F.col("text.ko").alias("ko"))
-    return hits.unionByName(enrich.cache_misses(items, cache).select(key, F.lit("miss").alias("found"), F.lit(None).cast("string").alias("ko")))
+    """The works of all museums and the masters, against texts for the works of one museum, some stale, and for every second master."""
+    people = masters.master_facts(td.seeds(spark, d))
+    items = masters.work_facts(td.works(spark, d)).select("key", "facts_hash").distinct().unionByName(people.select("key", "facts_hash"))
+    of = F.struct(*[(F.concat(F.lit("ko "), F.col("id")) if n == "ko" else F.lit("")).alias(n) for n in ("ko", "en", "ja", "ko_tagline", "en_tagline", "ja_tagline")])
+    written = people.filter(F.col("seq") % 2 == 0).select("key", "facts_hash", of.alias("text"))
+    cache = td.commentary(spark, d).select("key", "facts_hash", "text").unionByName(written)
+    hits = enrich.cache_hits(items, cache).select("key", F.lit("hit").alias("found"), F.col("text.ko").alias("ko"))
+    return hits.unionByName(enrich.cache_misses(items, cache).select("key", F.lit("miss").alias("found"), F.lit(None).cast("string").alias("ko")))
 
 
 @query(

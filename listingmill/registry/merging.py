@@ -286,16 +286,28 @@ def build_catalog(spark, d):
 
 @query(
     "write_catalog",
-    sql("xv", "SELECT id, title, venue_name, popularity_score, tr_ja_title AS ja_title FROM xv"),
+    sql(
+        "xv v a",
+        """SELECT 'exhibition' AS kind, id, title, venue_name, popularity_score, tr_ja_title AS ja_title, '1998-07-01' AS generated_at FROM xv
+        UNION ALL SELECT 'venue', id, name, NULL, NULL, NULL, '1998-07-01' FROM v UNION ALL SELECT 'artist', id, name, NULL, NULL, NULL, '1998-07-01' FROM a""",
+    ),
 )
 def write_catalog(spark, d):
-    """The nested rows of every exhibition, published as JSON and read back."""
-    rows = embed.exhibition_rows(td.exhibitions(spark, d), td.venues(spark, d), td.artists(spark, d))
+    """The nested rows of every exhibition, the venues and the artists, published as one document and read back."""
+    venues, artists = td.venues(spark, d), td.artists(spark, d)
+    parts = {
+        "exhibitions": embed.exhibition_rows(td.exhibitions(spark, d), venues, artists),
+        "venues": venues.select("id", "name", "tr", "seq"), "artists": artists.select("id", "name", "tr", "seq"),
+    }
     path = shared_dir(spark, "catalogue")
-    tables.write_catalog(rows, path)
-    back = spark.read.schema(rows.schema).json(path)
+    tables.write_document(parts, "1998-07-01", path)
+    entry, back = tables.read_document(spark, path, {n: p.schema for n, p in parts.items()})
     ja = F.try_element_at(F.try_element_at("tr", F.lit("ja")), F.lit("title"))
-    return back.select("id", "title", F.col("venue.name").alias("venue_name"), "popularity_score", ja.alias("ja_title"))
+    none = F.lit(None).cast("string")
+    out = back["exhibitions"].select(F.lit("exhibition").alias("kind"), "id", "title", F.col("venue.name").alias("venue_name"), "popularity_score", ja.alias("ja_title"))
+    for kind, part in (("venue", back["venues"]), ("artist", back["artists"])):
+        out = out.unionByName(part.select(F.lit(kind).alias("kind"), "id", F.col("name").alias("title"), none.alias("venue_name"), none.cast("double").alias("popularity_score"), none.alias("ja_title")))
+    return out.withColumn("generated_at", F.lit(entry["generated_at"]))
 
 
 # --- ingest -----------------------------------------------------------------------

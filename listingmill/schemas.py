@@ -152,8 +152,13 @@ def evolve(df: DataFrame, expected: StructType) -> DataFrame:
 
 def non_finite_rows(df: DataFrame) -> DataFrame:
     """Rows with NaN or infinity in any floating point value, nested ones included."""
+    return df.filter(non_finite(df))
+
+
+def non_finite(df: DataFrame) -> Column:
+    """Whether a row holds NaN or infinity anywhere."""
     tests = [t for f in df.schema.fields if (t := _non_finite(F.col(f.name), f.dataType)) is not None]
-    return df.filter(F.coalesce(reduce(or_, tests, F.lit(False)), F.lit(False)))
+    return F.coalesce(reduce(or_, tests, F.lit(False)), F.lit(False))
 
 
 def _non_finite(c: Column, kind: DataType) -> Column | None:

@@ -18,7 +18,6 @@ Manifests are small: one entry for each bucket and calendar day. Their numbers a
 from __future__ import annotations
 
 import datetime
-import json
 import uuid
 from dataclasses import asdict, dataclass, field
 from functools import partial
@@ -29,6 +28,7 @@ from pyspark.sql.types import StructType
 
 from listingmill.schemas import TABLES, evolve_plan
 from listingmill.session import together
+from listingmill.sources.ledger import Ledger
 
 BUCKETS = 64
 #: What rows are looked up by; a row is told from others by its id.
@@ -62,47 +62,22 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, tables: dict[str, str] | None = None, keys: dict[str, str] | None = None):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.tables, self.keys = tables or TABLES, keys or KEYS
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._commits, self._files = Ledger(spark, f"{self.root}/_commits"), Ledger(spark, self.root)
         #: Folders that scans have opened, for tests and logs.
         self.opened: list[str] = []
 
     # -- manifests ---------------------------------------------------------
 
-    def _path(self, name: str):
-        path = self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self._conf)
-
     def numbers(self) -> list[int]:
-        path, files = self._path("_commits")
-        found = files.listStatus(path) if files.exists(path) else []
-        return sorted(int(n.removesuffix(".json")) for s in found if (n := s.getPath().getName()).endswith(".json"))
+        return self._commits.numbers()
 
     def manifest(self, number: int | None = None) -> Manifest:
         """The manifest of a commit, the last one by default; an empty one before the first."""
         number = max(self.numbers(), default=-1) if number is None else number
-        if number < 0:
-            return Manifest(-1, "")
-        path, files = self._path(f"_commits/{number}.json")
-        stream = files.open(path)
-        try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return Manifest(**json.loads(text))
+        return Manifest(**self._commits.read(number)) if number >= 0 else Manifest(-1, "")
 
     def _publish(self, manifest: Manifest) -> None:
-        """Written aside, then given its name, which must be free: a second writer of the number fails."""
-        path, files = self._path(f"_commits/{manifest.number}.json")
-        aside, _ = self._path(f"_commits/.{manifest.number}-{uuid.uuid4().hex}")
-        out = files.create(aside, False)
-        try:
-            out.write(bytearray(json.dumps(asdict(manifest)), "utf-8"))
-        finally:
-            out.close()
-        if files.exists(path) or not files.rename(aside, path):
-            files.delete(aside, False)
-            raise RuntimeError(f"commit {manifest.number} was made by another writer")
+        self._commits.publish(manifest.number, asdict(manifest))
 
     def committed(self, run: str) -> bool:
         """Whether one of the last commits is the run's; a stream replays its last batch only."""
@@ -201,9 +176,7 @@ class Store:
         return [folder]
 
     def _numbers(self, folder: str, column: str) -> list[str]:
-        path, files = self._path(folder)
-        names = [s.getPath().getName() for s in files.listStatus(path)]
-        return [n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}=")]
+        return [n.removeprefix(f"{column}=") for n in self._files.names(folder) if n.startswith(f"{column}=")]
 
     def rejected(self, schema: str) -> DataFrame:
         """All rows that commits have put aside."""
@@ -219,13 +192,11 @@ class Store:
             living |= {p for t in m.tables.values() for p in t.values()} | {p for ps in m.calendar.values() for p in ps} | set(m.rejects)
         gone = 0
         for top in (*self.tables, "calendar"):
-            path, files = self._path(top)
-            for version in files.listStatus(path) if files.exists(path) else []:
-                name = f"{top}/{version.getPath().getName()}"
-                column = "day" if top == "calendar" else "bucket"
-                for number in self._numbers(name, column):
-                    if f"{name}/{column}={number}" not in living:
-                        gone += bool(files.delete(self._path(f"{name}/{column}={number}")[0], True))
+            column = "day" if top == "calendar" else "bucket"
+            for version in self._files.names(top):
+                for number in self._numbers(f"{top}/{version}", column):
+                    if (folder := f"{top}/{version}/{column}={number}") not in living:
+                        gone += self._files.delete(folder)
         for n in numbers[:-keep]:
-            self._path("")[1].delete(self._path(f"_commits/{n}.json")[0], False)
+            self._commits.delete(f"{n}.json")
         return gone

@@ -2,16 +2,22 @@
 
 A table is a folder of parquet deltas, ``batch=<n>/run=<name>``, each holding only the rows that batch made
 new or changed; the current state is the last row per key. ``n`` is a sequence over the table, ``run`` names who
-wrote the delta (a stream and its micro-batch). A replay finds its own delta by that name and overwrites it; another
-stream over the same tables goes on behind the last one. ``compact`` folds old deltas into one.
+wrote the delta. This form serves tables that are loaded now and then and read whole; the stream keeps its tables in
+``commits``, as hash buckets under a manifest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import partial
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from listingmill.schemas import RAW, TABLES, empty, non_finite_rows
+from listingmill.schemas import RAW, TABLES, empty, non_finite
+from listingmill.session import together
+from listingmill.sources.ledger import Ledger
 
 
 def scan_raw_listings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -22,22 +28,6 @@ def delta_path(root: str, table: str, batch: int, run: str = "own") -> str:
     return f"{root}/{table}/batch={batch}/run={run}"
 
 
-def deltas(spark: SparkSession, root: str, table: str) -> list[tuple[int, str]]:
-    """(batch, run) of every delta, from the folders' names."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/batch=*/run=*")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    names = [(s.getPath().getParent().getName(), s.getPath().getName()) for s in found]
-    return sorted((int(b.removeprefix("batch=")), r.removeprefix("run=")) for b, r in names)
-
-
-def next_batch(spark: SparkSession, root: str, tables: list[str], run: str) -> int:
-    """The sequence number for ``run``: the one it had before in any of the tables, else one behind all."""
-    known = [x for t in tables for x in deltas(spark, root, t)]
-    mine = [b for b, r in known if r == run]
-    return mine[0] if mine else max([b for b, _ in known], default=-1) + 1
-
-
 def reset_table(spark: SparkSession, root: str, table: str, schema: str | None = None) -> None:
     """Empty the table and restore its schema as batch -1."""
     start = spark.createDataFrame([], schema) if schema else empty(spark, table)
@@ -64,36 +54,55 @@ def scan_canonical(
     return latest.select("id", "r.*").select(*[c for c in rows.columns if c != "batch"])
 
 
-def compact(spark: SparkSession, root: str, table: str, upto: int, schema: str | None = None) -> None:
-    """Fold the deltas up to batch ``upto`` into one; the state before and after is the same.
-
-    The fold is written under the number ``upto`` before the folded deltas go, so a reader sees at worst both. Batches up to
-    ``upto`` must be settled: a replay of one would find no delta of its name.
-    """
-    old = [x for x in deltas(spark, root, table) if x[0] <= upto]
-    if len(old) < 2:
-        return
-    write_delta(scan_canonical(spark, root, table, before=upto + 1, schema=schema), root, table, upto, "folded")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for batch, run in old:
-        if run != "folded" or batch != upto:
-            path = jvm.org.apache.hadoop.fs.Path(delta_path(root, table, batch, run))
-            path.getFileSystem(conf).delete(path, True)
+def _written(part: DataFrame, path: str, fmt: str) -> int:
+    """Write a part, counting its rows on the way; NaN or infinity anywhere refuses it, as strict readers would."""
+    seen = Observation()
+    part.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(non_finite(part)).alias("bad")).write.mode("overwrite").format(fmt).save(path)
+    if seen.get["bad"]:
+        raise ValueError(f"{seen.get['bad']} rows of the catalogue hold NaN or infinity")
+    return seen.get["rows"]
 
 
-def write_document(exhibitions: DataFrame, venues: DataFrame, artists: DataFrame, generated_at: str, path: str) -> None:
-    """Publish the catalogue as one folder: exhibitions, venues, artists, and ``generated_at`` in the meta part.
+def write_document(parts: dict[str, DataFrame], generated_at: str, path: str, keep: int = 2) -> int:
+    """Publish a catalogue of several parts, JSON lines each, as one document; returns its number.
 
-    The parts are JSON lines; the meta part is written last, so its presence tells that the others are whole.
+    Every plan runs once: the finite test is observed while the part is written aside. Only when all parts are whole, the document's
+    entry appears, with ``generated_at`` and the counts; a refused one leaves nothing behind. Readers of the last ``keep`` documents are
+    not disturbed, older ones go.
     """
-    spark = exhibitions.sparkSession
-    for name, part in (("exhibitions", exhibitions), ("venues", venues), ("artists", artists)):
-        write_catalog(part, f"{path}/{name}")
-    spark.createDataFrame([(generated_at,)], "generated_at string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    spark = next(iter(parts.values())).sparkSession
+    entries = Ledger(spark, f"{path}/documents")
+    version = f"parts/{uuid.uuid4().hex}"
+    files = Ledger(spark, path)
+    try:
+        counts = together({name: partial(_written, part, f"{path}/{version}/{name}", "json") for name, part in parts.items()})
+    except Exception:
+        files.delete(version)
+        raise
+    number = max(entries.numbers(), default=-1) + 1
+    entries.publish(number, {"generated_at": generated_at, "parts": {n: f"{version}/{n}" for n in parts}, "counts": counts, "version": version})
+    for old in entries.numbers()[:-keep]:
+        files.delete(entries.read(old)["version"])
+        entries.delete(f"{old}.json")
+    return number
+
+
+def read_document(spark: SparkSession, path: str, schemas: dict[str, StructType]) -> tuple[dict, dict[str, DataFrame]]:
+    """The last published document: its entry, and its parts by the schemas given."""
+    entries = Ledger(spark, f"{path}/documents")
+    entry = entries.read(entries.numbers()[-1])
+    return entry, {n: spark.read.schema(schemas[n]).json(f"{path}/{p}") for n, p in entry["parts"].items() if n in schemas}
 
 
 def write_catalog(catalogue: DataFrame, path: str, fmt: str = "json") -> None:
-    """Publish nested rows. NaN or infinity anywhere refuses the write, as strict readers would."""
-    if not non_finite_rows(catalogue).isEmpty():
-        raise ValueError("catalogue holds NaN or infinity")
-    catalogue.write.mode("overwrite").format(fmt).save(path)
+    """Publish nested rows as one folder. They are written aside, tested in the same pass, and moved there when they pass."""
+    aside, files = f"{path}-{uuid.uuid4().hex}", Ledger(catalogue.sparkSession, path)
+    try:
+        _written(catalogue, aside, fmt)
+    except Exception:
+        Ledger(catalogue.sparkSession, aside).delete("")
+        raise
+    target, system = files.path()
+    system.delete(target, True)
+    if not system.rename(files._jvm.org.apache.hadoop.fs.Path(aside), target):
+        raise RuntimeError(f"{aside} could not be moved to {path}")

@@ -226,3 +226,38 @@ def test_entities(one):
 def test_a_feed_without_allow_set_keeps_all(spark):
     items = spark.createDataFrame([("A", "https://h.org/1", ["전시1관 Gallery1"], "d"), ("B", "https://h.org/2", ["전시소식"], "d")], "title string, link string, category array<string>, description string")
     assert extract.rss_rows(items, "h.org").count() == 1 and extract.rss_rows(items, "h.org", None).count() == 2
+
+
+def test_alerts_with_a_hot_medium(spark):
+    """A third of the subscribers on one medium that most items have: same rows as brute force, no cell of the join above the split."""
+    import random
+
+    rng = random.Random(6)
+    items = [(f"x{k}", k, [f"a{rng.randrange(30)}"], [f"g{rng.randrange(9)}"] if k % 3 else [], "서울" if k % 2 else None, "photo" if k % 5 else "video") for k in range(300)]
+    want = lambda k: {"artists": [f"a{k % 40}"] if k % 4 == 1 else [], "genres": ["g1", "g2"] if k % 5 == 0 else None, "regions": ["서울"] if k % 7 == 0 else [], "mediums": ["photo"] if k % 3 == 0 else ["video", "video"] if k % 3 == 1 else []}
+    people = [(f"u{k}", want(k)) for k in range(240)]
+    catalogue = spark.createDataFrame(items, "id string, seq long, artist_names array<string>, genre_tags array<string>, region string, medium string")
+    subscribers = spark.createDataFrame(people, "user_id string, filters struct<artists: array<string>, genres: array<string>, regions: array<string>, mediums: array<string>>")
+    expected = set()
+    for user, f in people:
+        active = {d: set(v) for d, v in f.items() if v}
+        for i, _, artists, genres, region, medium in items:
+            has = {"artists": set(artists), "genres": set(genres), "regions": {region}, "mediums": {medium}}
+            if active and all(v & has[d] for d, v in active.items()):
+                expected.add((user, i))
+    rows = notify.match_custom(subscribers, catalogue, split=32).collect()
+    assert {(r.user_id, r.id) for r in rows} == expected and len(rows) == len(expected)
+    offers = notify._offers(catalogue)
+    left, right = notify.dealt(notify.probes(subscribers, offers), offers, 32)
+    for side in (left, right):
+        assert side.groupBy("pair", "row", "cell").count().agg({"count": "max"}).first()[0] <= 2 * 32
+    # who asks for a rare artist and a common medium probes by the artist
+    lead = notify.probes(subscribers, offers).filter("pair.dimension = 'mediums' AND size(want_artists) > 0")
+    assert lead.isEmpty()
+
+
+def test_lookups_beside_missing_and_popular_keys(spark):
+    venues = spark.createDataFrame([(f"v{k}", "Hall", "서울", None if k % 2 else "addr", "KR", 1.0 if k % 3 else None, 2.0) for k in range(90)] + [(None, None, None, None, None, None, None)], "id string, name string, region string, address string, country string, latitude double, longitude double")
+    places = spark.createDataFrame([("KR", "address", "addr", 5.0, 6.0)], "backend string, kind string, query string, lat double, lng double")
+    rows = {r.id: (r.latitude, r.geo_action) for r in enrich.geocode(venues, places, False).collect()}
+    assert len(rows) == 91 and rows["v0"] == (5.0, "geocoded") and rows["v3"] == (None, "no_match") and rows["v1"] == (1.0, "payload") and rows[None] == (None, "no_match")

@@ -6,12 +6,15 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from listingmill.operators.merge import status_changes
 from listingmill.plans.ingest import State, ingest_report, report_rows, run_ingest
-from listingmill.plans.publish import build_catalog
+from listingmill.plans.publish import build_catalog, publish
 from listingmill.schemas import RAW, TABLES, empty
 from listingmill.sources.commits import Store
+from listingmill.sources.ledger import Ledger
+from listingmill.sources.tables import read_document, write_document
 from listingmill.streaming.ingest_stream import ingest_batch, stream_ingest
 
 TODAY = datetime.date(2026, 6, 1)
@@ -189,3 +192,19 @@ def test_override_to_an_artist_of_the_same_batch(spark, lookups):
     assert made == {"Alias", "Ghost", "Kim"}
     later = run_ingest(spark.createDataFrame(rows[1:], RAW), start(spark, (overrides, lookups[1])), TODAY, "2026-06-01 00:00:00")
     assert {r.name for r in later.artists.collect()} == {"Kim"}
+
+
+def test_a_document_is_published_whole_or_not_at_all(spark, lookups, tmp_path):
+    raw = spark.createDataFrame(ROWS, RAW)
+    run = run_ingest(raw, start(spark, lookups), TODAY, "2026-06-01 00:00:00")
+    stored = {n: spark.createDataFrame(getattr(run, n).drop("action").collect(), getattr(run, n).drop("action").schema) for n in TABLES}
+    path = str(tmp_path / "doc")
+    assert [publish(stored["exhibitions"], stored["venues"], stored["artists"], f"day {n}", path) for n in range(3)] == [0, 1, 2]
+    shape = StructType.fromDDL("id STRING, name STRING, title STRING")
+    entry, parts = read_document(spark, path, dict.fromkeys(("exhibitions", "venues", "artists"), shape))
+    assert entry["generated_at"] == "day 2" and entry["counts"] == {n: p.count() for n, p in parts.items()} == {"exhibitions": 2, "venues": 2, "artists": 2}
+    assert len(Ledger(spark, f"{path}/documents").numbers()) == 2 == len(Ledger(spark, f"{path}/parts").names())
+    bad = {"venues": spark.createDataFrame([("v", 1.0)], "id string, lat double"), "artists": spark.createDataFrame([("a", float("nan"))], "id string, score double")}
+    with pytest.raises(ValueError, match="NaN"):
+        write_document(bad, "day 3", path)
+    assert read_document(spark, path, {})[0] == entry and len(Ledger(spark, f"{path}/parts").names()) == 2
