@@ -99,10 +99,16 @@ class LineRuns:
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
+        """Merge join of sorted runs: counts added, the one ``top`` of a key kept.
+
+        Not a union: Spark takes one of bucketed scans for partitioned by the bucket's key and would aggregate it without a shuffle.
+        """
         whole = runs[0]
         for run in runs[1:]:
-            whole = whole.unionByName(run)
-        return whole.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"))
+            other = run.select("h", F.col("n_docs").alias("_n"), F.col("top").alias("_top"))
+            both = F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))
+            whole = whole.join(other, "h", "full").select("h", both.alias("n_docs"), F.greatest("top", "_top").alias("top"))
+        return whole
 
     def totals(self) -> DataFrame:
         """h, n_docs and top over all batches."""
