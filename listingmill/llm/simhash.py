@@ -272,10 +272,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     ordered by their hash, the first stays. A NULL id counts as the smallest number.
     """
     least = F.lit(-(1 << 63)).cast("long")
-    tagged = docs.withColumns({"_id": F.coalesce("doc_id", least), "_th": minhash.text_hash()})
-    label = minhash.components(tagged.select(F.col("_th").alias("th"), "text")).withColumnRenamed("th", "_th")
+    # The row goes along as one column, so that no name of the table meets those of the stage.
+    tagged = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("doc_id", least).alias("_id"), minhash.text_hash().alias("_th"))
+    label = minhash.components(tagged.select(F.col("_th").alias("th"), F.col("_row.text").alias("text"))).withColumnRenamed("th", "_th")
     first = tagged.groupBy("_th").agg(F.min("_id").alias("_id")).join(label, "_th", "left")
     rows = first.groupBy(F.coalesce("component", "_th")).agg(F.min(F.struct("_id", "_th")).alias("least")).select("least.*")
-    order = W.partitionBy("_id", "_th").orderBy(F.xxhash64(*docs.columns))
+    order = W.partitionBy("_id", "_th").orderBy(F.xxhash64("_row"))
     kept = tagged.join(rows, ["_id", "_th"], "left_semi").withColumn("_n", F.row_number().over(order))
-    return kept.filter(F.col("_n") == 1).select(*docs.columns)
+    return kept.filter(F.col("_n") == 1).select("_row.*")
