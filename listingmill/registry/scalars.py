@@ -139,7 +139,7 @@ def parse_date(spark, d):
     ),
 )
 def parse_date_range(spark, d):
-    rows = dates.with_date_range(td.raw_listings(spark, d), F.col("raw.date_range"))
+    rows = dates.with_date_range(td.dealt(td.raw_listings(spark, d).select("seq", "raw.date_range")), F.col("date_range"))
     return rows.select("seq", F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"))
 
 
