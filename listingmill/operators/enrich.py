@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from listingmill.functions.classify import detect_lang, row_lang, target_locales
 from listingmill.functions.translations import clear_fields, empty_tr, merge_tr, prune_fields
-from listingmill.operators.joins import lookup_join
 from listingmill.operators.ranking import position, running_total
 
 # --- fixed values -----------------------------------------------------------
@@ -34,10 +33,10 @@ def geocode(venues: DataFrame, gazetteer: DataFrame, name_with_region: bool) ->
     name = F.concat_ws(" ", F.nullif("name", F.lit("")), F.nullif("region", F.lit(""))) if name_with_region else F.col("name")
     needs = F.col("latitude").isNull() | F.col("longitude").isNull()
     query = F.nullif(F.trim(F.coalesce(F.nullif("address", F.lit("")), name)), F.lit(""))
-    # Rows that have both coordinates ask nothing: their key is NULL, and the salt spreads them.
+    # Rows that have both coordinates ask nothing: their key is NULL and matches nothing.
     asked = venues.withColumns({"_ask": F.when(needs & query.isNotNull(), F.struct(backend.alias("backend"), query.alias("query"))), "needed": needs})
     best = best.select(F.struct("backend", "query").alias("_ask"), "hit")
-    found = lookup_join(asked, best, "_ask", F.col("id"), "left")
+    found = asked.join(best, "_ask", "left")
     return found.select(
         *[
             F.when(F.col("needed") & F.col("hit").isNotNull(), F.col(f"hit.{s}")).otherwise(F.col(c)).alias(c)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from listingmill.functions.classify import map_organizer_type, map_venue_type
 from listingmill.functions.keys import artist_id, organizer_id, venue_id
 from listingmill.functions.text import normalize_name
-from listingmill.operators.joins import lookup_join
 from listingmill.operators.merge import latest_by
 from listingmill.schemas import source_registry
 
@@ -93,13 +92,13 @@ def overridden() -> Column:
 
 
 def resolve_artists(listings: DataFrame, artists: DataFrame, overrides: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """(seq, artist_ids): ids in the order of the raw names, duplicates kept. A name in most of the rows is salted."""
+    """(seq, artist_ids): ids in the order of the raw names, duplicates kept."""
     table = artist_dictionary(listings, artists, overrides) if dictionary is None else dictionary
     rows = with_arrival(listings).select("seq", "arrival", F.posexplode("artist_names").alias("pos", "raw_name"))
     found = F.when(overridden(), F.col("target")).when(F.col("norm") != "", F.col("own_id"))
     named = rows.filter(F.coalesce("raw_name", F.lit("")) != "")
     return (
-        lookup_join(named, table.select("raw_name", "norm", "own_id", "target", "target_from"), "raw_name", F.col("seq"))
+        named.join(table.select("raw_name", "norm", "own_id", "target", "target_from"), "raw_name")
         .withColumn("artist_id", found)
         .filter(F.col("artist_id").isNotNull())
         .groupBy("seq")
@@ -132,8 +131,8 @@ def resolve_venues(listings: DataFrame, venues: DataFrame, overrides: DataFrame)
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Rows with the columns of ``table`` for their key, NULL without one; popular keys and rows without a key are salted."""
-    return lookup_join(rows, table, key, F.col("seq"), "left")
+    """Rows with the columns of ``table`` for their key, NULL without one."""
+    return rows.join(table, key, "left")
 
 
 def organizer_dictionary(listings: DataFrame, organizers: DataFrame, overrides: DataFrame) -> DataFrame:

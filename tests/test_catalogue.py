@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingmill.functions import text
-from listingmill.operators import browse, cinema, enrich, joins, masters, notify, resolve
+from listingmill.operators import browse, cinema, embed, enrich, joins, masters, notify, resolve
 from listingmill.plans.search import search
 from listingmill.schemas import source_registry
 from listingmill.sources import extract, tables
@@ -261,3 +261,14 @@ def test_lookups_beside_missing_and_popular_keys(spark):
     places = spark.createDataFrame([("KR", "address", "addr", 5.0, 6.0)], "backend string, kind string, query string, lat double, lng double")
     rows = {r.id: (r.latitude, r.geo_action) for r in enrich.geocode(venues, places, False).collect()}
     assert len(rows) == 91 and rows["v0"] == (5.0, "geocoded") and rows["v3"] == (None, "no_match") and rows["v1"] == (1.0, "payload") and rows[None] == (None, "no_match")
+
+
+def test_growing_lookups_are_joined_without_copies(spark, capsys):
+    """A lookup copied for each salt is broadcast by the size of one copy, and the copies fill the driver."""
+    shows = spark.sql("SELECT 'x1' id, 1L seq, array('a1') artist_ids, 'v1' venue_id")
+    artists = spark.sql("SELECT 'a1' id, 'A' name, 'en' lang, CAST(NULL AS MAP<STRING, MAP<STRING, STRING>>) tr")
+    offers = spark.sql("SELECT 'x1' id, 1L seq, named_struct('dimension', 'mediums', 'value', 'photo') pair")
+    asked = spark.sql("SELECT 'u' user_id, named_struct('dimension', 'mediums', 'value', 'photo') pair, 1L n")
+    for df in (embed.embed_artists(shows, artists), *notify.dealt(asked, offers)):
+        df.explain(True)
+        assert "_salt" not in capsys.readouterr().out
