@@ -272,3 +272,12 @@ def test_growing_lookups_are_joined_without_copies(spark, capsys):
     for df in (embed.embed_artists(shows, artists), *notify.dealt(asked, offers)):
         df.explain(True)
         assert "_salt" not in capsys.readouterr().out
+
+
+def test_matches_do_not_shuffle_to_be_flagged(spark, monkeypatch):
+    """Equal seqs go by id, and the flag needs no join of the matches with themselves."""
+    rows = spark.createDataFrame([("u", f"e{i:02}", i // 5) for i in range(20)], "user_id string, id string, seq long")
+    monkeypatch.setattr(notify, "match_custom", lambda *_: rows)
+    log = spark.createDataFrame([("u", "custom", "e00"), ("u", "weekly_digest", "e01")], "user_id string, type string, ref string")
+    got = notify.custom_alerts(None, None, log)
+    assert sorted(r.id for r in got.collect() if r.mailed) == [f"e{i:02}" for i in range(1, 13)] and got.count() == 19
