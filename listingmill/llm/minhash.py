@@ -169,8 +169,11 @@ def _verified(texts: DataFrame) -> DataFrame:
     return contracted(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, "seq long, hub long"))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """(th, component) of every distinct text that is similar to another one, from ``th`` and ``text``."""
+def components(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(th, component) of every distinct text that is similar to another one, from ``th`` and ``text``.
+
+    ``more``: candidates (seq, hub) found by other means; like those of the bands they are compared exactly.
+    """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +185,8 @@ def components(docs: DataFrame) -> DataFrame:
 
     prints = docs.select("th", "text").mapInArrow(run, "th long, keys array<long>")
     distinct = materialize(prints.groupBy("th").agg(F.first("keys").alias("keys")), shared_dir(spark, "bands"))
-    groups = connected_components(_candidates(distinct)).select(F.col("seq").alias("th"), "component")
+    candidates = _candidates(distinct) if more is None else _candidates(distinct).unionByName(more)
+    groups = connected_components(candidates).select(F.col("seq").alias("th"), "component")
     n = F.col("n")
     parts = F.when(n <= SLICE, 1).otherwise(F.greatest(F.lit(PARTS), F.ceil(n / BLOCK))).cast("int")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", parts.alias("parts"))

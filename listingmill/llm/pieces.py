@@ -204,6 +204,13 @@ def loaded(path: str) -> Pieces:
     return Pieces.load(path)
 
 
+def _encoded(part: pa.RecordBatch, pieces: Pieces) -> pa.ListArray:
+    ids = [pieces.encode(t.as_py()) for t in part.column("text")]
+    offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.int32), *ids])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+
+
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """Every row of ``docs`` with ``ids``: array<int>, empty for NULL and empty texts.
 
@@ -217,11 +224,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [pieces.encode(t.as_py()) for t in part.column("text")]
-                offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.int32), *ids])
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, listed], names=[*part.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _encoded(part, pieces)], names=[*part.schema.names, "ids"])
 
     return kept.mapInArrow(run, schema)
 
@@ -242,9 +245,23 @@ def decode(rows: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """``docs`` with ``ids``, ``decoded`` and ``exact``: what is decoded is the text, U+2581 read as a space."""
+    """``docs`` with ``ids``, ``decoded`` and ``exact``: what is decoded is the text, U+2581 read as a space.
+
+    Both ways in one pass: two would hold two workers for each core at once, each with the vocabulary.
+    """
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
-    return decode(encode(docs, model), model).withColumn("exact", F.col("decoded") == plain)
+    kept = docs.drop("ids", "decoded")
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = loaded(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids = _encoded(part, pieces)
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pieces.decode_all(ids)], names=[*part.schema.names, "ids", "decoded"])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *made])).withColumn("exact", F.col("decoded") == plain)
 
 
 def digest(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:

@@ -264,17 +264,31 @@ def digest(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def candidates(prints: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFrame:
+    """(seq, hub) links between the doc_ids of ``fingerprints``, whose components are those of all pairs at ``near`` bits or fewer."""
+    spark = prints.sparkSession
+    prints = materialize(prints, shared_dir(spark, "fingerprints"))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), shared_dir(spark, "distinct"))
+    same = prints.join(distinct, "fp").select(F.col("doc_id").alias("seq"), F.col("first").alias("hub"))
+    ends = [distinct.select(F.col("fp").alias(end), F.col("first").alias(name)) for end, name in (("a", "seq"), ("b", "hub"))]
+    other = links(distinct, near, group).join(ends[0], "a").join(ends[1], "b").select("seq", "hub")
+    return same.unionByName(other).filter(F.col("seq") != F.col("hub"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest (id, hash of the text) stays.
 
-    Components are those of ``minhash``: 5-word shingles, exact similarity 0.8 or more. The fingerprints of the query take no part.
+    Candidates are the links of the fingerprints, found by Golay keys as in the query, and those of the bands of ``minhash``, which reach
+    further than four bits. An exact check follows for both: a component holds pairs of 5-word similarity 0.8 or more.
     Rows are told apart by id and text, so other texts under the same id or under NULL stay. Rows that share both are
     ordered by their hash, the first stays. A NULL id counts as the smallest number.
     """
     least = F.lit(-(1 << 63)).cast("long")
     # The row goes along as one column, so that no name of the table meets those of the stage.
     tagged = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("doc_id", least).alias("_id"), minhash.text_hash().alias("_th"))
-    label = minhash.components(tagged.select(F.col("_th").alias("th"), F.col("_row.text").alias("text"))).withColumnRenamed("th", "_th")
+    texts = tagged.select(F.col("_th").alias("th"), F.col("_row.text").alias("text"))
+    prints = fingerprints(texts.withColumnRenamed("th", "doc_id")).distinct()
+    label = minhash.components(texts, candidates(prints)).withColumnRenamed("th", "_th")
     first = tagged.groupBy("_th").agg(F.min("_id").alias("_id")).join(label, "_th", "left")
     rows = first.groupBy(F.coalesce("component", "_th")).agg(F.min(F.struct("_id", "_th")).alias("least")).select("least.*")
     order = W.partitionBy("_id", "_th").orderBy(F.xxhash64("_row"))

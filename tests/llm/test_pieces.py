@@ -105,3 +105,10 @@ def test_rows(docs_of):
     encoded = pieces.encode(docs)
     assert encoded.columns == [*docs.columns, "ids"]
     assert pieces.digest(docs_of([])).count() == 0
+
+
+def test_round_trip_is_one_pass(spark, capsys):
+    """Two passes in one stage hold two workers a core at once, which took the pipeline over an executor's memory."""
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    pieces.round_trip(docs).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1

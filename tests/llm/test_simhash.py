@@ -101,3 +101,12 @@ def test_documents(docs_of):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (True, 0)]
     assert simhash.keep_first(docs_of([(1, "a b"), (1, "a b")])).count() == 1
     assert simhash.digest(docs_of([])).count() == 0
+
+
+def test_the_stage_takes_the_fingerprints_candidates(docs_of, monkeypatch):
+    """Without the bands, texts with near fingerprints still meet; those that differ in the exact check stay."""
+    texts = [" ".join(f"w{i}" for i in range(300)), " ".join([*(f"w{i}" for i in range(299)), "other"]), "quite another text", "Quite  another text"]
+    monkeypatch.setattr(simhash.minhash, "_candidates", lambda distinct: distinct.sparkSession.createDataFrame([], "seq long, hub long"))
+    assert sorted(r.doc_id for r in simhash.keep_first(docs_of(texts)).collect()) == [0, 2]
+    monkeypatch.setattr(simhash, "fingerprint", lambda *_: 0)
+    assert sorted(r.doc_id for r in simhash.keep_first(docs_of(texts)).collect()) == [0, 2]
