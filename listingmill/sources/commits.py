@@ -45,6 +45,7 @@ class Manifest:
     calendar: dict = field(default_factory=dict)  # day: [folder]
     rejects: list = field(default_factory=list)
     report: dict = field(default_factory=dict)
+    listed: list = field(default_factory=list)  # folders of the dates that listings gave
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -123,7 +124,7 @@ class Store:
 
     # -- writing -----------------------------------------------------------
 
-    def commit(self, changes: dict[str, DataFrame], run: str, today: datetime.date | None = None, rejects: DataFrame | None = None, report: dict | None = None) -> Manifest:
+    def commit(self, changes: dict[str, DataFrame], run: str, today: datetime.date | None = None, rejects: DataFrame | None = None, report: dict | None = None, listed: DataFrame | None = None) -> Manifest:
         """Make the rows of ``changes`` part of the tables, in place of rows with their id. A run is committed once."""
         last = self.manifest()
         if self.committed(run):
@@ -136,6 +137,8 @@ class Store:
             steps["calendar"] = partial(self._plan_days, changes["exhibitions"], version, today)
         if rejects is not None:
             steps["rejects"] = partial(self._put_aside, rejects, f"rejects/{version}")
+        if listed is not None:
+            steps["listed"] = partial(self._log_dates, listed, f"listed/{version}")
         done = together(steps)
         for table in changes:
             if done[table]:
@@ -147,7 +150,8 @@ class Store:
         kept = [*last.rejects, *done.get("rejects", [])]
         named = {p.split("/")[1] for t in tables.values() for p in t.values()}
         made = Manifest(
-            last.number + 1, run, str(today) if today else last.day, tables, {v: d for v, d in schemas.items() if v in named}, calendar, kept, report or {}
+            last.number + 1, run, str(today) if today else last.day, tables, {v: d for v, d in schemas.items() if v in named}, calendar, kept, report or {},
+            [*last.listed, *done.get("listed", [])],
         )
         self._publish(made)
         return made
@@ -175,6 +179,15 @@ class Store:
         rejects.write.mode("overwrite").parquet(f"{self.root}/{folder}")
         return [folder]
 
+    def _log_dates(self, listings: DataFrame, folder: str) -> list[str]:
+        listings.select("id", "start_date", "end_date").distinct().write.mode("overwrite").parquet(f"{self.root}/{folder}")
+        return [folder]
+
+    def listed(self) -> DataFrame:
+        """(id, start_date, end_date) of all listings, each once. The tables keep a show's last listing; its id doesn't tell end dates apart."""
+        schema, folders = "id STRING, start_date DATE, end_date DATE", [f"{self.root}/{p}" for p in self.manifest().listed]
+        return (self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)).distinct()
+
     def _numbers(self, folder: str, column: str) -> list[str]:
         return [n.removeprefix(f"{column}=") for n in self._files.names(folder) if n.startswith(f"{column}=")]
 

@@ -63,7 +63,7 @@ def ingest_batch(store: Store, raw: DataFrame, overrides: DataFrame, gazetteer:
     keep = lambda table: materialize(merged[table].filter(F.col("action").isin(*CHANGED)).drop("action"), shared_dir(spark, f"changed-{table}"))
     changes = together({table: partial(keep, table) for table in merged})
     report = {**listings.get, **shows.get, "duration": round(time.monotonic() - began, 3)}
-    store.commit(changes, run_name, today, run.rejects, report)
+    store.commit(changes, run_name, today, run.rejects, report, run.listings)
 
 
 def stream_ingest(

@@ -208,3 +208,12 @@ def test_a_document_is_published_whole_or_not_at_all(spark, lookups, tmp_path):
     with pytest.raises(ValueError, match="NaN"):
         write_document(bad, "day 3", path)
     assert read_document(spark, path, {})[0] == entry and len(Ledger(spark, f"{path}/parts").names()) == 2
+
+
+def test_dates_of_listings_with_one_id(spark, tmp_path):
+    """A show listed with two end dates is one row of the table; the log of dates tells both, also when they come again."""
+    store = Store(spark, str(tmp_path))
+    rows = spark.sql("SELECT 'a' id, DATE'2026-05-01' start_date, end_date, 'x' title FROM VALUES (DATE'2026-05-02'), (CAST(NULL AS DATE)), (DATE'2026-05-02') AS t(end_date)")
+    for run in ("r1", "r2"):
+        store.commit({}, run, listed=rows)
+    assert sorted(str(r.end_date) for r in store.listed().collect()) == ["2026-05-02", "None"]
