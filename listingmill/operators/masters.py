@@ -123,6 +123,7 @@ def select_master_works(seeds: DataFrame, works: DataFrame, cap: int = WORKS_CAP
     Authored works come first in authored order, then found ones by highlight, year, thumbnail.
     One row per work id is kept by a map-side combined minimum; the cap is a ``row_number`` limit,
     which Spark also applies before the shuffle, so a master with most of the works stays cheap.
+    Found works of one search rank are told apart by their id.
     """
     wanted = seeds.select(F.col("id").alias("master_id"), F.posexplode("sources").alias("list_pos", "s")).select(
         "master_id", "list_pos", "s.source", "s.object_ids"
@@ -165,7 +166,7 @@ def select_master_works(seeds: DataFrame, works: DataFrame, cap: int = WORKS_CAP
         .drop("exclude_titles", "exclude_ids", "title_overrides")
     )
     once = first_by(candidates, ["master_id", "work_id"], "at")
-    return once.withColumn("rank", F.row_number().over(W.partitionBy("master_id").orderBy("at"))).filter(
+    return once.withColumn("rank", F.row_number().over(W.partitionBy("master_id").orderBy("at", "work_id"))).filter(
         F.col("rank") <= cap
     )
 

@@ -158,6 +158,16 @@ def test_work_selection(spark):
     assert [(r.work_id, r.title) for r in got] == [("aic-9", "T"), ("aic-1", "Renamed"), ("aic-2", "T"), ("aic-3", "T")]
 
 
+def test_works_of_one_search_rank_come_by_id(spark):
+    cols = "master_id string, source string, source_object_id string, title string, year string, medium string, image_url string, thumb_url string, source_url string, credit string, is_public_domain boolean, is_highlight boolean, seq long"
+    rows = [("m", "aic", oid, "T", "1900", None, "i", "t", "", "", True, False, 5) for oid in ("3", "1", "4", "2")]
+    src = "sources array<struct<source:string,query:string,object_ids:array<string>,artist:string>>"
+    seeds = spark.createDataFrame([("m", [], [], [], {})], f"id string, {src}, exclude_titles array<string>, exclude_ids array<string>, title_overrides map<string,string>")
+    for given in (rows, rows[::-1], [rows[2], *rows[:2], rows[3]]):
+        got = masters.select_master_works(seeds, spark.createDataFrame(given, cols), cap=2).orderBy("rank").collect()
+        assert [r.work_id for r in got] == ["aic-1", "aic-2"]
+
+
 def test_credit_match(spark):
     files = [
         ("File:Portrait of Eugène Atget.jpg", "Eugène Atget", ""), ("File:Eugène Atget (1899).jpg", "Eugène Atget", ""), ("File:Atget Eugène.jpg", "", ""),
