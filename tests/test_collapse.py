@@ -105,6 +105,35 @@ def test_long_chain_settles_quickly(spark):
     assert {r.component for r in got} == {0} and len(got) == 300
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_random_links(spark, seed):
+    """Chains, stars, cycles and links of a row to itself, with negative ids: the smallest id of each component."""
+    rng = random.Random(seed)
+    links = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(1000 + k, 1000) for k in range(50)] + [(5000, 5000)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = collapse.connected_components(spark.createDataFrame(links, "seq long, hub long")).collect()
+    assert sorted((r.seq, r.component) for r in got) == sorted((x, find(x)) for x in list(parent))
+    assert collapse.connected_components(spark.createDataFrame([], "seq long, hub long")).count() == 0
+
+
+def test_rows_go_through_the_rounds_once(spark, monkeypatch):
+    """Links between hubs only: far fewer than rows, where each row has several signals."""
+    seen = []
+    whole = collapse.connected_components
+    monkeypatch.setattr(collapse, "connected_components", lambda links, **kw: seen.append(links.count()) or whole(links, **kw))
+    rows = [row(i, "artmap" if i % 2 else "pgi", f"t{i % 7}", venue=f"v{i % 5}", poster=f"p{i % 6}") for i in range(600)]
+    got = collapse.with_component(spark.createDataFrame(rows, DDL)).collect()
+    assert {r.component for r in got} == {0} and seen[0] < 60
+
+
 def test_hot_group_links_stay_linear_and_split(spark):
     """A third of the rows in one group: no more links than rows per signal, no hub with more than its slice."""
     rows = [row(i, "artmap" if i % 2 else "pgi", "Hot" if i % 3 == 0 else f"t{i}", venue=f"v{i}") for i in range(3000)]
