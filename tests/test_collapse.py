@@ -124,6 +124,18 @@ def test_components_of_random_links(spark, seed):
     assert collapse.connected_components(spark.createDataFrame([], "seq long, hub long")).count() == 0
 
 
+def test_rounds_contract_the_links(spark, monkeypatch):
+    """A star of stars: links go down from round to round, so all rounds together join little more than the first."""
+    written = []
+    real = collapse.materialize
+    monkeypatch.setattr(collapse, "materialize", lambda df, path: written.append((path.split("/")[-1], out := real(df, path))) or out)
+    links = [(k, k % 20) for k in range(20, 1000)] + [(k, k + 1) for k in range(20)]
+    got = collapse.connected_components(spark.createDataFrame(links, "seq long, hub long")).collect()
+    assert len(got) == 1000 and {r.component for r in got} == {0}
+    counts = {name: df.count() for name, df in written if name.startswith("links")}
+    assert counts["links"] == 1000 and counts["links-0"] < 800 and sum(counts.values()) < 3000, counts
+
+
 def test_rows_go_through_the_rounds_once(spark, monkeypatch):
     """Links between hubs only: far fewer than rows, where each row has several signals."""
     seen = []
