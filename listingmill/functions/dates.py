@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingmill.functions.text import strip
+from listingmill.functions.text import bind, strip
 
 # --- fixed values -----------------------------------------------------------
 RANGE_SEPARATOR = r"(?U)\s*[~–—〜～－]\s*|\s+-\s+"
@@ -125,16 +125,22 @@ def with_date_range(df: DataFrame, raw: Column, start: str = "start_date", end:
 
 
 def _span(text: Column, pattern: str) -> Column:
-    hit = F.regexp_extract(text, pattern, 0)
-    sy, sm, sd = (_group(hit, pattern, i) for i in (1, 2, 3))
-    ey = F.coalesce(_group(hit, pattern, 4), sy)
-    em = F.coalesce(_group(hit, pattern, 5), sm)
-    ed = _group(hit, pattern, 6)
-    start, end = _date(sy, sm, sd), _date(ey, em, ed)
-    return F.when(
-        start.isNotNull() & end.isNotNull(),
-        F.concat(F.date_format(start, "yyyy.MM.dd"), F.lit("~"), F.date_format(end, "yyyy.MM.dd")),
-    )
+    """The text is searched once; its groups and dates are read from the match."""
+
+    def ends(hit: Column) -> Column:
+        sy, sm, sd = (_group(hit, pattern, i) for i in (1, 2, 3))
+        ey = F.coalesce(_group(hit, pattern, 4), sy)
+        em = F.coalesce(_group(hit, pattern, 5), sm)
+        ed = _group(hit, pattern, 6)
+        return F.struct(_date(sy, sm, sd).alias("start"), _date(ey, em, ed).alias("end"))
+
+    def written(d: Column) -> Column:
+        return F.when(
+            d["start"].isNotNull() & d["end"].isNotNull(),
+            F.concat(F.date_format(d["start"], "yyyy.MM.dd"), F.lit("~"), F.date_format(d["end"], "yyyy.MM.dd")),
+        )
+
+    return bind(bind(F.regexp_extract(text, pattern, 0), ends), written)
 
 
 def extract_date_range(text: Column) -> Column:

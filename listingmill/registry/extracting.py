@@ -203,7 +203,7 @@ def extract_rss_items(spark, d):
             '</category><category>etc</category><description><![CDATA[<img src="//img.example.org/', doc_id, '.jpg"><b>2026. 5. 19 ~ 6. 1</b> ', {esc}, ']]></description></item>')"""
     )
     path = shared_dir(spark, "feed")
-    td.table(spark, d, "documents").select(F.replace(item, F.lit("\n"), F.lit(" ")).alias("value")).write.text(path)
+    td.texts(spark, d, "documents").select(F.replace(item, F.lit("\n"), F.lit(" ")).alias("value")).write.text(path)
     return extract.rss_rows(extract.read_rss(spark, path), "blog.example.org")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from listingmill.functions.text import clean_whitespace, decode_entities
+from listingmill.functions.text import bind, clean_whitespace, decode_entities
 
 # --- fixed values -----------------------------------------------------------
 #: Elements that may lack an end tag: what nests them anew, and what ends them.
@@ -50,11 +50,6 @@ def group(text: Column, pattern: Column, number: int) -> Column:
     return F.call_function("regexp_extract", text, pattern, F.lit(number))
 
 
-def bind(value: Column, use) -> Column:
-    """``use`` of a value that it names several times: the value is planned and computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def settled(rows: DataFrame) -> DataFrame:
     """The same rows; filters that follow read their values instead of repeating the expressions behind them.
 
