@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from listingmill.functions.dates import NUMERIC, extract_date_range
 from listingmill.functions.text import (
     MIN_DESCRIPTION_LEN,
+    bind,
     clean_listing_title,
     clean_whitespace,
     decode_entities,
@@ -124,15 +125,15 @@ def poster(html: Column, host: str, fallback: Column | None = None) -> Column:
 def paragraphs(html: Column) -> Column:
     """Cleaned texts of the ``<p>`` elements, blanks dropped."""
     opened = F.split(html, r"(?i)<p(?=[\s>])[^>]*>")
-    bodies = F.transform(F.slice(opened, 2, F.size(opened)), lambda b: F.get(F.split(b, "(?i)</p>", 2), F.lit(0)))
+    after = bind(opened, lambda o: F.slice(o, 2, F.size(o)))
+    bodies = F.transform(after, lambda b: F.get(F.split(b, "(?i)</p>", 2), F.lit(0)))
     return F.filter(F.transform(bodies, strip_markup), lambda p: p != "")
 
 
 def paragraph_text(html: Column) -> Column:
     """Paragraphs joined by a blank line, else the whole text; NULL below the minimum length."""
-    parts = paragraphs(html)
-    text = F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(strip_markup(html))
-    return F.when(F.length(text) >= MIN_DESCRIPTION_LEN, text)
+    text = bind(paragraphs(html), lambda parts: F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(strip_markup(html)))
+    return bind(text, lambda t: F.when(F.length(t) >= MIN_DESCRIPTION_LEN, t))
 
 
 def prose_paragraphs(parts: Column) -> Column:

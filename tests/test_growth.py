@@ -21,6 +21,12 @@ def column(spark, fn) -> str:
     return plan(spark.createDataFrame([("x",)], "v string").select(fn(F.col("v")).alias("r")))
 
 
+def test_pages_are_searched_once(spark):
+    assert column(spark, extract.paragraph_text).count("(?i)</p>") == 1
+    labels = column(spark, lambda c: extract.label_fields(extract.label_table(c)))
+    assert labels.count("</th>\\s*<td[^>]*>(.*?)</td>, 0)") == 1
+
+
 def test_feed_texts_are_searched_once_for_dates(spark, one):
     assert column(spark, dates.extract_date_range).count(f"{dates.DOTTED_SPAN}, 0)") == 1
     assert one(["x 2026. 5. 19 ~ 6. 1 y", "2026.2.30 ~ 3.1", "none", None], dates.extract_date_range) == ["2026.05.19~2026.06.01", None, None, None]
