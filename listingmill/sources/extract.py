@@ -152,29 +152,33 @@ def longest_block(blocks: Column, html: Column) -> Column:
 
 
 def label_table(html: Column) -> Column:
-    """``<th>label</th><td>value</td>`` pairs as a map; the last value of a label wins."""
-    pattern = F.lit(r"(?is)<th[^>]*>(.*?)</th>\s*<td[^>]*>(.*?)</td>")
-    names = F.transform(
-        F.regexp_extract_all(html, pattern, F.lit(1)), lambda n: F.regexp_replace(strip_markup(n), r"\s*\|\s*$", "")
-    )
-    cells = F.transform(F.regexp_extract_all(html, pattern, F.lit(2)), strip_markup)
-    pairs = F.filter(F.arrays_zip(names.alias("label"), cells.alias("value")), lambda e: e["label"] != "")
-    # map keys must be unique: keep a pair only when no later pair has its label
-    last = F.filter(
-        pairs,
-        lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["label"] == e["label"]),
+    """``<th>label</th><td>value</td>`` pairs as a map; the last value of a label wins.
+
+    The page is searched once, and a pair is read from its match.
+    """
+    pattern = r"(?is)<th[^>]*>(.*?)</th>\s*<td[^>]*>(.*?)</td>"
+
+    def pair(found: Column) -> Column:
+        name = F.regexp_replace(strip_markup(F.regexp_extract(found, pattern, 1)), r"\s*\|\s*$", "")
+        return F.struct(name.alias("label"), strip_markup(F.regexp_extract(found, pattern, 2)).alias("value"))
+
+    pairs = F.filter(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), pair), lambda e: e["label"] != "")
+    return F.map_from_entries(_last_of_key(pairs, "label"))
+
+
+def _last_of_key(entries: Column, key: str) -> Column:
+    """Map keys must be unique: an entry stays only when no later one has its key."""
+    return bind(
+        entries,
+        lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later[key] == e[key])),
     )
-    return F.map_from_arrays(F.transform(last, lambda e: e["label"]), F.transform(last, lambda e: e["value"]))
 
 
 def label_fields(table: Column) -> Column:
     """The label map renamed to listing fields; unknown labels and blank values dropped."""
     kept = F.map_filter(table, lambda k, v: k.isin(*LABEL_FIELDS) & (v != ""))
     entries = F.transform(F.map_entries(kept), lambda e: F.struct(lookup(LABEL_FIELDS, e["key"]).alias("key"), e["value"].alias("value")))
-    unique = F.filter(
-        entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])
-    )
-    return F.map_from_entries(unique)
+    return F.map_from_entries(_last_of_key(entries, "key"))
 
 
 def organizer(paragraph_texts: Column) -> Column:

@@ -27,6 +27,12 @@ def test_pages_are_searched_once(spark):
     assert labels.count("</th>\\s*<td[^>]*>(.*?)</td>, 0)") == 1
 
 
+def test_label_tables_keep_the_last_of_a_label(one):
+    page = "<table><tr><th>주소</th><td>old</td></tr><tr><th>주소 |</th> <td>a &lt;b&gt;</td></tr><tr><th> </th><td>x</td></tr></table>"
+    assert one([page, "<p>no table</p>", None], extract.label_table) == [{"주소": "a <b>"}, {}, None]
+    assert one([page], lambda c: extract.label_fields(extract.label_table(c))) == [{"venue_address": "a <b>"}]
+
+
 def test_feed_texts_are_searched_once_for_dates(spark, one):
     assert column(spark, dates.extract_date_range).count(f"{dates.DOTTED_SPAN}, 0)") == 1
     assert one(["x 2026. 5. 19 ~ 6. 1 y", "2026.2.30 ~ 3.1", "none", None], dates.extract_date_range) == ["2026.05.19~2026.06.01", None, None, None]
