@@ -223,7 +223,7 @@ def parse_price_table(spark, d):
     cell = F.expr(
         f"""CASE seq % 4 WHEN 0 THEN concat('· 성인: ', {won}, '\\n\\n어린이 무료\\n단체 할인 20%') WHEN 1 THEN concat('성인/학생: ', {won}, '/', {half}) WHEN 2 THEN '입장: Free' ELSE '문의 바랍니다' END"""
     )
-    rows = td._orders(spark, d).select("seq", cell.alias("cell"))
+    rows = td.dealt(td._orders(spark, d).select("seq")).select("seq", cell.alias("cell"))
     rows = rows.select("seq", values.parse_price_table(F.col("cell")).alias("p"))
     tiers = F.array_join(F.transform("p.breakdown", lambda t: F.concat(t["label"], F.lit("="), t["amount"].cast("string"))), ";")
     return rows.select(

@@ -21,6 +21,11 @@ def column(spark, fn) -> str:
     return plan(spark.createDataFrame([("x",)], "v string").select(fn(F.col("v")).alias("r")))
 
 
+def test_price_lines_are_read_once_and_dealt(spark):
+    assert column(spark, values.parse_price_table).count("regexp_extract_all(") == 1
+    assert query(spark, "parse_price_table").rdd.getNumPartitions() == 4
+
+
 def test_pages_are_searched_once(spark):
     assert column(spark, extract.paragraph_text).count("(?i)</p>") == 1
     labels = column(spark, lambda c: extract.label_fields(extract.label_table(c)))
