@@ -13,6 +13,7 @@ from listingmill.operators.ranking import position, running_total
 SCOPE = {"exhibitions": ("title", "description"), "venues": ("name",), "artists": ("name",)}
 TABLE_RANK = {"exhibitions": 0, "venues": 1, "artists": 2}
 BATCH_JOBS = 10
+PROGRESS_TASKS = 192  # below the bound of 200 up to which shuffles are written without a sort in memory
 # -----------------------------------------------------------------------------
 
 
@@ -159,13 +160,27 @@ def apply_translations(df: DataFrame, results: DataFrame, table: str, order: str
 
 
 def translation_progress(jobs: DataFrame, results: DataFrame, seen: DataFrame) -> DataFrame:
-    """Per table: rows seen and patched, jobs pending, translated, failed and remaining."""
+    """Per table: rows seen and patched, jobs pending, translated, failed and remaining.
+
+    Jobs and results are dealt together by row into ``PROGRESS_TASKS`` tasks or more and counted there, so that no task
+    sorts or keeps more than its share; the size of compressed shuffles says little of these rows, whose texts repeat.
+    A job counts once for each of its results, or once without one.
+    """
     keys = ["table", "id", "field", "locale"]
-    state = jobs.join(results.select(*keys, "failed"), keys, "left").groupBy("table", "id").agg(
-        F.count(F.lit(1)).alias("pending"),
+    given = results.dropna(subset=keys).select(*keys, F.lit(0).alias("job"), F.lit(1).alias("result"), "failed")
+    asked = jobs.select(*keys, F.lit(1).alias("job"), F.lit(0).alias("result"), F.lit(None).cast("boolean").alias("failed"))
+    tasks = max(PROGRESS_TASKS, int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of_job = asked.unionByName(given).repartition(tasks, "table", "id").groupBy(*keys).agg(
+        F.sum("job").alias("n"),
+        F.greatest(F.sum("result"), F.lit(1)).alias("results"),
         F.count_if(~F.col("failed")).alias("translated"),
         F.count_if("failed").alias("errors"),
     )
+    state = of_job.filter("n > 0").groupBy("table", "id").agg(
+        F.sum(F.col("n") * F.col("results")).alias("pending"),
+        F.sum(F.col("n") * F.col("translated")).alias("translated"),
+        F.sum(F.col("n") * F.col("errors")).alias("errors"),
+    )
     counts = state.groupBy("table").agg(
         F.sum("pending").alias("fields_pending"),
         F.sum("translated").alias("fields_translated"),

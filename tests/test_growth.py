@@ -6,7 +6,10 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from listingmill.functions import dates, values
+from listingmill.operators import enrich, resolve
+from listingmill.schemas import empty
 from listingmill.sources import extract
+from listingmill.sources import testdata as td
 
 
 def plan(df) -> str:
@@ -41,3 +44,16 @@ def test_label_tables_keep_the_last_of_a_label(one):
 def test_feed_texts_are_searched_once_for_dates(spark, one):
     assert column(spark, dates.extract_date_range).count(f"{dates.DOTTED_SPAN}, 0)") == 1
     assert one(["x 2026. 5. 19 ~ 6. 1 y", "2026.2.30 ~ 3.1", "none", None], dates.extract_date_range) == ["2026.05.19~2026.06.01", None, None, None]
+
+
+def test_translation_progress_is_counted_in_small_tasks_without_a_join(spark):
+    job = "table string, id string, field string, locale string"
+    jobs = spark.createDataFrame([("a", "1", "name", "en"), ("a", "1", "name", "ja"), ("a", "2", "name", "en"), ("a", None, "name", "en"), ("v", "1", "name", "ko")], job)
+    rows = [("a", "1", "name", "en", False), ("a", "1", "name", "ja", True), ("a", "1", "name", "ja", False), ("a", "2", "name", "en", None), ("a", "2", "title", "en", False), ("a", None, "name", "en", False)]
+    results = spark.createDataFrame(rows, f"{job}, failed boolean")
+    seen = spark.createDataFrame([("a",), ("a",), ("v",), ("x",)], "table string")
+    out = enrich.translation_progress(jobs, results, seen)
+    text = plan(out)
+    assert "RepartitionByExpression" in text and text.count("Join ") == 1  # that of the few tables
+    got = {r.table: (r.rows_seen, r.rows_patched, r.fields_pending, r.fields_translated, r.errors, r.fields_remaining) for r in out.collect()}
+    assert got == {"a": (2, 1, 5, 2, 1, 3), "v": (1, 0, 1, 0, 0, 1), "x": (1, 0, 0, 0, 0, 0)}
