@@ -7,6 +7,9 @@ row, so "created by an earlier row" equals "same key", and the creator is the fi
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ from listingmill.functions.keys import artist_id, organizer_id, venue_id
 from listingmill.functions.text import normalize_name
 from listingmill.operators.merge import latest_by
 from listingmill.schemas import source_registry
+from listingmill.session import materialize, shared_dir
+
+# What the ids of a listing depend on; its artists go by ``seq``.
+RESOLVED_BY = ("seq", "venue_name", "organizer_name")
 
 
 def override_table(overrides: DataFrame, entity: str) -> DataFrame:
@@ -47,7 +54,8 @@ def artist_dictionary(listings: DataFrame, artists: DataFrame, overrides: DataFr
     batch whose name, itself without an override, makes that artist. Targets that never exist are left out. ``artists`` need
     only hold the batch's names if ``artist_ids`` tells the ids of all.
     """
-    names = mentions(listings, F.explode("artist_names"))
+    # read by three joins below: composed once, outside the JVM, and not once for each
+    names = materialize(mentions(listings, F.explode("artist_names")), shared_dir(listings.sparkSession, "artist-mentions"))
     rules = override_table(overrides, "artist").withColumnRenamed("pattern", "raw_name")
     named = names.select("norm").distinct().withColumnRenamed("norm", "name_normalized")
     known = (
@@ -167,14 +175,24 @@ def resolve_listings(
     listings: DataFrame, artists: DataFrame, venues: DataFrame, organizers: DataFrame, overrides: DataFrame, dictionary: DataFrame | None = None
 ) -> DataFrame:
     """Listings with artist_ids, venue_id and organizer_id. ``dictionary`` is that of the artists, where the caller has it."""
+    ids = materialize(resolved_ids(listings, artists, venues, organizers, overrides, dictionary), shared_dir(listings.sparkSession, "resolved-ids"))
+    asked = {f"_{key}": F.col(key).eqNullSafe(F.col(f"_{key}")) for key in RESOLVED_BY}
+    out = listings.join(ids.withColumnsRenamed({key: f"_{key}" for key in RESOLVED_BY}), reduce(and_, asked.values()), "left").drop(*asked)
+    return out.withColumn("artist_ids", F.coalesce("artist_ids", F.array().cast("array<string>")))
+
+
+def resolved_ids(
+    listings: DataFrame, artists: DataFrame, venues: DataFrame, organizers: DataFrame, overrides: DataFrame, dictionary: DataFrame | None = None
+) -> DataFrame:
+    """(seq, venue_name, organizer_name, venue_id, organizer_id, artist_ids), once for each of the first three, which may be NULL
+    or, where a listing comes again, repeat: names go through the joins, whole rows don't."""
     venue_ids = venue_dictionary(listings, venues, overrides).select("venue_name", "venue_id")
     organizer_ids = organizer_dictionary(listings, organizers, overrides).select(F.col("raw_name").alias("organizer_name"), "organizer_id")
-    out = _looked_up(_looked_up(listings, venue_ids, "venue_name"), organizer_ids, "organizer_name")
-    out = out.withColumn("venue_id", F.coalesce("venue_id", F.lit(""))).withColumn("organizer_id", F.coalesce("organizer_id", "venue_id"))
-    ids = resolve_artists(listings, artists, overrides, dictionary)
-    return out.join(ids, "seq", "left").withColumn(
-        "artist_ids", F.coalesce("artist_ids", F.array().cast("array<string>"))
-    )
+    names = listings.select(*RESOLVED_BY).distinct()
+    out = _looked_up(_looked_up(names, venue_ids, "venue_name"), organizer_ids, "organizer_name")
+    venue_id = F.coalesce("venue_id", F.lit(""))
+    out = out.select(*RESOLVED_BY, venue_id.alias("venue_id"), F.coalesce("organizer_id", venue_id).alias("organizer_id"))
+    return out.join(resolve_artists(listings, artists, overrides, dictionary), "seq", "left")
 
 
 def new_artists(listings, artists, overrides, registry, stamp, dictionary: DataFrame | None = None) -> DataFrame:

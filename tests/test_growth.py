@@ -57,3 +57,18 @@ def test_translation_progress_is_counted_in_small_tasks_without_a_join(spark):
     assert "RepartitionByExpression" in text and text.count("Join ") == 1  # that of the few tables
     got = {r.table: (r.rows_seen, r.rows_patched, r.fields_pending, r.fields_translated, r.errors, r.fields_remaining) for r in out.collect()}
     assert got == {"a": (2, 1, 5, 2, 1, 3), "v": (1, 0, 1, 0, 0, 1), "x": (1, 0, 0, 0, 0, 0)}
+
+
+def test_listings_are_dealt_before_they_are_parsed(spark):
+    assert td.raw_listings(spark, entry.SMOKE_DIR).rdd.getNumPartitions() == 4
+
+
+def test_listings_of_one_number_keep_their_own_venues(spark):
+    listing = "seq long, source string, artist_names array<string>, venue_name string, organizer_name string"
+    rows = [(1, "pgi", ["Ann"], "Hall A", None), (1, "pgi", [], "Hall B", "Org"), (None, "koba", ["Bo"], "Hall C", None), (2, "koba", ["Cy"], None, None), (2, "koba", ["Cy"], None, None)]
+    tables = [empty(spark, n) for n in ("artists", "venues", "organizers")]
+    overrides = spark.createDataFrame([], "entity_type string, match_pattern string, canonical_id string, note string, seq long")
+    out = resolve.resolve_listings(spark.createDataFrame(rows, listing), *tables, overrides)
+    assert "venue_name" in out.columns and not [c for c in out.columns if c.startswith("_")]
+    got = sorted((r.venue_name or "", r.venue_id != "", r.organizer_id == r.venue_id, len(r.artist_ids)) for r in out.collect())
+    assert got == [("", False, True, 2), ("", False, True, 2), ("Hall A", True, True, 1), ("Hall B", True, False, 1), ("Hall C", True, True, 0)]
