@@ -63,6 +63,12 @@ def test_listings_are_dealt_before_they_are_parsed(spark):
     assert td.raw_listings(spark, entry.SMOKE_DIR).rdd.getNumPartitions() == 4
 
 
+def test_resolution_reads_its_listings_and_names_once(spark):
+    for name in ("resolve_artists", "new_entities"):
+        text = plan(query(spark, name))
+        assert "o_orderkey" not in text and "ArrowEvalPython" not in text.split("Join")[0], name
+
+
 def test_listings_of_one_number_keep_their_own_venues(spark):
     listing = "seq long, source string, artist_names array<string>, venue_name string, organizer_name string"
     rows = [(1, "pgi", ["Ann"], "Hall A", None), (1, "pgi", [], "Hall B", "Org"), (None, "koba", ["Bo"], "Hall C", None), (2, "koba", ["Cy"], None, None), (2, "koba", ["Cy"], None, None)]
