@@ -51,7 +51,8 @@ def has_any(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
 
 
-def _folded(text: Column) -> Column:
+def folded(text: Column) -> Column:
+    """The text that words are looked up in. Every word names it again, so a plan of many columns stages it."""
     return F.lower(F.coalesce(text, F.lit("")))
 
 
@@ -63,7 +64,10 @@ def _first_label(text: Column, table, chain: Column | None = None) -> Column:
 
 
 def map_medium(text: Column) -> Column:
-    t = _folded(text)
+    return medium_of(folded(text))
+
+
+def medium_of(t: Column) -> Column:
     photo, video, gear = (has_any(t, w) for w in (PHOTO_WORDS, VIDEO_WORDS, GEAR_WORDS))
     return (
         F.when(photo & video, F.lit("mixed"))
@@ -75,8 +79,12 @@ def map_medium(text: Column) -> Column:
 
 
 def map_exhibition_type(text: Column, title: Column, artist_count: Column) -> Column:
-    chain = _first_label(_folded(text), TYPE_WORDS)
-    chain = _first_label(_folded(title), TITLE_TYPE_WORDS, chain)
+    return exhibition_type_of(folded(text), folded(title), artist_count)
+
+
+def exhibition_type_of(text: Column, title: Column, artist_count: Column) -> Column:
+    chain = _first_label(text, TYPE_WORDS)
+    chain = _first_label(title, TITLE_TYPE_WORDS, chain)
     return (
         chain.when(artist_count == 1, F.lit("solo"))
         .when(artist_count >= 2, F.lit("group"))
@@ -85,15 +93,18 @@ def map_exhibition_type(text: Column, title: Column, artist_count: Column) -> Co
 
 
 def map_venue_type(text: Column) -> Column:
-    return _first_label(_folded(text), VENUE_WORDS).otherwise(F.lit("other"))
+    return _first_label(folded(text), VENUE_WORDS).otherwise(F.lit("other"))
 
 
 def map_organizer_type(text: Column) -> Column:
-    return _first_label(_folded(text), ORGANIZER_WORDS).otherwise(F.lit("other"))
+    return _first_label(folded(text), ORGANIZER_WORDS).otherwise(F.lit("other"))
 
 
 def map_fee_type(text: Column, price_min: Column, price_max: Column) -> Column:
-    t = _folded(text)
+    return fee_type_of(folded(text), price_min, price_max)
+
+
+def fee_type_of(t: Column, price_min: Column, price_max: Column) -> Column:
     priced = price_min.isNotNull() & price_max.isNotNull()
     return (
         F.when(has_any(t, PARTIAL_FEE_WORDS), F.lit("partial"))

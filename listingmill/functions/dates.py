@@ -26,8 +26,8 @@ MONTH = (
     "|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-MONTH_FIRST = rf"(?i)^{MONTH}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s+(\d{{4}})$"
-DAY_FIRST = rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?\s+{MONTH}\.?\s*,?\s+(\d{{4}})$"
+MONTH_FIRST = rf"(?i:{MONTH}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s+(\d{{4}}))"
+DAY_FIRST = rf"(?i:(\d{{1,2}})(?:st|nd|rd|th)?\s+{MONTH}\.?\s*,?\s+(\d{{4}}))"
 WEEKDAY_PARENS = r"[（(]\s*[월화수목금토일月火水木金土日]\s*[）)]"
 ENGLISH_WEEKDAY_PARENS = r"(?i)[（(]\s*(?:mon|tue|wed|thu|fri|sat|sun)\s*[）)]"
 DOTTED_SPAN = (
@@ -41,41 +41,39 @@ JAPANESE_SPAN = (
 )
 # -----------------------------------------------------------------------------
 
+# Every notation in the order of its claim on a text, the first two anywhere in it; a text of none leaves all groups empty.
+NOTATIONS = rf"^(?:(?s:(?:.*?{KOREAN}|.*?{JAPANESE}|{NUMERIC[1:]}).*)|{MONTH_FIRST}|{DAY_FIRST}|(?s:.*))$"
+MONTH_NAME = "[A-Za-z]+"
+YEAR_MONTH_DAY = "$1$4$7$12$15-$2$5$8$10$14-$3$6$9$11$13"
+
 
 def _date(y: Column, m: Column, d: Column) -> Column:
     """A date from numeric or text parts, NULL when impossible (``make_date`` throws under ANSI)."""
     parts = [p.cast("string") for p in (y, m, d)]
-    return F.try_to_date(F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]), "yyyy-M-d")
+    return F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]).try_cast("date")
 
 
 def _group(c: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
 
 
-def _reordered(c: Column, pattern: str) -> Column:
-    """Rewrite text around the first match to ``y-m-d`` in one regex pass."""
-    anchored = pattern if pattern.startswith("^") else f"^.*?{pattern}"
-    return F.regexp_replace(c, f"(?s){anchored}.*$", "$1-$2-$3")
-
-
 def _month_number(name: Column) -> Column:
     return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(name, 1, 3)))
 
 
-def parse_date(raw: Column) -> Column:
-    """Every notation is rewritten to ``y-m-d`` text and parsed once; an impossible date is NULL."""
-    c = strip(raw)
+def _ordered(raw: Column) -> Column:
+    """``y-m-d`` of any notation in one regex pass, a month maybe by name; ``--`` where none is."""
+    return F.regexp_replace(strip(raw), NOTATIONS, YEAR_MONTH_DAY)
 
-    def english(pattern: str, month: int, day: int) -> Column:
-        number = _month_number(_group(c, pattern, month)).cast("string")
-        return F.concat_ws("-", _group(c, pattern, 3), number, _group(c, pattern, day))
 
-    text = F.coalesce(
-        *[F.when(c.rlike(p), _reordered(c, p)) for p in (KOREAN, JAPANESE, NUMERIC)],
-        F.when(c.rlike(MONTH_FIRST), english(MONTH_FIRST, 1, 2)),
-        F.when(c.rlike(DAY_FIRST), english(DAY_FIRST, 2, 1)),
-    )
-    return F.try_to_date(text, "yyyy-M-d")
+def _dated(ordered: Column) -> Column:
+    number = _month_number(F.regexp_extract(ordered, MONTH_NAME, 0)).cast("string")
+    return F.when(number == "0", ordered).otherwise(F.regexp_replace(ordered, F.lit(MONTH_NAME), number)).try_cast("date")
+
+
+def parse_date(raw: Column) -> Column:
+    """Every notation is rewritten to ``y-m-d`` text and cast once; an impossible date is NULL."""
+    return bind(_ordered(raw), _dated)
 
 
 def with_date_range(df: DataFrame, raw: Column, start: str = "start_date", end: str = "end_date") -> DataFrame:
@@ -85,30 +83,29 @@ def with_date_range(df: DataFrame, raw: Column, start: str = "start_date", end:
     which keeps the generated code small. A year given only in the end half is lent to the
     start; a yearless or monthless end borrows from the start and may roll over new year.
     """
-    parts = F.split(raw, RANGE_SEPARATOR, 2)
-    halves = df.withColumns({"_left": F.get(parts, F.lit(0)), "_right": F.get(parts, F.lit(1))})
+    # not F.split, which compiles its pattern for every row
+    halves = df.withColumn("_left", F.regexp_replace(raw, f"(?s)(?:{RANGE_SEPARATOR}).*$", ""))
     left, right = F.col("_left"), F.col("_right")
+    rest = F.substring(raw, F.length(left) + 1, F.length(raw))
+    halves = halves.withColumn("_right", F.when(left != raw, F.regexp_replace(rest, f"^(?:{RANGE_SEPARATOR})", "")))
     year = _group(right, YEAR_TOKEN, 1)
     lent = F.when(
         year.isNotNull() & ~left.rlike(YEAR_TOKEN), F.concat(strip(left), F.lit(", "), year)
     )
     staged = halves.withColumns({"_year": year, "_lent": lent})
-    staged = staged.withColumns(
-        {
-            "_first": parse_date(F.coalesce("_lent", "_left")),
-            "_whole": parse_date(right),
-            "_short": F.when(F.col("_year").isNull(), strip(right)).otherwise(
-                F.regexp_replace(F.regexp_replace(right, YEAR_TOKEN, ""), "^[ ,.]+|[ ,.]+$", "")
-            ),
-        }
+    staged = staged.withColumns({"_first": parse_date(F.coalesce("_lent", "_left")), "_whole": parse_date(right)})
+    first, whole = F.col("_first"), F.col("_whole")
+    # a whole end with its own year stands as it is: only the others are read as short ends
+    short = F.when(F.col("_year").isNull(), strip(right)).when(
+        whole.isNull(), F.regexp_replace(F.regexp_replace(right, YEAR_TOKEN, ""), "^[ ,.]+|[ ,.]+$", "")
     )
+    staged = staged.withColumn("_short", F.when(first.isNotNull(), short))
     staged = staged.withColumns(
         {
             "_month": F.coalesce(_group(F.col("_short"), SHORT_END, 1), F.month("_first").cast("string")),
             "_day": _group(F.col("_short"), SHORT_END, 2),
         }
     )
-    first, whole = F.col("_first"), F.col("_whole")
     staged = staged.withColumn("_short_date", _date(F.coalesce("_year", F.year(first).cast("string")), F.col("_month"), F.col("_day")))
     near = F.col("_short_date")
     next_year = F.add_months(near, 12)

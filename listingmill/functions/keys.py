@@ -12,7 +12,7 @@ def _digest(*parts: Column) -> Column:
 
 
 def exhibition_id(source: Column, venue_name: Column, title: Column, start: Column) -> Column:
-    return _digest(source, venue_name, title, F.date_format(start, "yyyy-MM-dd"))
+    return _digest(source, venue_name, title, start.cast("date").cast("string"))
 
 
 def artist_id(name_normalized: Column) -> Column:

@@ -18,7 +18,7 @@ def normalize_listings(raw: DataFrame, crawled_at: str) -> DataFrame:
     """Every raw row, normalised. ``error`` is set when the row has no title; nothing is dropped.
 
     Entity text is kept in ``artist_names``, ``venue_*`` and ``organizer_name`` for resolution.
-    Staged projections (trimmed cells, then dates, then the rest) evaluate each shared value
+    Staged projections (trimmed cells, then dates, then folded texts, then the rest) evaluate each shared value
     once; unused stages are pruned when a caller needs only some columns.
     """
     no_strings = F.array().cast("array<string>")
@@ -35,19 +35,27 @@ def normalize_listings(raw: DataFrame, crawled_at: str) -> DataFrame:
     c = {name: F.col(f"_{name}") for name in TEXT_FIELDS}
     staged = cells.withColumn("title", text.clean_whitespace(c["title"]))
     staged = dates.with_date_range(staged, c["date_range"])
+    staged = staged.withColumns(
+        {
+            "_about": classify.folded(F.concat_ws(" ", F.col("title"), c["description"], c["category"])),
+            "_kind": classify.folded(c["exhibition_type_text"]),
+            "_titled": classify.folded(F.col("title")),
+            "_fee": classify.folded(c["fee_text"]),
+        }
+    )
     stamp = F.lit(crawled_at).cast("timestamp")
-    return staged.select(
+    rows = staged.select(
         keys.exhibition_id(F.col("source"), c["venue_name"], F.col("title"), F.col("start_date")).alias("id"),
         "source", "source_url", "title",
         c["title_en"].alias("title_en"),
-        F.nullif(text.sanitize_description(c["description"]), F.lit("")).alias("description"),
+        text.sanitize_description(c["description"]).alias("description"),
         classify.drop_placeholder_image(c["poster_image_url"]).alias("poster_image_url"),
-        classify.map_medium(F.concat_ws(" ", F.col("title"), c["description"], c["category"])).alias("medium"),
-        classify.map_exhibition_type(
-            c["exhibition_type_text"], F.col("title"), F.nullif(F.size("artist_names"), F.lit(0))
+        classify.medium_of(F.col("_about")).alias("medium"),
+        classify.exhibition_type_of(
+            F.col("_kind"), F.col("_titled"), F.nullif(F.size("artist_names"), F.lit(0))
         ).alias("exhibition_type"),
         "genre_tags",
-        classify.map_fee_type(c["fee_text"], F.col("price_min"), F.col("price_max")).alias("fee_type"),
+        classify.fee_type_of(F.col("_fee"), F.col("price_min"), F.col("price_max")).alias("fee_type"),
         "price_min", "price_max",
         F.filter(
             F.coalesce("_tiers", F.array().cast("array<struct<label:string,amount:int>>")),
@@ -72,6 +80,7 @@ def normalize_listings(raw: DataFrame, crawled_at: str) -> DataFrame:
         "seq",
         F.when(F.col("title").isNull(), F.lit("title is required")).alias("error"),
     )
+    return rows.withColumn("description", F.nullif("description", F.lit("")))
 
 
 def split_rejects(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -63,6 +63,31 @@ def test_listings_are_dealt_before_they_are_parsed(spark):
     assert td.raw_listings(spark, entry.SMOKE_DIR).rdd.getNumPartitions() == 4
 
 
+def test_listings_are_normalised_in_methods_that_the_jvm_compiles(spark):
+    """The JVM only interprets a method of more than 8,000 bytes, for every row."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        executed = query(spark, "normalize_listing")._jdf.queryExecution().executedPlan()
+        stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(executed)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_date_texts_are_searched_once_and_split_without_compiling(spark):
+    assert column(spark, dates.parse_date).count("(\\d{4})\\s*년") == 1
+    df = spark.createDataFrame([("May 5 ~ Sept 9, 2026",), ("2026.5.1 ~ ",), (" ~ 2026.5.1",), ("2026.12.30 - 1.3",), ("2026.2.30 ~ 3.1",), ("5 may 2026",), (None,)], "v string")
+    out = dates.with_date_range(df, F.col("v"))
+    assert "split(" not in plan(out)
+    got = {r.v: (str(r.start_date), str(r.end_date)) for r in out.collect()}
+    assert got == {
+        "May 5 ~ Sept 9, 2026": ("2026-05-05", "2026-09-09"), "2026.5.1 ~ ": ("2026-05-01", "None"), " ~ 2026.5.1": ("None", "2026-05-01"),
+        "2026.12.30 - 1.3": ("2026-12-30", "2027-01-03"), "2026.2.30 ~ 3.1": ("None", "None"), "5 may 2026": ("2026-05-05", "2026-05-05"), None: ("None", "None"),
+    }
+
+
 def test_resolution_reads_its_listings_and_names_once(spark):
     for name in ("resolve_artists", "new_entities"):
         text = plan(query(spark, name))
