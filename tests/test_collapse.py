@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from listingmill.operators import collapse
+from listingmill.operators import collapse, joins
 
 DDL = (
     "seq long, id string, source string, title string, description string, poster_image_url string, venue_id string, "
@@ -162,3 +162,20 @@ def test_collapse_is_idempotent(spark):
     once = collapse.collapse_cross_source(spark.createDataFrame(rows, DDL)).drop("members")
     again = collapse.collapse_cross_source(once).drop("members")
     assert sorted(map(tuple, once.select("seq", "id").collect())) == sorted(map(tuple, again.select("seq", "id").collect()))
+
+
+def test_growing_tables_of_the_catalogue_do_not_pass_through_the_driver(spark, monkeypatch):
+    """However few bytes their files have: rows repeated for each signal, nested artists and components are never broadcast."""
+    from listingmill.operators import embed
+
+    plans, real = [], collapse.materialize
+    executed = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(collapse, "materialize", lambda df, path: plans.append((path.split("/")[-1], executed(df))) or real(df, path))
+    monkeypatch.setattr(joins, "FEW", -1)
+    shows = [row(i, start=datetime.date(2026, 1, i % 3 + 1), end=None, title=f"t{i % 4}", artists=["a1"]) for i in range(24)]
+    unique = real(spark.createDataFrame(shows, DDL), collapse.shared_dir(spark, "unique"))
+    merged = collapse.collapse_cross_source(unique)
+    artists = real(spark.sql("SELECT 'a1' id, 'A' name, 'en' lang, CAST(NULL AS MAP<STRING, MAP<STRING, STRING>>) tr"), collapse.shared_dir(spark, "artists"))
+    plans += [("merged", executed(merged)), ("artists", executed(embed.embed_artists(unique, artists)))]
+    assert len(plans) > 5 and not [name for name, text in plans if "Broadcast" in text]
+    assert merged.count() == 12
