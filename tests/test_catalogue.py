@@ -291,3 +291,33 @@ def test_matches_do_not_shuffle_to_be_flagged(spark, monkeypatch):
     log = spark.createDataFrame([("u", "custom", "e00"), ("u", "weekly_digest", "e01")], "user_id string, type string, ref string")
     got = notify.custom_alerts(None, None, log)
     assert sorted(r.id for r in got.collect() if r.mailed) == [f"e{i:02}" for i in range(1, 13)] and got.count() == 19
+
+
+def test_new_alerts_are_those_of_rows(spark, monkeypatch):
+    """Blocks, cells and ranges of several sizes, holes in the log, missing and equal seqs: the rows that flagging all matches gives, and nothing
+    of the size of the matches is written. Equal filters in another order are matched once."""
+    import random
+
+    rng = random.Random(9)
+    monkeypatch.setattr(notify, "RANGE_WIDTH", 100)
+    written, real = {}, notify.materialize
+    monkeypatch.setattr(notify, "materialize", lambda df, path: written.update({path.split("/")[-1].rsplit("-", 1)[0]: (out := real(df, path))}) or out)
+    people = [(f"u{k}", {"artists": [f"a{k}"] if k % 9 == 0 else None, "genres": [], "regions": [], "mediums": ["photo", "video"] if k % 2 else ["video", "photo"]}) for k in range(40)]
+    items = [(f"x{k}", None if k % 70 == 0 else k // 2, [f"a{rng.randrange(40)}"], ["g"], None, rng.choice(["photo", "video", "other"])) for k in range(500)]
+    catalogue = spark.createDataFrame(items, "id string, seq long, artist_names array<string>, genre_tags array<string>, region string, medium string")
+    subscribers = spark.createDataFrame(people, "user_id string, filters struct<artists: array<string>, genres: array<string>, regions: array<string>, mediums: array<string>>")
+    first = [i for i, s, _, _, _, m in sorted(items, key=lambda i: (i[1] is not None, i[1], i[0])) if m != "other"]
+    log = [(f"u{k}", "custom", i) for k in range(1, 40, 2) for i in (first[:k * 4] if k % 3 else rng.sample(first, 60))] + [("u2", "weekly_digest", first[0]), ("nobody", "custom", "x1"), ("u4", "custom", "gone")]
+    log = spark.createDataFrame(log, "user_id string, type string, ref string")
+    got = notify.new_alerts(subscribers, catalogue, log, split=64).collect()
+    assert written["alert-places"].count() < 700 and written["alert-classes"].agg({"s": "max"}).first()[0] == 35
+    plain = notify.custom_alerts(subscribers, catalogue, log).collect()
+    assert len(got) == len(plain) > 6000
+    assert {(r.user_id, r.ref, r.seq, r.mailed) for r in got} == {(r.user_id, r.id, r.seq, r.mailed) for r in plain}
+    dated = log.selectExpr("*", "CAST(NULL AS TIMESTAMP) sent_at")
+    doubled = subscribers.unionByName(subscribers.filter("user_id < 'u2'"))
+    doubled = doubled.unionByName(spark.createDataFrame([("u3", {"artists": ["a1"], "genres": [], "regions": [], "mediums": []})], subscribers.schema))
+    rows = notify.record_alerts(dated, doubled, catalogue.unionByName(catalogue.limit(50)), "2026-06-01")
+    assert rows.count() == rows.select("user_id", "type", "ref").distinct().count()
+    more = {("u3", i) for i, _, a, _, _, _ in items if a == ["a1"]}
+    assert {(r.user_id, r.ref) for r in rows.collect()} == {(r.user_id, r.ref) for r in got} | {(r.user_id, r.ref) for r in log.collect()} | more
