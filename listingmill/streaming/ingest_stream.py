@@ -51,13 +51,20 @@ def state_of(store: Store, overrides: DataFrame, gazetteer: DataFrame, today) ->
     return read
 
 
+def spread(raw: DataFrame) -> DataFrame:
+    """The listings in as many tasks at least as the session's shuffles have: a batch may come in one or two large files, and what is
+    read in one task is parsed in it."""
+    tasks = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return raw if raw.rdd.getNumPartitions() >= tasks else raw.repartition(tasks)
+
+
 def ingest_batch(store: Store, raw: DataFrame, overrides: DataFrame, gazetteer: DataFrame, today, stamp: str, run_name: str) -> None:
     """Ingest one batch and commit it. Counts come from the passes that do the work, by observed metrics."""
     if store.committed(run_name):
         return
     spark, began = raw.sparkSession, time.monotonic()
     listings, shows = Observation(), Observation()
-    run = run_ingest(raw, state_of(store, overrides, gazetteer, today), today, stamp, batch_only=True, observed=listings)
+    run = run_ingest(spread(raw), state_of(store, overrides, gazetteer, today), today, stamp, batch_only=True, observed=listings)
     merged = {table: getattr(run, table) for table in ("artists", "venues", "organizers", "exhibitions")}
     merged["exhibitions"] = run.exhibitions.observe(shows, *action_metrics())
     keep = lambda table: materialize(merged[table].filter(F.col("action").isin(*CHANGED)).drop("action"), shared_dir(spark, f"changed-{table}"))

@@ -103,3 +103,27 @@ def test_listings_of_one_number_keep_their_own_venues(spark):
     assert "venue_name" in out.columns and not [c for c in out.columns if c.startswith("_")]
     got = sorted((r.venue_name or "", r.venue_id != "", r.organizer_id == r.venue_id, len(r.artist_ids)) for r in out.collect())
     assert got == [("", False, True, 2), ("", False, True, 2), ("Hall A", True, True, 1), ("Hall B", True, False, 1), ("Hall C", True, True, 0)]
+
+
+def test_a_batch_of_one_file_is_parsed_in_all_tasks(spark, monkeypatch, tmp_path):
+    """The deliveries are written and parsed in all tasks, and each is still a micro-batch of its own."""
+    from listingmill.registry import merging
+    from listingmill.streaming import ingest_stream
+
+    td.raw_listings(spark, entry.SMOKE_DIR).coalesce(1).write.parquet(f"{tmp_path}/one")
+    raw = spark.read.parquet(f"{tmp_path}/one")
+    wide = ingest_stream.spread(raw)
+    assert raw.rdd.getNumPartitions() == 1 and wide.rdd.getNumPartitions() == 4 and wide.count() == raw.count()
+    assert ingest_stream.spread(wide.repartition(7)).rdd.getNumPartitions() == 7
+    seen = {}
+
+    def stop(session, inbox, *_, files_per_batch):
+        seen.update(files=len(session.read.parquet(inbox).inputFiles()), size=files_per_batch)
+        raise InterruptedError
+
+    monkeypatch.setattr(merging, "stream_ingest", stop)
+    try:
+        query(spark, "stream_ingest")
+    except InterruptedError:
+        pass
+    assert seen == {"files": 8, "size": 4}
